@@ -83,7 +83,7 @@ def prob_minhash(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_doc
     k = np.uint64(0)
     while len(doc):
         k += np.uint64(1)
-        r = mix(element + mix(np.full(1, k)))
+        r = mix(element ^ (np.full(1, k) * _MIX[2]))
         time = time - np.log(((r >> np.uint64(11)).astype(np.float64) + 1.0) * 2.0**-53) / weight
         live = time < last[doc]
         doc, element, weight, time, r = doc[live], element[live], weight[live], time[live], r[live]

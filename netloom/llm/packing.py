@@ -1,7 +1,7 @@
 """Packing: documents, in order, into sequences of at most `window` tokens.
 
 Within a run of documents (about RUN_TOKENS tokens, one task's rows in their order) dynamic programming chooses the cuts among
-document ends, sentence ends and, inside sentences longer than a window, every window's length. The cost of a sequence is
+document ends, sentence ends and, inside sentences longer than HARD_STEP tokens, every HARD_STEP-th token. The cost of a sequence is
 its padding plus a penalty if its end truncates a document or a sentence. A sequence is padded to the window unless its length is a
 power of two; padding falls linearly with the start of a sequence, so the best start within a window's reach is the front of a
 monotone queue, and the few starts at a power of two before the end are looked up.
@@ -25,6 +25,8 @@ from netloom.llm.bpe import load
 
 #: Tokens of a run; penalties, in tokens of padding, for a cut at a sentence end and inside a sentence.
 RUN_TOKENS, SENTENCE_CUT, HARD_CUT = 1 << 19, 0.25, 4.0
+#: Tokens between possible cuts where sentences are longer than that; a power of two, a window at most.
+HARD_STEP = 64
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 
@@ -80,8 +82,10 @@ def pack_run(docs: list[np.ndarray], sentence_end: np.ndarray, window: int) -> t
     soft = np.flatnonzero(sentence_end[tokens]) + 1
     soft = soft[soft < total]
     ends = np.union1d(soft, doc_ends)
+    step = min(HARD_STEP, window)
     gaps = np.diff(ends, prepend=0)
-    hard = [np.arange(a - g + window, a, window) for a, g in zip(ends[gaps > window].tolist(), gaps[gaps > window].tolist())]
+    wide = gaps > step
+    hard = [np.arange(a - g + step, a, step) for a, g in zip(ends[wide].tolist(), gaps[wide].tolist())]
     # the run's tail can always be cut at powers of two from its end
     tail, left = [], total % window
     at = total - left
