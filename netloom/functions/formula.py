@@ -35,8 +35,6 @@ class Node:
 
 
 def tokens(line: str) -> list[tuple[str, str]]:
-    if "\t" in line:
-        raise FormulaError("tabs aren't allowed")
     out, at = [], 0
     line = line.rstrip()
     while at < len(line):
@@ -132,6 +130,8 @@ def parse_expression(text: str) -> Node:
 
 def parse(text: str) -> list[tuple]:
     """Statements: (kind, node, block)."""
+    if "\t" in text:
+        raise FormulaError("tabs aren't allowed")
     lines = [(len(x) - len(x.lstrip(" ")), x.strip(), i + 1) for i, x in enumerate(text.split("\n")) if x.split("#")[0].strip()]
 
     def block(at: int, indent: int) -> tuple[list[tuple], int]:

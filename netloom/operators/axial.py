@@ -64,7 +64,7 @@ def local_measures(lines: DataFrame, edges: DataFrame) -> DataFrame:
     control = edges.join(degree.withColumnRenamed("src", "dst"), "dst").groupBy("src").agg(F.sum(1 / F.col("d")).alias("control"), F.count("*").alias("d"))
     two = edges.union(edges.select("src", F.col("dst").alias("mid")).join(edges.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst"))
     reach = two.groupBy("src").agg(F.countDistinct("dst").alias("reach"))
-    got = control.join(reach, "src").select(F.col("src").alias("ref"), "control", (F.col("d") / (F.col("reach") - 1)).alias("controllability"))
+    got = control.join(reach, "src").select(F.col("src").alias("ref"), "control", F.try_divide(F.col("d"), F.col("reach") - 1).alias("controllability"))
     return lines.select("ref").join(got, "ref", "left").select("ref", F.coalesce("control", F.lit(-1.0)).alias("control"), F.coalesce("controllability", F.lit(-1.0)).alias("controllability"))
 
 
@@ -74,22 +74,22 @@ def step_depth(lines: DataFrame, edges: DataFrame, origins: DataFrame) -> DataFr
     return lines.select("ref").join(depth, "ref", "left").select("ref", F.coalesce("depth", F.lit(-1)).alias("step_depth"))
 
 
-def _levels_of(graph: V.Adjacency, root: int) -> pd.DataFrame:
-    depth, _ = graph.depths(root)
+def _levels_of(graph: V.Adjacency, root: int, limit: int | None) -> pd.DataFrame:
+    depth, _ = graph.depths(root, limit)
     hit = depth >= 0
     n = np.bincount(depth[hit])
     w = np.bincount(depth[hit], graph.node["weight"][hit]) if "weight" in graph.node else np.zeros(len(n))
     return pd.DataFrame({"root": graph.refs[root], "depth": np.arange(len(n)), "n": n, "w": w})
 
 
-def levels(lines: DataFrame, edges: DataFrame, weight: str | None = None) -> DataFrame:
-    """root, depth, n, w: nodes at each depth from each line, and their weights' sum."""
+def levels(lines: DataFrame, edges: DataFrame, weight: str | None = None, limit: int | None = None) -> DataFrame:
+    """root, depth, n, w: nodes at each depth (up to a limit) from each line, and their weights' sum."""
     spark = lines.sparkSession
     if V.is_small(edges) and V.is_small(lines):
         nodes = lines.select("ref", *([F.col(weight).cast("double").alias("weight")] if weight else []))
         graph = V.collect_adjacency(nodes, edges, ("weight",) if weight else ())
-        return V.per_root(spark, graph, lines, _levels_of, "root long, depth int, n long, w double")
-    pairs = V.all_pairs_frontier(edges, lines)
+        return V.per_root(spark, graph, lines, lambda g, r: _levels_of(g, r, limit), "root long, depth int, n long, w double")
+    pairs = V.all_pairs_frontier(edges, lines, limit)
     w = lines.select("ref", (F.col(weight) if weight else F.lit(0.0)).cast("double").alias("w"))
     return pairs.join(w, "ref").groupBy("root", "depth").agg(F.count("*").alias("n"), F.sum("w").alias("w"))
 
@@ -109,9 +109,9 @@ def integration(levels: DataFrame, radius: int | None = None, p_value_as_d: bool
         F.collect_list(F.when(deep, F.struct("depth", F.col("n").alias("c")))).alias("levels"),  # as many as the graph is deep
     )
     n, t = F.col("n"), F.col("t")
-    mean = t / (n - 1)
+    mean = F.try_divide(t, n - 1)
     fine = (n > 2) & (mean > 1)
-    ra = 2 * (mean - 1) / (n - 2)
+    ra = F.try_divide(2 * (mean - 1), n - 2)
     slots = F.col("deepest") + 2 if radius is None else F.least(F.col("deepest") + 2, F.lit(radius + 1))
     largest = M.palm_tree(n, slots - 1)
     more = n > 1
@@ -124,18 +124,18 @@ def integration(levels: DataFrame, radius: int | None = None, p_value_as_d: bool
         F.col("root").alias("ref"),
         n.alias("node_count"),
         und(more, mean).alias("mean_depth"),
-        und(fine, M.d_value(n) / ra).alias("integration_hh"),
-        und(fine, (M.d_value(n) if p_value_as_d else M.p_value(n)) / ra).alias("integration_p"),
+        und(fine, F.try_divide(M.d_value(n), ra)).alias("integration_hh"),
+        und(fine, F.try_divide(M.d_value(n) if p_value_as_d else M.p_value(n), ra)).alias("integration_p"),
         und(fine, M.tekl(n, t)).alias("integration_tekl"),
         und(fine, ra).alias("ra"),
-        und(fine, ra / M.d_value(n)).alias("rra"),
+        und(fine, F.try_divide(ra, M.d_value(n))).alias("rra"),
         und(fine, t.cast("double")).alias("total_depth"),
-        und(fine & (largest != n - 1), (largest - t) / (largest - (n - 1))).alias("ra_penn"),
+        und(fine & (largest != n - 1), F.try_divide(largest - t, largest - (n - 1))).alias("ra_penn"),
         und(more, entropy).alias("entropy"),
         und(more, relative).alias("relativised_entropy"),
-        und(more, und(t > n, n * entropy / (t - n))).alias("intensity"),
-        und(more, slots / F.col("inverse")).alias("harmonic_mean_depth"),
-        und(more, F.col("depth_w") / F.col("total_w")).alias("mean_depth_weighted"),
+        und(more, und(t > n, F.try_divide(n * entropy, t - n))).alias("intensity"),
+        und(more, F.try_divide(slots, F.col("inverse"))).alias("harmonic_mean_depth"),
+        und(more & (F.col("total_w") != 0), F.try_divide(F.col("depth_w"), F.col("total_w"))).alias("mean_depth_weighted"),
         F.col("total_w").alias("total_weight"),
     )
 
@@ -169,12 +169,12 @@ def choice(lines: DataFrame, edges: DataFrame, weight: str | None = None, radius
     graph = V.collect_adjacency(nodes, edges, ("weight",))
     got = V.per_root(lines.sparkSession, graph, lines, lambda g, r: _choice_of(g, r, radius), "ref long, choice double, choice_w double")
     sums = got.groupBy("ref").agg(F.sum("choice").alias("choice"), F.sum("choice_w").alias("choice_w"))
-    size = integration(levels(lines, edges, weight), radius).select("ref", "node_count", "total_weight")
+    size = integration(levels(lines, edges, weight, radius), radius).select("ref", "node_count", "total_weight")
     n, w = F.col("node_count"), F.col("total_weight")
     return sums.join(size, "ref").select(
         "ref",
         M.or_undefined(n > 2, F.col("choice")).alias("choice"),
-        M.or_undefined(n > 2, 2 * F.col("choice") / ((n - 1) * (n - 2))).alias("choice_norm"),
+        M.or_undefined(n > 2, F.try_divide(2 * F.col("choice"), (n - 1) * (n - 2))).alias("choice_norm"),
         M.or_undefined(n > 2, F.col("choice_w")).alias("choice_weighted"),
-        M.or_undefined(n > 2, 2 * F.col("choice_w") / (w * w)).alias("choice_weighted_norm"),
+        M.or_undefined((n > 2) & (w != 0), F.try_divide(2 * F.col("choice_w"), w * w)).alias("choice_weighted_norm"),
     )

@@ -23,7 +23,7 @@ def visual_local(cells: DataFrame, edges: DataFrame) -> DataFrame:
     closed = second.join(e, ["src", "dst"], "left_semi").groupBy("src").agg(F.count("*").alias("triangles"))
     control = e.join(degree.select(F.col("src").alias("dst"), "k"), "dst").groupBy("src").agg(F.sum(1 / F.col("k")).alias("control"))
     got = degree.join(control, "src").join(union, "src").join(closed, "src", "left").filter("k > 1")
-    got = got.select(F.col("src").alias("ref"), (F.coalesce("triangles", F.lit(0)) / (F.col("k") * (F.col("k") - 1))).alias("clustering"), "control", (F.col("k") / F.col("reach")).alias("controllability"))
+    got = got.select(F.col("src").alias("ref"), F.try_divide(F.coalesce("triangles", F.lit(0)), F.col("k") * (F.col("k") - 1)).alias("clustering"), "control", (F.col("k") / F.col("reach")).alias("controllability"))
     filled = cells.filter("filled").select("ref").join(got, "ref", "left")
     return filled.select("ref", *[F.coalesce(c, F.lit(-1.0)).alias(c) for c in ("clustering", "control", "controllability")])
 
@@ -33,23 +33,22 @@ def visual_global(cells: DataFrame, edges: DataFrame, radius: int | None = None)
     from netloom.operators.axial import levels
 
     c = cells.filter("filled").select("ref")
-    within = levels(c, edges.select("src", "dst"))
-    within = within if radius is None else within.filter(F.col("depth") <= radius)
+    within = levels(c, edges.select("src", "dst"), limit=radius)
     deep = F.col("depth") > 0
     base = within.groupBy("root").agg(F.sum("n").alias("n"), F.sum(F.col("depth") * F.col("n")).alias("t"), F.collect_list(F.when(deep, F.struct("depth", F.col("n").alias("c")))).alias("levels"))
     n, t = F.col("n"), F.col("t")
-    mean = t / (n - 1)
+    mean = F.try_divide(t, n - 1)
     fine, more = (n > 2) & (mean > 1), n > 1
-    ra = 2 * (mean - 1) / (n - 2)
-    p = lambda x: x["c"] / (n - 1)
+    ra = F.try_divide(2 * (mean - 1), n - 2)
+    p = lambda x: F.try_divide(x["c"], n - 1)
     q = lambda x: F.pow(mean, x["depth"]) / F.factorial(x["depth"] + 1) * F.exp(-mean)
     und = M.or_undefined
     return base.select(
         F.col("root").alias("ref"),
         n.alias("node_count"),
         und(more, mean).alias("mean_depth"),
-        und(fine, M.d_value(n) / ra).alias("integration_hh"),
-        und(fine, M.p_value(n) / ra).alias("integration_p"),
+        und(fine, F.try_divide(M.d_value(n), ra)).alias("integration_hh"),
+        und(fine, F.try_divide(M.p_value(n), ra)).alias("integration_p"),
         und(fine, M.tekl(n, t)).alias("integration_tekl"),
         und(more, F.aggregate("levels", F.lit(0.0), lambda acc, x: acc - p(x) * F.log2(p(x)))).alias("entropy"),
         und(more, F.aggregate("levels", F.lit(0.0), lambda acc, x: acc + p(x) * F.log2(p(x) / q(x)))).alias("relativised_entropy"),

@@ -81,7 +81,7 @@ def axial_integration_rn(spark, d):
 @query
 def axial_integration_r3(spark, d):
     lines, edges = _network(spark, d)
-    return _r(X.integration(X.levels(lines, edges), 3).select(*_GLOBAL))
+    return _r(X.integration(X.levels(lines, edges, limit=3), 3).select(*_GLOBAL))
 
 
 @query

@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,8 +51,8 @@ def numeric_columns(df: DataFrame, skip: set[str], order: str) -> DataFrame:
     for c in [c for c in df.columns if c not in skip]:
         texts = out.filter(F.col(f"`{c}`").try_cast("double").isNull()).select("ref", F.col(f"`{c}`").alias("value"), F.col(order).alias("_o"))
         codes = category_codes(texts.select("ref", "value", "_o"), "value", "_o").withColumnRenamed("code", "_code")
-        out = out.join(codes, "ref", "left").withColumn(column_name(c), F.coalesce(F.col(f"`{c}`").try_cast("double"), F.col("_code").cast("double"))).drop("_code")
-        out = out.drop(c) if column_name(c) != c else out
+        out = out.join(codes, "ref", "left").withColumn("_value", F.coalesce(F.col(f"`{c}`").try_cast("double"), F.col("_code").cast("double")))
+        out = out.drop("_code", c).withColumnRenamed("_value", column_name(c))
     return out
 
 
@@ -97,19 +97,22 @@ def read_shapes(spark: SparkSession, path: str, kind: str) -> DataFrame:
 def _whole_files(spark: SparkSession, path: str, parse: Callable[[str], list[tuple]]) -> DataFrame:
     """Shapes of each file: (layer, kind, points, closed), numbered across files by file and place."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for name, text in zip(f["path"], f["text"]):
-                rows = parse(text)
-                yield pd.DataFrame({"path": name, "k": range(len(rows)), "layer": [r[0] for r in rows], "shape_type": [r[1] for r in rows], "points": [[{"x": x, "y": y} for x, y in r[2]] for r in rows], "closed": [r[3] for r in rows]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist()):
+                rows = [{"path": name, "k": k, "layer": r[0], "shape_type": r[1], "points": [{"x": float(x), "y": float(y)} for x, y in r[2]], "closed": r[3]} for k, r in enumerate(parse(text))]
+                yield pa.RecordBatch.from_pylist(rows, schema=_PARSED)
 
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    rows = files.mapInPandas(run, "path string, k long, layer string, shape_type string, points array<struct<x:double,y:double>>, closed boolean")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    rows = files.mapInArrow(run, "path string, k long, layer string, shape_type string, points array<struct<x:double,y:double>>, closed boolean")
     sizes = rows.groupBy("path").agg(F.count("*").alias("n"))
     offset = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row per file
     return rows.join(F.broadcast(offset), "path").select((F.col("before") + F.col("k")).alias("ref"), "layer", "shape_type", "points", "closed")
 
 
+_PARSED = pa.schema([("path", pa.string()), ("k", pa.int64()), ("layer", pa.string()), ("shape_type", pa.string()), ("points", pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))), ("closed", pa.bool_())])
+
+
 def parse_cat(text: str) -> list[tuple]:
     """Blocks `begin polygon` or `begin polyline`, a line of x y each, `end`. Two points make a line."""
     out, kind, points = [], None, []
@@ -350,7 +353,7 @@ def parse_mif(text: str) -> list[tuple]:
 
 
 def read_mif_attributes(spark: SparkSession, mif_path: str, mid_path: str) -> DataFrame:
-    """ref and the numeric columns of a MID, whose names and kinds its MIF declares; empty cells are -1."""
+    """ref (a column of that name, else the row's number) and the numeric columns of a MID, whose names and kinds its MIF declares; empty cells are -1."""
     head = spark.read.text(mif_path).limit(10_000)  # a header
     lines = [r["value"] for r in head.collect()]
     start = next(i for i, x in enumerate(lines) if x.strip().lower().startswith("columns"))
@@ -361,6 +364,10 @@ def read_mif_attributes(spark: SparkSession, mif_path: str, mid_path: str) -> Da
     from netloom.operators.attributes import with_row_index
 
     raw = spark.read.option("sep", sep).csv(mid_path)
+    own = next((k for k, name in numeric if name.lower() == "ref"), None)
+    if own is not None:  # the refs that a map was written with
+        rest = [(k, name) for k, name in numeric if k != own]
+        return raw.select(F.col(raw.columns[own]).cast("long").alias("ref"), *[F.coalesce(F.col(raw.columns[k]).cast("double"), F.lit(-1.0)).alias(name) for k, name in rest])
     cells = raw.select(F.monotonically_increasing_id().alias("ref"), *[F.coalesce(F.col(raw.columns[k]).cast("double"), F.lit(-1.0)).alias(name) for k, name in numeric])
     return with_row_index(cells).withColumn("ref", F.col("idx").cast("long")).drop("idx")
 
