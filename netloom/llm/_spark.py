@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -84,6 +85,28 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 <<
             start += part.num_rows
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key, in batches of about `limit` bytes that end where a group ends."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.nbytes
+        if size < limit:
+            continue
+        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        keys = whole.column(key).to_numpy()
+        last = np.flatnonzero(keys[1:] != keys[:-1])
+        if len(last):
+            yield whole.slice(0, last[-1] + 1)
+            whole = whole.slice(last[-1] + 1)
+        held, size = [whole], whole.nbytes
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     """The column's values; null counts as the empty text."""
     return [x or "" for x in batch.column(column).to_pylist()]

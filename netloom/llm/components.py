@@ -1,6 +1,6 @@
 """Connected components of a graph too large for one machine: alternating large-star and small-star rounds on a table of edges.
 
-Each task first contracts what edges it holds to a forest. Every round writes its edges to the shared folder; the rounds end when a round
+Each task first contracts what edges it holds to a forest. If what is left has at most CHUNK edges, one task finishes it; else every round writes its edges to the shared folder; the rounds end when a round
 changes nothing. The smallest id of a component is its label. Nulls in an edge and loops are ignored; repeated edges count once.
 """
 
@@ -58,6 +58,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     e = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter("a <> b")
     e = cut(e.mapInPandas(_forest, "a bigint, b bigint").distinct(), "edges")
     seen = None
+    if e.count() <= CHUNK:  # bounded, so one task holds it
+        done = cut(e.coalesce(1).mapInPandas(_forest, "a bigint, b bigint"), "edges")
+        discard(e)
+        return _labelled(done)
     while True:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
@@ -73,4 +77,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if state == seen:
             break
         seen = state
+    return _labelled(e)
+
+
+def _labelled(e: DataFrame) -> DataFrame:
     return e.select(F.col("b").alias("id"), F.col("a").alias("component")).union(e.select("a", "a").distinct())

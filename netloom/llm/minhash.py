@@ -5,9 +5,10 @@ one shingle). Every shingle is a Poisson process whose rate is its count: arriva
 shingle's hash, each at a register drawn from it, and a register keeps the shingle that arrives first. Once a shingle's next arrival is later
 than the latest register of its document it stops. The share of equal registers estimates the probability Jaccard similarity of two documents.
 
-Registers are cut into bands; documents that agree in a band meet in a bucket. Within a bucket the smallest members are pivots
-that all others are compared with, exactly, from the texts: 1, 2, 4, ... pivots a round, until all members of the bucket that aren't yet
-pivots lie in one component. So copies never expand into all pairs, and no link between members of a bucket is lost. Texts with equal word
+Registers are cut into bands; documents that agree in a band meet in a bucket, and each bucket links its members to its smallest one.
+What these links connect, the company of a document, is verified exactly from the texts, which travel once: a company of up to BLOCK documents
+is one group, a larger one is cut into blocks and each pair of blocks is a group. In a group common shingles are counted by an inverted list, and
+what leaves it is a forest of the links, so copies never expand into rows of pairs and no link within a company is lost. Texts with equal word
 sequences are one class from the start.
 
 Documents without a word (null texts, too) are linked with nothing. Rows that repeat a doc_id count as one document,
@@ -22,13 +23,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm._spark import cut, discard, slices, texts_of
-from netloom.llm.components import components
+from netloom.llm._spark import cut, slices, texts_of, whole_groups
+from netloom.llm.components import components, roots
 
-WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 25, 5
+WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 25, 6
+#: Documents of a block; shingles in so many documents of a group and more are counted by a matrix product.
+BLOCK, COMMON = 1024, 48
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -114,9 +117,76 @@ def shingle_counts(text: str) -> Counter:
     return Counter(zip(*(words[k:] for k in range(WORDS))))
 
 
-def _bound(a: Counter, b: Counter) -> float:
-    """A quick upper bound of similarity from the sets' sizes."""
-    return min(len(a), len(b)) / max(len(a), len(b), 1)
+def _count_common(into: np.ndarray, token: np.ndarray, doc: np.ndarray) -> None:
+    """Adds, for each pair of documents, how many tokens they have in common; a document has a token once."""
+    order = np.argsort(token, kind="stable")
+    token, doc = token[order], doc[order]
+    start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.empty(0, np.int64)
+    count = np.diff(start, append=len(token))
+    wide, n_wide = start[count >= COMMON], count[count >= COMMON]
+    for at in range(0, len(wide), 2048):
+        part, n = wide[at : at + 2048], n_wide[at : at + 2048]
+        m = np.zeros((len(into), len(part)), np.float32)
+        m[doc[np.repeat(part - np.cumsum(n) + n, n) + np.arange(n.sum())], np.repeat(np.arange(len(part)), n)] = 1
+        into += m @ m.T
+    for n in range(2, COMMON):
+        here = start[count == n]
+        if len(here):
+            rows = doc[here[:, None] + np.arange(n)[None, :]]
+            np.add.at(into, (np.repeat(rows, n, axis=1).ravel(), np.tile(rows, (1, n)).ravel()), 1)
+
+
+def similar_pairs(texts: list[str], block: np.ndarray, similarity: float, hashes: WordHashes) -> np.ndarray:
+    """Label of each text: the first text that links of at least the similarity connect it with. Texts are compared within block 0, if there is no other, or
+    between blocks 0 and 1.
+
+    With x and y the counts of shingles, both the sum of the lesser counts and the sum of the greater counts of common shingles, over the sum of all greater counts, bound
+    the similarity; only where it lies between them it is worked out pair by pair.
+    """
+    shingles, weights = [], []
+    for text in texts:
+        h = np.sort(shingle_hashes(hashes(text.lower().split())))
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
+        shingles.append(h[first])
+        weights.append(np.diff(first, append=len(h)))
+    n = len(texts)
+    doc = np.repeat(np.arange(n), [len(x) for x in shingles])
+    token, weight = np.concatenate(shingles), np.concatenate(weights)
+    size = np.bincount(doc, weight, n)
+    common = np.zeros((n, n), np.float32)
+    _count_common(common, token, doc)
+    lesser, greater = common, common
+    again = np.flatnonzero(weight > 1)
+    if len(again):  # the second of equal shingles is a token of its own, and so on
+        times = weight[again] - 1
+        k = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + 1
+        lesser = common.copy()
+        _count_common(lesser, mix(np.repeat(token[again], times) ^ (k.astype(np.uint64) * _MIX[2])), np.repeat(doc[again], times))
+        order = np.argsort(token, kind="stable")
+        by_token = token[order]
+        lo, hi = np.searchsorted(by_token, token[again], "left"), np.searchsorted(by_token, token[again], "right")
+        spread = hi - lo
+        other = doc[order[np.repeat(lo - np.cumsum(spread) + spread, spread) + np.arange(spread.sum())]]
+        excess = np.zeros((n, n), np.float32)
+        np.add.at(excess, (np.repeat(doc[again], spread), other), np.repeat(times, spread))
+        greater = 2 * common + excess + excess.T - lesser
+    every = size[:, None] + size[None, :] - lesser
+    allowed = np.triu(np.ones((n, n), bool), 1) & (common > 0)
+    if block.any():
+        allowed &= block[:, None] != block[None, :]
+    eps = 1e-6
+    linked = allowed & (lesser >= (similarity - eps) * every)
+    label = roots(n, *np.nonzero(linked))
+    counts: dict[int, Counter] = {}
+    for i, j in zip(*(x.tolist() for x in np.nonzero(allowed & ~linked & (greater >= (similarity - eps) * every)))):
+        if label[i] != label[j]:
+            for k in (i, j):
+                if k not in counts:
+                    counts[k] = shingle_counts(texts[k])
+            if probability_jaccard(counts[i], counts[j]) >= similarity - 1e-9:
+                low, high = sorted((label[i], label[j]))
+                label[label == high] = low
+    return label
 
 
 def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -151,82 +221,53 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, words binary, bands array<bigint>")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Of the pairs a, b those whose texts are similar enough. Each side's text is joined to it; no group is gathered."""
+def _verified(company: DataFrame, texts: DataFrame, similarity: float, block: int) -> DataFrame:
+    """a, b: forests of the links among documents (id) of equal company."""
+    sizes = company.groupBy("company").agg(F.count("*").alias("size"))
+    parts = F.ceil(F.col("size") / block).cast("int")
+    placed = company.join(sizes, "company").withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("id"), parts).cast("int"))
+    full = placed.join(texts.select("id", "text"), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    full = full.select("company", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "text")
+    full = full.withColumn("task", F.xxhash64("company", "x", "y")).repartition("task").sortWithinPartitions("task", "company", "x", "y", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, counts = None, Counter()
-        for batch in slices(batches, "text_b"):
-            out = []
-            for a, b, s, t in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b"))):
-                if s != held:
-                    held, counts = s, shingle_counts(s)
-                other = shingle_counts(t)
-                if _bound(counts, other) >= similarity * similarity and probability_jaccard(counts, other) >= similarity:
-                    out.append((a, b))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["a", "b"])
-
-    t = texts.select("id", "text")
-    both = pairs.join(t.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = both.join(t.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
-
-
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+        hashes = WordHashes()
+        for batch in whole_groups(batches, "task", 8 << 20):
+            keys = [batch.column(c).to_numpy() for c in ("task", "company", "x", "y")]
+            new = np.ones(batch.num_rows, bool)
+            new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+            edges = [*np.flatnonzero(new).tolist(), batch.num_rows]
+            ids, place, x = batch.column("id").to_numpy(), batch.column("block").to_numpy(), keys[2]
+            a, b = [], []
+            for lo, hi in zip(edges, edges[1:]):
+                if hi - lo > 1:
+                    label = similar_pairs(batch.column("text").slice(lo, hi - lo).to_pylist(), (place[lo:hi] != x[lo]).astype(int), similarity, hashes)
+                    more = np.flatnonzero(label != np.arange(hi - lo))
+                    a.append(ids[lo + label[more]])
+                    b.append(ids[lo + more])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    return full.mapInArrow(run, "a bigint, b bigint")
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """doc_id, class_id (smallest doc_id of the class), kept (doc_id = class_id) of each document."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = cut(sketch(base, bands, rows), "sketch")
     # equal word sequences are one class; the smallest doc_id stands for it
-    classes = sketches.groupBy("words").agg(F.min("doc_id").alias("id"), F.min_by("bands", "doc_id").alias("bands"))
+    classes = cut(sketches.groupBy("words").agg(F.min("doc_id").alias("id"), F.min_by("bands", "doc_id").alias("bands")), "classes")
     spread = classes.select("id", F.posexplode("bands").alias("band", "key"))
-    shared = spread.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    remaining = cut(spread.join(shared, ["band", "key"]).select("band", "key", "id"), "members")
-    texts = cut(_texts(base, remaining), "texts")
-    links, found, pivots = None, None, 1
-    while True:
-        # members that were pivots have been compared with all of their bucket; is the rest still in several components?
-        if found is None:
-            live = remaining.withColumn("component", F.col("id"))
-        else:
-            live = remaining.join(found, "id", "left").select("band", "key", "id", F.coalesce("component", "id").alias("component"))
-        still = live.groupBy("band", "key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("band", "key")
-        rest = cut(live.join(still, ["band", "key"]), "members")
-        if rest.isEmpty():
-            break
-        heads = _smallest(rest, pivots).select("band", "key", F.col("id").alias("a"), F.col("component").alias("of_a"))
-        pairs = rest.join(heads, ["band", "key"]).filter("a < id and component <> of_a").select("a", F.col("id").alias("b")).distinct()
-        good = verify(pairs, texts, similarity)
-        new = cut(good if links is None else links.union(good), "links")
-        discard(links)
-        links = new
-        found = components(links)
-        after = rest.join(heads.select("band", "key", F.col("a").alias("id")), ["band", "key", "id"], "left_anti").select("band", "key", "id")
-        nxt = cut(after, "members")
-        discard(remaining)
-        discard(rest)
-        remaining, pivots = nxt, 2 * pivots
-    final = classes.select("words", "id")
-    if found is not None:
-        final = final.join(found, "id", "left").select("words", F.coalesce("component", "id").alias("class"))
-    else:
-        final = final.select("words", F.col("id").alias("class"))
+    heads = spread.groupBy("band", "key").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    heads = cut(heads, "heads")  # so that a crowded bucket can be split in the join
+    company = components(spread.join(heads, ["band", "key"]).select("a", F.col("id").alias("b"))).withColumnRenamed("component", "company")
+    texts = base.withColumnRenamed("doc_id", "id").join(company.select("id"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))  # of rows that repeat an id the smallest text stands
+    found = components(cut(_verified(company, texts, similarity, block), "links"))
+    final = classes.select("words", "id").join(found, "id", "left").select("words", F.coalesce("component", "id").alias("class"))
     of = sketches.select("doc_id", "words").join(final, "words").groupBy("doc_id").agg(F.min("class").alias("class"))
     return base.select("doc_id").join(of, "doc_id", "left").select("doc_id", F.coalesce("class", "doc_id").alias("class_id"), F.coalesce(F.col("class") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _smallest(rows: DataFrame, n: int) -> DataFrame:
-    """The n smallest ids of each bucket. Spark's group limit keeps n a bucket in each task before the shuffle."""
-    order = Window.partitionBy("band", "key").orderBy("id")
-    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).drop("rank")
-
-
-def _texts(base: DataFrame, wanted: DataFrame) -> DataFrame:
-    """id and text of the documents that have company in a bucket; of rows that repeat an id the smallest text stands."""
-    got = base.withColumnRenamed("doc_id", "id").join(wanted.select("id").distinct(), "id")
-    return got.groupBy("id").agg(F.min("text").alias("text"))
-
-
 def query(docs: DataFrame) -> DataFrame:
     """op4: the class of each document."""
     return near_duplicates(docs)

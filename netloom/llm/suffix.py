@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netloom.llm._spark import cut, slices
+from netloom.llm._spark import cut, slices, whole_groups
 from netloom.llm.minhash import mix
 
 LENGTH = 400
@@ -172,33 +172,11 @@ def _strings(reps: DataFrame, texts: DataFrame, length: int, gram: int) -> DataF
     return joined.mapInArrow(run, "gram bigint, around bigint, n bigint, left int, string binary")
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], key: str, limit: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key, in batches of about `limit` bytes that end where a group ends."""
-    held: list[pa.RecordBatch] = []
-    size = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        size += batch.nbytes
-        if size < limit:
-            continue
-        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        keys = whole.column(key).to_numpy()
-        last = np.flatnonzero(keys[1:] != keys[:-1])
-        if len(last):
-            yield whole.slice(0, last[-1] + 1)
-            whole = whole.slice(last[-1] + 1)
-        held, size = [whole], whole.nbytes
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
 def _built(strings: DataFrame, length: int, before: int) -> DataFrame:
     """gram, around, lo, hi: ranges of window starts, counted from the anchor, that repeat. One row a range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _grouped(batches, "gram", BATCH_BYTES):
+        for batch in whole_groups(batches, "gram", BATCH_BYTES):
             gram, left, n = batch.column("gram").to_numpy(), batch.column("left").to_numpy(), batch.column("n").to_numpy()
             data = batch.column("string").to_pylist()
             m, width = len(data), before + length
@@ -272,7 +250,7 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int | None = No
     gram = gram or length // 2
     before = length - gram
     every = _anchor_rows(docs.select(F.col("doc").alias("doc_id"), "tag", "text"), length, gram)
-    shared = every.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    shared = cut(every.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "grams")  # so that a crowded gram can be split in the join
     found = cut(every.join(shared, "gram"), "anchors")
     texts = docs.select("doc", "tag", "text").join(found.select(F.col("doc_id").alias("doc"), "tag").distinct(), ["doc", "tag"]).dropDuplicates(["doc", "tag"])
     texts = cut(texts.withColumnRenamed("doc", "doc_id"), "texts")
