@@ -101,7 +101,7 @@ def axial_weighted_depth(spark, d):
 @query
 def axial_choice(spark, d):
     lines, edges = _network(spark, d)
-    return _r(X.choice(lines, edges, "weight"))
+    return _r(X.choice(lines.withColumn("weight", F.col("weight") / 1000), edges, "weight"), 4)
 
 
 @query

@@ -49,6 +49,9 @@ SELECT k.root AS ref, CAST(n AS BIGINT) AS node_count, round(CASE WHEN more THEN
 FROM k LEFT JOIN h ON h.root = k.root""".replace("l.n / k.n", "CAST(l.n AS DOUBLE) / CAST(k.n AS DOUBLE)").replace("sum(n) AS n, sum(depth * n) AS t", "CAST(sum(n) AS DOUBLE) AS n, CAST(sum(depth * n) AS DOUBLE) AS t")
 
 
+#: Of each node the least node before it on shortest paths from the root.
+PARENTS = "parent AS (SELECT d.root, d.ref, min(e.src) AS p FROM depths d JOIN {edges} e ON e.dst = d.ref JOIN depths q ON q.root = d.root AND q.ref = e.src AND q.depth = d.depth - 1 GROUP BY d.root, d.ref)"
+
 CELLS = "cells AS (SELECT p_partkey AS ref, CAST(p_partkey % 50 AS INTEGER) AS x, CAST(p_partkey // 50 AS INTEGER) AS y, p_size > 10 AS filled FROM part)"
 STEPS = "steps(dx, dy, bit) AS (VALUES (1, 0, 0), (1, 1, 1), (0, 1, 2), (-1, 1, 3), (-1, 0, 4), (-1, -1, 5), (0, -1, 6), (1, -1, 7))"
 NEAR = f"{CELLS},\n{STEPS},\nnear AS (SELECT a.ref AS src, b.ref AS dst, bit FROM cells a, steps, cells b WHERE a.filled AND b.filled AND b.x = a.x + dx AND b.y = a.y + dy)"
@@ -134,6 +137,32 @@ FROM lines l LEFT JOIN deg ON deg.src = l.ref LEFT JOIN ctl ON ctl.src = l.ref L
     "axial_integration_rn": axial_global(40, None),
     "axial_integration_r3": axial_global(3, 3),
     "axial_integration_r2_frontier": axial_global(2, 2),
+    "axial_choice": f"""WITH RECURSIVE {EDGES},
+{reach("lines", "edges", 40)},
+{PARENTS.format(edges="edges")},
+up(root, target, via) AS (SELECT root, ref, p FROM parent UNION ALL SELECT up.root, up.target, parent.p FROM up JOIN parent ON parent.root = up.root AND parent.ref = up.via),
+wt AS (SELECT ref, weight / 1000 AS w FROM lines),
+c AS (SELECT via AS ref, count(*) AS c, sum(t.w * r.w) AS cw FROM up JOIN wt t ON t.ref = target JOIN wt r ON r.ref = up.root WHERE via <> up.root GROUP BY via),
+pairs AS (SELECT d.root, d.ref, 0.5 * t.w * r.w AS v FROM depths d JOIN wt t ON t.ref = d.ref JOIN wt r ON r.ref = d.root WHERE d.depth > 0),
+e AS (SELECT ref, sum(v) AS e FROM (SELECT ref, v FROM pairs UNION ALL SELECT root, v FROM pairs) GROUP BY ref),
+s AS (SELECT root AS ref, count(*) AS n, sum(w) AS tw FROM depths JOIN wt USING (ref) GROUP BY root),
+k AS (SELECT ref, n, tw, coalesce(c, 0) AS c, coalesce(cw, 0) + coalesce(e, 0) AS cw FROM s LEFT JOIN c USING (ref) LEFT JOIN e USING (ref))
+SELECT ref, round(CASE WHEN n > 2 THEN CAST(c AS DOUBLE) ELSE -1.0 END, 4) AS choice, round(CASE WHEN n > 2 THEN 2 * c / ((n - 1) * (n - 2)) ELSE -1.0 END, 4) AS choice_norm,
+  round(CASE WHEN n > 2 THEN cw ELSE -1.0 END, 4) AS choice_weighted, round(CASE WHEN n > 2 AND tw <> 0 THEN 2 * cw / (tw * tw) ELSE -1.0 END, 4) AS choice_weighted_norm FROM k""",
+    "axial_shortest_path": f"""WITH RECURSIVE {EDGES},
+walk(root, ref, depth) AS (SELECT min(src), min(src), 0 FROM edges UNION SELECT root, dst, depth + 1 FROM walk JOIN edges ON ref = src WHERE depth < 60),
+depths AS (SELECT root, ref, min(depth) AS depth FROM walk GROUP BY root, ref),
+{PARENTS.format(edges="edges")},
+up(via) AS (SELECT arg_max(ref, depth * 1000000 - ref) FROM depths UNION ALL SELECT p FROM up JOIN parent ON parent.ref = up.via)
+SELECT ref, CAST(depth AS BIGINT) AS depth, CAST(depth AS BIGINT) AS "order" FROM depths JOIN up ON via = ref""",
+    "visual_shortest_path": f"""WITH RECURSIVE {SIGHT},
+near AS (SELECT s.src, s.dst FROM sight s WHERE s.y1 < 10 AND s.y2 < 10),
+g AS (SELECT min(ref) AS a, max(ref) AS b FROM f WHERE y < 10),
+walk(root, ref, depth) AS (SELECT a, a, 0 FROM g UNION SELECT root, dst, depth + 1 FROM walk JOIN near ON ref = src WHERE depth < 60),
+depths AS (SELECT root, ref, min(depth) AS depth FROM walk GROUP BY root, ref),
+{PARENTS.format(edges="near")},
+up(via, k) AS (SELECT b, 0 FROM g UNION ALL SELECT p, CASE WHEN k = 0 THEN 2 ELSE k + 1 END FROM up JOIN parent ON parent.ref = up.via)
+SELECT b AS target, via AS ref, CAST(k AS BIGINT) AS "order" FROM up, g""",
     "axial_weighted_depth": f"""WITH RECURSIVE {EDGES},
 {reach("lines", "edges", 40)}
 SELECT root AS ref, round(CASE WHEN count(*) > 1 THEN sum(depth * weight) / sum(weight) ELSE -1.0 END, 6) AS mean_depth_weighted, round(sum(weight), 6) AS total_weight
