@@ -74,6 +74,63 @@ def axial_to_segments(lines: DataFrame, edges: DataFrame | None = None, stub: fl
     return segments, S.segment_edges(segments)
 
 
+# --- relations between shapes
+
+
+def shapes_in_region(shapes: DataFrame, region: tuple[float, float, float, float]) -> DataFrame:
+    """Shapes whose boxes touch a region x1, y1, x2, y2."""
+    b = points_box("points")
+    x1, y1, x2, y2 = region
+    return shapes.filter((b["lo_x"] <= x2) & (b["hi_x"] >= x1) & (b["lo_y"] <= y2) & (b["hi_y"] >= y1))
+
+
+def _first_side(p: str) -> dict[str, F.Column]:
+    at = F.col(p)
+    return {"x1": at[0]["x"], "y1": at[0]["y"], "x2": at[1]["x"], "y2": at[1]["y"]}
+
+
+def shape_connections(shapes: DataFrame) -> DataFrame:
+    """src, dst of shapes that are in contact: points and lines in or across polygons, sides that meet, polygons that overlap."""
+    s = shapes.select("ref", "points", (F.col("closed") & (F.size("points") > 2)).alias("solid"))
+    a, b = prefixed(s, "a_"), prefixed(s, "b_")
+    meet = lambda e, f: (G.cross(e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"], f["a"]["x"], f["a"]["y"]) * G.cross(e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"], f["b"]["x"], f["b"]["y"]) <= 0)
+    sides = lambda p: F.when(F.col(f"{p}solid"), G._edges(f"{p}points")).otherwise(F.slice(G._edges(f"{p}points"), F.lit(1), F.size(f"{p}points") - 1))
+    span = lambda e, f, k: (F.least(e["a"][k], e["b"][k]) <= F.greatest(f["a"][k], f["b"][k])) & (F.least(f["a"][k], f["b"][k]) <= F.greatest(e["a"][k], e["b"][k]))
+    crossing = F.exists(sides("a_"), lambda e: F.exists(sides("b_"), lambda f: span(e, f, "x") & span(e, f, "y") & meet(e, f) & meet(f, e)))
+    inside = lambda p, q: F.col(f"{q}solid") & F.exists(f"{p}points", lambda v: G.point_in_polygon(v["x"], v["y"], f"{q}points"))
+    cell = cell_size(shapes, points_box("points"))
+    met = spatial_join(a, b, points_box("a_points"), points_box("b_points"), (F.col("a_ref") != F.col("b_ref")) & (crossing | inside("a_", "b_") | inside("b_", "a_")), cell)
+    return met.select(F.col("a_ref").alias("src"), F.col("b_ref").alias("dst")).distinct()
+
+
+def connect_added(lines: DataFrame, edges: DataFrame, added: DataFrame) -> DataFrame:
+    """edges with those of added lines (same columns as lines), which are compared with all."""
+    core = ("ref", "x1", "y1", "x2", "y2")
+    a, b = prefixed(added.select(*core), "a_"), prefixed(lines.select(*core).union(added.select(*core)), "b_")
+    met = spatial_join(a, b, box(a, "a_x1", "a_y1", "a_x2", "a_y2"), box(b, "b_x1", "b_y1", "b_x2", "b_y2"), (F.col("a_ref") != F.col("b_ref")) & G.lines_intersect("a_", "b_"), cell_size(lines, box(lines)))
+    return edges.union(met.select("a_ref", "b_ref")).union(met.select("b_ref", "a_ref")).distinct()
+
+
+def nearest_shape(points: DataFrame, shapes: DataFrame, reach: float) -> DataFrame:
+    """ref, shape, distance: the open shape (a side of it) nearest to each point (ref, x, y) within a reach; the smaller ref of equally near ones."""
+    p = points.select(F.col("ref").alias("p_ref"), F.col("x").alias("p_x"), F.col("y").alias("p_y"))
+    l = prefixed(lines_of(shapes.filter("not closed")).select("shape_ref", "x1", "y1", "x2", "y2"), "l_")
+    around = {"lo_x": F.col("p_x") - reach, "hi_x": F.col("p_x") + reach, "lo_y": F.col("p_y") - reach, "hi_y": F.col("p_y") + reach}
+    d = G.point_line_distance("p_x", "p_y", "l_x1", "l_y1", "l_x2", "l_y2")
+    near = spatial_join(p, l, around, box(l, "l_x1", "l_y1", "l_x2", "l_y2"), d <= reach, 2 * reach).withColumn("d", d)
+    return near.groupBy(F.col("p_ref").alias("ref")).agg(F.min(F.struct("d", "l_shape_ref")).alias("m")).select("ref", F.col("m.l_shape_ref").alias("shape"), F.col("m.d").alias("distance"))
+
+
+def shape_at(points: DataFrame, shapes: DataFrame, reach: float) -> DataFrame:
+    """ref, shape: the topmost (last) polygon that a point lies in, else the nearest open shape within a reach, else -2."""
+    p = points.select(F.col("ref").alias("p_ref"), F.col("x").alias("p_x"), F.col("y").alias("p_y"))
+    b = prefixed(shapes.filter("closed").select("ref", "points"), "b_")
+    at = {"lo_x": F.col("p_x"), "hi_x": F.col("p_x"), "lo_y": F.col("p_y"), "hi_y": F.col("p_y")}
+    hit = spatial_join(p, b, at, points_box("b_points"), G.point_in_polygon("p_x", "p_y", "b_points"), cell_size(shapes, points_box("points")))
+    top = hit.groupBy(F.col("p_ref").alias("ref")).agg(F.max("b_ref").alias("top"))
+    return points.select("ref").join(top, "ref", "left").join(nearest_shape(points, shapes, reach), "ref", "left").select("ref", F.coalesce("top", "shape", F.lit(-2)).alias("shape"))
+
+
 # --- edits and generated shapes
 
 

@@ -182,6 +182,29 @@ def isovist_zone(cells: DataFrame, edges: DataFrame, origins: DataFrame, reach:
     return cells.filter("filled").select("ref").join(near, "ref", "left").select("ref", F.coalesce("d", F.lit(-1.0)).alias("distance"), F.when(F.col("d").isNull(), -1.0).otherwise(1 / ((F.col("d") + 1) * (F.col("d") + 1))).alias("inverse_square"))
 
 
+def fill_cells(cells: DataFrame, refs: DataFrame, filled: bool = True) -> DataFrame:
+    """cells with those of refs (ref) set filled, or cleared."""
+    return cells.join(refs.select("ref", F.lit(True).alias("_hit")).distinct(), "ref", "left").withColumn("filled", F.when(F.col("_hit"), filled).otherwise(F.col("filled"))).drop("_hit")
+
+
+def clear_cells(cells: DataFrame, links: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """cells without the fill of refs, and links without those that end in them."""
+    gone = refs.select("ref").distinct()
+    kept = links.join(gone.withColumnRenamed("ref", "a"), "a", "left_anti").join(gone.withColumnRenamed("ref", "b"), "b", "left_anti")
+    return fill_cells(cells, refs, False), kept.select("a", "b")
+
+
+def node_bins(edges: DataFrame, ref: int) -> DataFrame:
+    """ref, node_bins: for each cell that one cell sees, how far it sees in that cell's direction."""
+    own = edges.filter(F.col("src") == ref)
+    return own.join(own.groupBy("bin").agg(F.max("dist").alias("far")), "bin").select(F.col("dst").alias("ref"), F.col("far").alias("node_bins"))
+
+
+def pick_cell(u: Column | str, rows: int, cols: int) -> Column:
+    """The index of a cell for a number between 0 and 1, every cell alike."""
+    return F.greatest(F.ceil(G.col(u) * (rows * cols)) - 1, F.lit(0))
+
+
 def cell_at(cells: DataFrame, x: float, y: float, column: str | None = None, origin: tuple[float, float] = (0.0, 0.0), spacing: float = 1.0) -> DataFrame:
     """value: the column's value (or the ref) of the filled cell at a point, -2 if there is none."""
     cx, cy = pixelate(F.lit(x), F.lit(y), origin, spacing)

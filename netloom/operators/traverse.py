@@ -7,7 +7,9 @@ take the frontier loop by themselves.
 
 from __future__ import annotations
 
+import atexit
 import heapq
+import shutil
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -28,9 +30,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         found = spark.conf.get("spark.checkpoint.dir", None)
-        if not found and not context.master.startswith("local["):
+        if not found and not (context.master == "local" or context.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="netloom-"))
+        if not found:
+            found = tempfile.mkdtemp(prefix="netloom-")
+            atexit.register(shutil.rmtree, found, ignore_errors=True)
+        context.setCheckpointDir(found)
     return df.checkpoint(eager=True)
 
 

@@ -238,6 +238,37 @@ def isovist_measures(px: float, py: float, corners: np.ndarray, occluded: float)
     }
 
 
+def occluded_edges(px: float, py: float, walls: np.ndarray) -> list[tuple[int, float]]:
+    """(bin, length) of the isovist's edges that lie on no wall and are longer than 1.5: what is hidden behind a corner lies in that direction."""
+    corners, _ = isovist_polygon(px, py, walls)
+    p = corners - (px, py)
+    q = np.roll(p, -1, axis=0)
+    a, b = np.hypot(p[:, 0], p[:, 1]), np.hypot(q[:, 0], q[:, 1])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        radial = np.abs(p[:, 0] * q[:, 1] - p[:, 1] * q[:, 0]) / (a * b) < 1e-5
+    out = []
+    for k in np.flatnonzero(radial & (np.abs(a - b) > 1.5)).tolist():
+        angle = math.atan2(p[k, 1], p[k, 0])
+        out.append((int(round(angle / (2 * math.pi) * 32)) % 32, float(abs(a[k] - b[k]))))
+    return out
+
+
+def occlusions(points: DataFrame, walls: DataFrame) -> DataFrame:
+    """ref, bin, occ_distance: the longest hidden edge in each angular bin of points (ref, x, y)."""
+    if not V.is_small(walls):
+        raise ValueError("too many walls to send to every task")
+    shared = points.sparkSession.sparkContext.broadcast(walls.select("x1", "y1", "x2", "y2").toPandas().to_numpy(float))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(r.ref, b, d) for r in f.itertuples() for b, d in occluded_edges(r.x, r.y, shared.value)]
+            if rows:
+                yield pd.DataFrame(rows, columns=["ref", "bin", "occ_distance"])
+
+    got = points.select("ref", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).mapInPandas(run, "ref long, bin int, occ_distance double")
+    return got.groupBy("ref", "bin").agg(F.max("occ_distance").alias("occ_distance"))
+
+
 ISOVIST = "ref long, area double, compactness double, drift_angle double, drift_magnitude double, min_radial double, max_radial double, occlusivity double, perimeter double"
 
 

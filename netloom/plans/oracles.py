@@ -161,7 +161,7 @@ g AS (SELECT min(ref) AS a, max(ref) AS b FROM f WHERE y < 10),
 walk(root, ref, depth) AS (SELECT a, a, 0 FROM g UNION SELECT root, dst, depth + 1 FROM walk JOIN near ON ref = src WHERE depth < 60),
 depths AS (SELECT root, ref, min(depth) AS depth FROM walk GROUP BY root, ref),
 {PARENTS.format(edges="near")},
-up(via, k) AS (SELECT b, 0 FROM g UNION ALL SELECT p, CASE WHEN k = 0 THEN 2 ELSE k + 1 END FROM up JOIN parent ON parent.ref = up.via)
+up(via, k) AS (SELECT b, 0 FROM g WHERE b IN (SELECT ref FROM depths) UNION ALL SELECT p, CASE WHEN k = 0 THEN 2 ELSE k + 1 END FROM up JOIN parent ON parent.ref = up.via)
 SELECT b AS target, via AS ref, CAST(k AS BIGINT) AS "order" FROM up, g""",
     "axial_weighted_depth": f"""WITH RECURSIVE {EDGES},
 {reach("lines", "edges", 40)}

@@ -39,6 +39,17 @@ def row_pairs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.filter("src < dst").join(a, "src").join(b, "dst").select("refA", "refB")
 
 
+def point_list(cells: DataFrame) -> DataFrame:
+    """Ref, x, y of filled cells."""
+    return cells.filter("filled").select(F.col("ref").alias("Ref"), "x", "y")
+
+
+def merge_lines(cells: DataFrame, links: DataFrame) -> DataFrame:
+    """x1, y1, x2, y2 of each link between cells."""
+    a, b = (cells.select(F.col("ref").alias(k), F.col("x").alias(f"x{n}"), F.col("y").alias(f"y{n}")) for k, n in (("a", 1), ("b", 2)))
+    return links.join(a, "a").join(b, "b").select("x1", "y1", "x2", "y2")
+
+
 def segment_pairs(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("refA"), F.col("dst").alias("refB"), F.col("weight").alias("ss_weight"), F.when(F.col("side") == "fwd", 0).otherwise(1).alias("for_back"), "dir")
 

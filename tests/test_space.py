@@ -509,3 +509,33 @@ def test_agent_programs():
     assert agents.load_program(agents.save_program(nxt[0])) == nxt[0]
     with pytest.raises(ValueError):
         agents.Settings(rule="nothing")
+
+
+def test_shape_relations(spark):
+    d = shapes_of(spark, [("polygon", [(0, 0), (4, 0), (4, 4), (0, 4)]), ("line", [(1, 1), (2, 2)]), ("line", [(-1, 2), (9, 2)]), ("point", [(3, 3)]), ("polygon", [(20, 20), (21, 20), (21, 21)]), ("line", [(8, 0), (8, 5)])])
+    got = {tuple(r) for r in drawing.shape_connections(d).collect()}
+    assert {p for p in got if p[0] < p[1]} == {(0, 1), (0, 2), (0, 3), (1, 2), (2, 5)}
+    assert {r.ref for r in drawing.shapes_in_region(d, (7, -1, 10, 10)).collect()} == {2, 5}
+    points = spark.createDataFrame([(0, 1.0, 3.0), (1, 8.5, 4.0), (2, 50.0, 50.0)], "ref long, x double, y double")
+    assert {r.ref: r.shape for r in drawing.shape_at(points, d, 2.0).collect()} == {0: 0, 1: 5, 2: -2}
+    assert {r.ref: round(r.distance, 6) for r in drawing.nearest_shape(points, d, 2.0).collect()} == {0: 1.0, 1: 0.5}
+    lines = spark.createDataFrame([(0, 0.0, 0.0, 4.0, 0.0), (1, 0.0, 5.0, 4.0, 5.0)], LINES)
+    more = spark.createDataFrame([(2, 2.0, -1.0, 2.0, 6.0)], LINES)
+    none = spark.createDataFrame([], "src long, dst long")
+    assert sorted(map(tuple, drawing.connect_added(lines, none, more).collect())) == [(0, 2), (1, 2), (2, 0), (2, 1)]
+
+
+def test_cells_and_occlusions(spark):
+    cells = grid(spark, 4, 3)
+    some = cells.filter("ref < 2").select("ref")
+    links = spark.createDataFrame([(0, 5), (3, 4)], "a long, b long")
+    cleared, left = lattice.clear_cells(cells, links, some)
+    assert cleared.filter("filled").count() == 10 and left.count() == 1
+    assert writers.merge_lines(cells, links).count() == 2 and writers.point_list(cleared).count() == 10
+    edges = V.checkpointed(lattice.visibility(cells, no_walls(spark), 10.0))
+    assert {r.ref: r.node_bins for r in lattice.node_bins(edges, 0).collect()}[1] == 3
+    room = [(0.0, 0.0, 9.0, 0.0), (9.0, 0.0, 9.0, 9.0), (9.0, 9.0, 0.0, 9.0), (0.0, 9.0, 0.0, 0.0), (4.0, 3.0, 4.0, 6.0)]
+    walls = spark.createDataFrame([(i, *w) for i, w in enumerate(room)], LINES)
+    got = vga.occlusions(spark.createDataFrame([(1, 2.0, 4.5)], "ref long, x double, y double"), walls).collect()
+    assert {r.bin for r in got} == {3, 29} and all(r.occ_distance > 1.5 for r in got)
+    assert spark.range(1).select(lattice.pick_cell(F.lit(1.0), 3, 4).alias("c"), lattice.pick_cell(F.lit(0.0), 3, 4).alias("d")).first() == (11, 0)
