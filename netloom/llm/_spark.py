@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -39,9 +41,12 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="netloom-")
+        own = tempfile.mkdtemp(prefix="netloom-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        _own_dirs[app] = f"file://{own}"
     return _own_dirs[app]
 
 

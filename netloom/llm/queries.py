@@ -27,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_chat_format": chat.ORACLE_SQL,
     "op3_embedding_neardup": embeddup.ORACLE_SQL,
+    "op5_suffix_array": suffix.ORACLE_SQL,
     "op8_topk": topk.ORACLE_SQL,
     "op10_sharding": sharding.ORACLE_SQL,
 }

@@ -335,3 +335,21 @@ def query(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFram
     return base.join(changed, ["doc", "tag"], "left").select(
         "doc_id", "n_bytes", F.coalesce("gone", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("rest", "sha").alias("kept_sha256")
     )
+
+
+#: By brute force: a hash of every window.
+ORACLE_SQL = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT *, length(h) // 2 AS n FROM d),
+w AS (SELECT r, s, md5(substr(h, 2 * s + 1, 800)) AS k FROM (SELECT r, h, unnest(range(0, n - 399)) AS s FROM n WHERE n >= 400)),
+again AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+starts AS (SELECT r, s FROM w SEMI JOIN again USING (k)),
+marked AS (SELECT r, s, CASE WHEN s - lag(s) OVER (PARTITION BY r ORDER BY s) <= 400 THEN 0 ELSE 1 END AS fresh FROM starts),
+numbered AS (SELECT r, s, sum(fresh) OVER (PARTITION BY r ORDER BY s) AS span FROM marked),
+spans AS (SELECT r, min(s) AS a, max(s) + 400 AS b FROM numbered GROUP BY r, span),
+edges AS (SELECT r, a, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM spans UNION ALL SELECT n.r, n, coalesce(max(b), 0) FROM n LEFT JOIN spans USING (r) GROUP BY n.r, n),
+kept AS (SELECT r, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a, before) AS k FROM edges JOIN n USING (r) GROUP BY r),
+gone AS (SELECT r, sum(b - a) AS removed, count(*) AS spans FROM spans GROUP BY r)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM n JOIN kept USING (r) LEFT JOIN gone USING (r)
+"""
