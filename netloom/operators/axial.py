@@ -116,9 +116,8 @@ def integration(levels: DataFrame, radius: int | None = None, p_value_as_d: bool
     largest = M.palm_tree(n, slots - 1)
     more = n > 1
     p = lambda x: x["c"] / n
-    q = lambda x: F.pow(mean, x["depth"] - 1) / F.factorial(x["depth"]) * F.exp(-mean)
     entropy = F.aggregate("levels", F.lit(0.0), lambda acc, x: acc - p(x) * F.log2(p(x)))
-    relative = F.aggregate("levels", F.lit(0.0), lambda acc, x: acc + p(x) * F.log2(p(x) / q(x)))
+    relative = F.aggregate("levels", F.lit(0.0), lambda acc, x: acc + p(x) * (F.log2(p(x)) - M.log2_poisson(mean, x["depth"] - 1, x["depth"])))
     und = M.or_undefined
     return base.select(
         F.col("root").alias("ref"),

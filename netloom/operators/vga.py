@@ -41,7 +41,6 @@ def visual_global(cells: DataFrame, edges: DataFrame, radius: int | None = None)
     fine, more = (n > 2) & (mean > 1), n > 1
     ra = F.try_divide(2 * (mean - 1), n - 2)
     p = lambda x: F.try_divide(x["c"], n - 1)
-    q = lambda x: F.pow(mean, x["depth"]) / F.factorial(x["depth"] + 1) * F.exp(-mean)
     und = M.or_undefined
     return base.select(
         F.col("root").alias("ref"),
@@ -51,7 +50,7 @@ def visual_global(cells: DataFrame, edges: DataFrame, radius: int | None = None)
         und(fine, F.try_divide(M.p_value(n), ra)).alias("integration_p"),
         und(fine, M.tekl(n, t)).alias("integration_tekl"),
         und(more, F.aggregate("levels", F.lit(0.0), lambda acc, x: acc - p(x) * F.log2(p(x)))).alias("entropy"),
-        und(more, F.aggregate("levels", F.lit(0.0), lambda acc, x: acc + p(x) * F.log2(p(x) / q(x)))).alias("relativised_entropy"),
+        und(more, F.aggregate("levels", F.lit(0.0), lambda acc, x: acc + p(x) * (F.log2(p(x)) - M.log2_poisson(mean, x["depth"], x["depth"] + 1)))).alias("relativised_entropy"),
     )
 
 

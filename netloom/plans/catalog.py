@@ -213,6 +213,24 @@ def segment_topological(spark, d):
     return _r(S.metric(segments, edges, radius=6.0, kind="topological"))
 
 
+@query
+def segment_metric_totals(spark, d):
+    segments, edges = _segments(spark, d)
+    return _r(S.metric(segments, edges, radius=6.0).select("ref", "mean_depth", "mean_depth_slw", "total_depth", "total_nodes", "total_length"), 5)
+
+
+@query
+def segment_topological_totals(spark, d):
+    segments, edges = _segments(spark, d)
+    return _r(S.metric(segments, edges, kind="topological").select("ref", "mean_depth", "total_depth", "total_nodes", "total_length"), 5)
+
+
+@query
+def segment_tulip_totals(spark, d):
+    segments, edges = _segments(spark, d)
+    return _r(S.tulip(segments, edges).select("ref", "integration", "node_count", "total_depth"), 5)
+
+
 def _step(kind):
     def run(spark, d):
         segments, edges = _segments(spark, d)
@@ -364,6 +382,21 @@ def metric_depth(spark, d):
     return _r(vga.depth_map(cells, edges, corner, [_least_filled(cells).first()[0]]))
 
 
+@query
+def metric_global_distances(spark, d):
+    return _r(vga.metric(*_small_sight(spark, d), radius=5.0).drop("mean_angle"))
+
+
+@query
+def metric_depth_lengths(spark, d):
+    return _r(metric_depth(spark, d).drop("angle"))
+
+
+@query
+def metric_depth_link_lengths(spark, d):
+    return _r(QUERIES["metric_depth_link_cost"](spark, d).drop("angle"))
+
+
 @query
 def angular_depth(spark, d):
     cells, edges, corner = _small_sight(spark, d)

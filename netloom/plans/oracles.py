@@ -35,7 +35,7 @@ m AS (SELECT *, t / (n - 1) AS mean, {slots} AS slots, (CASE WHEN n > 2 THEN 2 *
 k AS (SELECT *, n > 1 AS more, n > 2 AND mean > 1 AS fine, 2 * (mean - 1) / nullif(n - 2, 0) AS r,
   CASE WHEN n > slots - 1 THEN (slots - 1) * (n - 0.5 * slots) ELSE n * (n - 1) / 2 END AS largest FROM m),
 h AS (SELECT l.root, -sum(l.n / k.n * log2(l.n / k.n)) AS entropy,
-  sum(l.n / k.n * log2(l.n / k.n / (pow(k.mean, l.depth - 1) / CAST(factorial(l.depth) AS DOUBLE) * exp(-k.mean)))) AS relative
+  sum(l.n / k.n * log2(l.n / k.n / (pow(k.mean, l.depth - 1) / gamma(l.depth + 1.0) * exp(-k.mean)))) AS relative
   FROM levels l JOIN k USING (root) WHERE l.depth > 0 GROUP BY l.root)
 SELECT k.root AS ref, CAST(n AS BIGINT) AS node_count, round(CASE WHEN more THEN mean ELSE -1.0 END, 6) AS mean_depth,
   round(CASE WHEN fine THEN dv / r ELSE -1.0 END, 6) AS integration_hh, round(CASE WHEN fine THEN dv / r ELSE -1.0 END, 6) AS integration_p,
@@ -101,6 +101,56 @@ pieces AS (SELECT ref, t, lead(t) OVER (PARTITION BY ref ORDER BY t) AS t2, row_
 segs AS (SELECT l.ref AS axial_ref, k, l.x1 + (l.x2 - l.x1) * t AS x1, l.y1 + (l.y2 - l.y1) * t AS y1, l.x1 + (l.x2 - l.x1) * t2 AS x2, l.y1 + (l.y2 - l.y1) * t2 AS y2 FROM pieces p JOIN lines l USING (ref) WHERE t2 IS NOT NULL),
 numbered AS (SELECT *, axial_ref * CAST(pow(10, length(CAST((SELECT max(k) FROM segs) AS VARCHAR))) AS BIGINT) + k AS ref FROM segs)"""
 
+#: Steps between states (segment, direction), with turns, lengths and lines.
+STATES = f"""{SPLIT},
+leave AS (SELECT ref AS src, 1 AS sdir, axial_ref AS sa, sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) AS sl, round(x2, 9) AS x, round(y2, 9) AS y, x2 - x1 AS ux, y2 - y1 AS uy FROM numbered
+  UNION ALL SELECT ref, -1, axial_ref, sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2), round(x1, 9), round(y1, 9), x1 - x2, y1 - y2 FROM numbered),
+enter AS (SELECT ref AS dst, 1 AS ddir, axial_ref AS da, sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) AS dl, round(x1, 9) AS x, round(y1, 9) AS y, x2 - x1 AS vx, y2 - y1 AS vy FROM numbered
+  UNION ALL SELECT ref, -1, axial_ref, sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2), round(x2, 9), round(y2, 9), x1 - x2, y1 - y2 FROM numbered),
+turns AS (SELECT src, sdir, dst, ddir, sa, da, sl, dl, {_angle("ux", "uy", "vx", "vy")} AS weight FROM leave JOIN enter USING (x, y) WHERE src <> dst)"""
+COSTS = {"metric": "(sl + dl) / 2", "topological": "CASE WHEN sa = da THEN 0.0 ELSE 1.0 END", "angular": "weight", "tulip": "floor(weight * 513 * 0.5) / 256"}
+
+
+def least_costs(kind: str, roots: str) -> str:
+    """costs(root, ref, cost): relaxation until nothing gets cheaper."""
+    return f"""steps AS MATERIALIZED (SELECT src, sdir, dst, ddir, CAST({COSTS[kind]} AS DOUBLE) AS c FROM turns),
+walk(root, ref, dir, cost) USING KEY (root, ref, dir) AS (
+  SELECT ref, ref, d, CAST(0 AS DOUBLE) FROM ({roots}) r, (VALUES (1), (-1)) v(d)
+  UNION
+  SELECT w.root, e.dst, e.ddir, min(w.cost + e.c) FROM walk w JOIN steps e ON e.src = w.ref AND e.sdir = w.dir
+    LEFT JOIN recurring.walk o ON o.root = w.root AND o.ref = e.dst AND o.dir = e.ddir
+  GROUP BY w.root, e.dst, e.ddir HAVING min(w.cost + e.c) < coalesce(min(o.cost), 1e18) - 1e-9),
+costs AS (SELECT root, ref, min(cost) AS cost FROM walk GROUP BY root, ref)"""
+
+
+def _segment_step(kind: str) -> str:
+    return f"""WITH RECURSIVE {STATES},
+{least_costs(kind, "SELECT min(src) AS ref FROM turns")}
+SELECT n.ref, round(coalesce(cost, -1.0), 6) AS step_depth FROM numbered n LEFT JOIN costs c ON c.ref = n.ref"""
+
+
+def _segment_sums(kind: str, columns: str, where: str = "true") -> str:
+    return f"""WITH RECURSIVE {STATES},
+{least_costs(kind, "SELECT ref FROM numbered")},
+s AS (SELECT root AS ref, count(*) AS n, sum(cost) AS t, sum(len) AS span, sum(cost * len) AS tl, sum(CASE WHEN c.ref = root THEN len END) AS own
+  FROM costs c JOIN (SELECT ref, sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) AS len FROM numbered) l ON l.ref = c.ref WHERE {where} GROUP BY root)
+SELECT ref, {columns} FROM s"""
+
+
+def _lattice_costs(roots: str, extra: str = "") -> str:
+    """costs(root, ref, cost) over the first ten rows: only the root and cells beside a blocked one see on."""
+    return f"""small AS (SELECT ref, x, y FROM f WHERE y < 10),
+corner AS (SELECT DISTINCT a.ref FROM cells a, cells b WHERE a.y < 10 AND b.y < 10 AND NOT b.filled AND a.ref <> b.ref AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1),
+steps AS MATERIALIZED (SELECT src, dst, dist AS c, false AS jump FROM sight WHERE y1 < 10 AND y2 < 10 {extra}),
+walk(root, ref, cost) USING KEY (root, ref) AS (
+  SELECT ref, ref, CAST(0 AS DOUBLE) FROM ({roots}) r
+  UNION
+  SELECT w.root, e.dst, min(w.cost + e.c) FROM walk w JOIN steps e ON e.src = w.ref AND (e.jump OR w.ref = w.root OR w.ref IN (SELECT ref FROM corner))
+    LEFT JOIN recurring.walk o ON o.root = w.root AND o.ref = e.dst
+  GROUP BY w.root, e.dst HAVING min(w.cost + e.c) < coalesce(min(o.cost), 1e18) - 1e-9),
+costs AS (SELECT root, ref, min(cost) AS cost FROM walk GROUP BY root, ref)"""
+
+
 CONNECTIVITY = "SELECT l.ref, count(e.dst) AS connectivity, round(sqrt((any_value(x2) - any_value(x1)) ** 2 + (any_value(y2) - any_value(y1)) ** 2), 6) AS line_length FROM lines l LEFT JOIN edges e ON e.src = l.ref GROUP BY l.ref"
 
 
@@ -110,7 +160,7 @@ f AS (SELECT ref FROM cells WHERE filled),
 {reach("f", "near", limit)},
 s AS (SELECT root, CAST(sum(n) AS DOUBLE) AS n, CAST(sum(depth * n) AS DOUBLE) AS t FROM levels GROUP BY root),
 k AS (SELECT *, t / nullif(n - 1, 0) AS mean, n > 1 AS more, n > 2 AND t / nullif(n - 1, 0) > 1 AS fine FROM s),
-h AS (SELECT l.root, -sum(l.n / (k.n - 1) * log2(l.n / (k.n - 1))) AS entropy, sum(l.n / (k.n - 1) * log2(l.n / (k.n - 1) / (pow(k.mean, l.depth) / CAST(factorial(l.depth + 1) AS DOUBLE) * exp(-k.mean)))) AS relative
+h AS (SELECT l.root, -sum(l.n / (k.n - 1) * log2(l.n / (k.n - 1))) AS entropy, sum(l.n / (k.n - 1) * log2(l.n / (k.n - 1) / (pow(k.mean, l.depth) / gamma(l.depth + 2.0) * exp(-k.mean)))) AS relative
   FROM levels l JOIN k USING (root) WHERE l.depth > 0 GROUP BY l.root)
 SELECT k.root AS ref, CAST(n AS BIGINT) AS node_count, round(CASE WHEN more THEN mean ELSE -1.0 END, 6) AS mean_depth,
   round(CASE WHEN fine THEN 2 * (n * (log2((n + 2) / 3) - 1) + 1) / ((n - 1) * (n - 2)) / (2 * (mean - 1) / (n - 2)) ELSE -1.0 END, 6) AS integration_hh,
@@ -120,7 +170,28 @@ SELECT k.root AS ref, CAST(n AS BIGINT) AS node_count, round(CASE WHEN more THEN
 FROM k LEFT JOIN h ON h.root = k.root"""
 
 
+_DEPTHS = """SELECT s.ref, round(coalesce(cost, 0.0), 6) AS depth, round(sqrt((s.x - o.x) ** 2 + (s.y - o.y) ** 2), 6) AS straight
+FROM small s CROSS JOIN (SELECT x, y FROM small WHERE ref = (SELECT min(ref) FROM small)) o LEFT JOIN costs c ON c.ref = s.ref"""
+
 ORACLES: dict[str, str] = {
+    **{f"segment_{k}_step_depth": _segment_step(k) for k in ("metric", "topological", "tulip")},
+    "segment_angular": f"""WITH RECURSIVE {STATES},
+{least_costs("angular", "SELECT ref FROM numbered")},
+r AS (SELECT root, CAST(NULL AS DOUBLE) AS radius, count(*) AS n, sum(cost) AS t FROM costs GROUP BY root UNION ALL SELECT root, 2.0, count(*), sum(cost) FROM costs WHERE cost <= 2 + 1e-9 GROUP BY root)
+SELECT root, radius, round(CASE WHEN n > 1 THEN t / (n - 1) ELSE -1.0 END, 6) AS mean_depth, n AS node_count, round(CASE WHEN n > 1 THEN t ELSE -1.0 END, 6) AS total_depth FROM r""",
+    "segment_metric_totals": _segment_sums("metric", "round(CASE WHEN n > 1 THEN t / (n - 1) ELSE -1.0 END, 5) AS mean_depth, round(CASE WHEN n > 1 THEN tl / (span - own) ELSE -1.0 END, 5) AS mean_depth_slw, round(t, 5) AS total_depth, n AS total_nodes, round(span, 5) AS total_length", "cost < 6"),
+    "segment_topological_totals": _segment_sums("topological", "round(CASE WHEN n > 1 THEN t / (n - 1) ELSE -1.0 END, 5) AS mean_depth, round(t, 5) AS total_depth, n AS total_nodes, round(span, 5) AS total_length"),
+    "segment_tulip_totals": _segment_sums("tulip", "round(CASE WHEN t > 1e-9 THEN n * n / t ELSE -1.0 END, 5) AS integration, n AS node_count, round(t, 5) AS total_depth"),
+    "metric_global_distances": f"""WITH RECURSIVE {SIGHT},
+{_lattice_costs("SELECT ref FROM small")},
+k AS (SELECT root, cost, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS straight FROM costs JOIN small a ON a.ref = root JOIN small b ON b.ref = costs.ref WHERE cost <= 5)
+SELECT root AS ref, round(sum(cost) / count(*), 6) AS mean_distance, round(sum(straight) / count(*), 6) AS mean_straight, count(*) AS node_count FROM k GROUP BY root""",
+    "metric_depth_lengths": f"""WITH RECURSIVE {SIGHT},
+{_lattice_costs("SELECT min(ref) AS ref FROM small")}
+{_DEPTHS}""",
+    "metric_depth_link_lengths": f"""WITH RECURSIVE {SIGHT},
+{_lattice_costs("SELECT min(ref) AS ref FROM small", "UNION ALL SELECT min(ref), max(ref), 1.0, true FROM f WHERE y < 10 UNION ALL SELECT max(ref), min(ref), 1.0, true FROM f WHERE y < 10")}
+{_DEPTHS}""",
     "axial_edges": f"WITH {EDGES} SELECT * FROM edges",
     "axial_connectivity": f"WITH {EDGES} {CONNECTIVITY}",
     "axial_step_depth": f"""WITH RECURSIVE {EDGES},
