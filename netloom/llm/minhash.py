@@ -6,7 +6,7 @@ shingle's hash, each at a register drawn from it, and a register keeps the shing
 than the latest register of its document it stops. The share of equal registers estimates the probability Jaccard similarity of two documents.
 
 Registers are cut into bands; documents that agree in a band meet in a bucket, and each bucket links its members to its smallest one.
-What these links connect, the company of a document, is verified exactly from the texts, which travel once: a company of up to BLOCK documents
+What these links connect, the company of a document, is verified exactly from the texts, which travel once: a company of up to LEAST_BLOCK documents
 is one group, a larger one is cut into blocks and each pair of blocks is a group. In a group common shingles are counted by an inverted list, and
 what leaves it is a forest of the links, so copies never expand into rows of pairs and no link within a company is lost. Texts with equal word
 sequences are one class from the start.
@@ -30,8 +30,8 @@ from netloom.llm._spark import cut, slices, texts_of, whole_groups
 from netloom.llm.components import components, roots
 
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 25, 6
-#: Documents of a block; shingles in so many documents of a group and more are counted by a matrix product.
-BLOCK, COMMON = 1024, 48
+#: Documents of a block at most, and at least where a company is cut (into eight blocks, if they are no larger); shingles in so many documents of a group and more are counted by a matrix product.
+BLOCK, LEAST_BLOCK, COMMON = 2048, 256, 48
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -224,7 +224,8 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
 def _verified(company: DataFrame, texts: DataFrame, similarity: float, block: int) -> DataFrame:
     """a, b: forests of the links among documents (id) of equal company."""
     sizes = company.groupBy("company").agg(F.count("*").alias("size"))
-    parts = F.ceil(F.col("size") / block).cast("int")
+    mine = F.least(F.lit(float(block)), F.greatest(F.lit(float(min(LEAST_BLOCK, block))), F.col("size") / 8))
+    parts = F.ceil(F.col("size") / mine).cast("int")
     placed = company.join(sizes, "company").withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("id"), parts).cast("int"))
     full = placed.join(texts.select("id", "text"), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     full = full.select("company", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "text")

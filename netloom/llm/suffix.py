@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netloom.llm._spark import cut, slices, whole_groups
+from netloom.llm._spark import cut, discard, slices, whole_groups
 from netloom.llm.minhash import mix
 
 LENGTH = 400
@@ -254,9 +254,10 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int | None = No
     found = cut(every.join(shared, "gram"), "anchors")
     texts = docs.select("doc", "tag", "text").join(found.select(F.col("doc_id").alias("doc"), "tag").distinct(), ["doc", "tag"]).dropDuplicates(["doc", "tag"])
     texts = cut(texts.withColumnRenamed("doc", "doc_id"), "texts")
-    classes = found.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tag", "at")).alias("rep"))
-    sizes = classes.groupBy("gram").agg(F.count("*").alias("k"))
-    sized = cut(classes.join(sizes, "gram").select("gram", "around", "n", "rep.*", "k"), "classes")
+    classes = cut(found.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tag", "at")).alias("rep")), "classes")
+    sizes = cut(classes.groupBy("gram").agg(F.count("*").alias("k")).filter("k > 1"), "sizes")  # as for grams
+    sized = cut(classes.join(sizes, "gram", "left").select("gram", "around", "n", "rep.*", F.coalesce("k", F.lit(1)).alias("k")), "classes")
+    discard(classes)
     copies = sized.filter("k = 1").select("gram", "around", F.lit(-before).alias("lo"), F.lit(0).alias("hi"))
     ranges = copies.union(_built(_strings(sized.filter((F.col("k") > 1) & (F.col("k") <= group)), texts, length, gram), length, before))
     hot = sized.filter(F.col("k") > group)

@@ -7,7 +7,7 @@ share of toxic rows, so scores need no recalibration for it. A threshold for eac
 isn't trained on; languages with too few toxic rows get the threshold chosen over all of them. Language sets thresholds only; it is no input of a score.
 
 Null and empty texts have no words and get the score of a text without any response. Null labels don't count; of several
-labels of a document the highest does. Repeated rows are scored alike. With no label of either kind all scores are 0.
+labels of a document the highest does, and of rows that repeat a doc_id one is learnt from. Repeated rows are scored alike. With no label of either kind all scores are 0.
 """
 
 from __future__ import annotations
@@ -244,7 +244,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), batch.column("lang"), pa.array(out, pa.binary())], names=["doc_id", "toxic", "lang", "ids"])
 
     have = docs.select("doc_id", "text", (F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")).alias("lang"))
-    rows = have.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "lang", "text")  # at most max_train rows of two numbers
+    rows = have.join(F.broadcast(sample), "doc_id")  # at most max_train rows of two numbers
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "toxic")).alias("r")).select("doc_id", "r.toxic", "r.lang", "r.text")  # a repeated id counts once
     rows = rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], T.StructField("toxic", T.IntegerType()), T.StructField("lang", T.StringType()), T.StructField("ids", T.BinaryType())]))
     got = rows.toArrow().to_pylist()
     got.sort(key=lambda r: (r["doc_id"], r["ids"]))
