@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: The largest adjacency that is sent to tasks: below 100 MB.
 KERNEL_EDGES = 8_000_000
+#: The largest graph that one task searches by itself: some 30 MB.
+TASK_EDGES = 2_000_000
 #: Roots that a task of the kernel takes.
 ROOTS_A_TASK = 256
 
@@ -43,8 +45,31 @@ def is_small(edges: DataFrame) -> bool:
     return edges.limit(KERNEL_EDGES + 1).count() <= KERNEL_EDGES
 
 
-def multi_source_depth(edges: DataFrame, origins: DataFrame, limit: int | None = None) -> DataFrame:
-    """ref, depth: hops from the nearest origin. edges: src, dst; origins: ref."""
+def in_one_task(edges: DataFrame, origins: DataFrame, solve: Callable[[Adjacency, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
+    """What `solve` makes of a graph and its origins (numbers of nodes), in one task; the caller has checked the size."""
+    rows = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).union(origins.select(F.col("ref").cast("long"), F.lit(None).cast("long")))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        every = pd.concat(list(frames), ignore_index=True)
+        start = every["dst"].isna().to_numpy()
+        src, dst = every["src"].to_numpy(np.int64), every["dst"].fillna(-1).to_numpy(np.int64)
+        refs = np.unique(np.concatenate([src, dst[~start]]))
+        graph = Adjacency(refs, src[~start], dst[~start])
+        yield solve(graph, np.unique(np.searchsorted(refs, src[start])))
+
+    return rows.repartition(1).mapInPandas(run, schema)
+
+
+def multi_source_depth(edges: DataFrame, origins: DataFrame, limit: int | None = None, task_edges: int = TASK_EDGES) -> DataFrame:
+    """ref, depth: hops from the nearest origin. edges: src, dst; origins: ref. Up to task_edges edges and origins are solved in one task."""
+    if edges.limit(task_edges + 1).count() <= task_edges and origins.limit(task_edges + 1).count() <= task_edges:
+
+        def solve(graph: Adjacency, sources: np.ndarray) -> pd.DataFrame:
+            depth, _ = graph.depths(sources, limit)
+            hit = np.flatnonzero(depth >= 0)
+            return pd.DataFrame({"ref": graph.refs[hit], "depth": depth[hit]})
+
+        return in_one_task(edges, origins, solve, "ref long, depth int")
     seen = frontier = checkpointed(origins.select("ref").distinct().withColumn("depth", F.lit(0)))
     level = 0
     while limit is None or level < limit:
@@ -89,11 +114,12 @@ class Adjacency:
         where = np.repeat(self.start[nodes] - np.cumsum(n) + n, n) + np.arange(n.sum())
         return self.target[where], np.repeat(nodes, n)
 
-    def depths(self, root: int, limit: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Depth of every node (-1: not reached) and the smallest node one level up."""
+    def depths(self, root: int | np.ndarray, limit: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Depth of every node (-1: not reached) from a root or the nearest of several, and the smallest node one level up."""
         depth = np.full(len(self.refs), -1, np.int32)
         parent = np.full(len(self.refs), -1, np.int32)
-        depth[root], level, front = 0, 0, np.array([root])
+        level, front = 0, np.atleast_1d(root).astype(np.int64)
+        depth[front] = 0
         while len(front) and (limit is None or level < limit):
             level += 1
             got, by = self.neighbours(front)
@@ -164,10 +190,20 @@ def path_to(parent: np.ndarray, source: int, to: int) -> list[int]:
     return out[::-1]
 
 
-def shortest_path(edges: DataFrame, source: int, to: int) -> DataFrame:
-    """ref, depth, order along one shortest path by hops, the smallest ref before each node; found by a frontier, then walked back level by level."""
+def shortest_path(edges: DataFrame, source: int, to: int, task_edges: int = TASK_EDGES) -> DataFrame:
+    """ref, depth, order along one shortest path by hops, the smallest ref before each node; in one task, or found by a frontier and walked back level by level."""
     origins = edges.sparkSession.range(1).select(F.lit(source).cast("long").alias("ref"))
-    depth = checkpointed(multi_source_depth(edges, origins))
+    if edges.limit(task_edges + 1).count() <= task_edges:
+
+        def solve(graph: Adjacency, sources: np.ndarray) -> pd.DataFrame:
+            depth, before = graph.depths(sources)
+            end = int(np.searchsorted(graph.refs, to))
+            known = end < len(graph.refs) and graph.refs[end] == to
+            path = path_to(before, int(sources[0]), end) if known else []
+            return pd.DataFrame({"ref": graph.refs[path], "depth": depth[path], "order": depth[path]}) if path else pd.DataFrame({"ref": np.empty(0, np.int64), "depth": np.empty(0, np.int32), "order": np.empty(0, np.int32)})
+
+        return in_one_task(edges, origins, solve, "ref long, depth int, order int")
+    depth = checkpointed(multi_source_depth(edges, origins, task_edges=task_edges))
     found = depth.filter(F.col("ref") == to).first()
     if found is None:
         return depth.limit(0).withColumn("order", F.lit(0))
