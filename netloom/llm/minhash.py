@@ -11,8 +11,8 @@ is one group, a larger one is cut into blocks and each pair of blocks is a group
 what leaves it is a forest of the links, so copies never expand into rows of pairs and no link within a company is lost. Texts with equal word
 sequences are one class from the start.
 
-Documents without a word (null texts, too) are linked with nothing. Rows that repeat a doc_id count as one document,
-whose class is the smallest that any of them has. Further columns are ignored.
+Documents without a word (null texts, too) are linked with nothing. Rows are told apart by doc_id and a hash of the text: rows that repeat a doc_id with
+another text are documents of their own, and of rows equal in both one is kept at most. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netloom.llm._spark import cut, slices, texts_of, whole_groups
@@ -190,18 +190,19 @@ def similar_pairs(texts: list[str], block: np.ndarray, similarity: float, hashes
 
 
 def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """row id, hash of the word sequence, and band keys of each document that has words."""
+    """doc_id, tag, hash of the word sequence, and band keys of each document (doc_id, tag, text) that has words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in slices(batches, "text", 8 << 20):
-            ids, names, doc, element = [], [], [], []
-            for key, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch, "text")):
+            ids, tags, names, doc, element = [], [], [], [], []
+            for key, tag, text in zip(batch.column("doc_id").to_pylist(), batch.column("tag").to_pylist(), texts_of(batch, "text")):
                 words = text.lower().split()
                 if words:
                     h = hashes(words)
                     element.append(shingle_hashes(h))
                     ids.append(key)
+                    tags.append(tag)
                     names.append(hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest())
             if not ids:
                 continue
@@ -216,9 +217,9 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
             for k in range(rows):
                 keys = mix(keys ^ sig[:, :, k])
             offsets = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * bands)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64).ravel()))], names=["doc_id", "words", "bands"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tags, pa.int64()), pa.array(names, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64).ravel()))], names=["doc_id", "tag", "words", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, words binary, bands array<bigint>")
+    return docs.select("doc_id", "tag", "text").mapInArrow(run, "doc_id bigint, tag bigint, words binary, bands array<bigint>")
 
 
 def _verified(company: DataFrame, texts: DataFrame, similarity: float, block: int) -> DataFrame:
@@ -252,21 +253,53 @@ def _verified(company: DataFrame, texts: DataFrame, similarity: float, block: in
     return full.mapInArrow(run, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
-    """doc_id, class_id (smallest doc_id of the class), kept (doc_id = class_id) of each document."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, tag (a hash of the text), text: rows equal in doc_id and tag are equal."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), "text")
+
+
+def _same_key(tag: str = "tag") -> Column:
+    """Is a row's key that of the other side (of_id, of_tag)?"""
+    return (F.col("doc_id").cast("long") == F.col("of_id")) & (F.col(tag) == F.col("of_tag"))
+
+
+def row_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
+    """doc_id, tag, n, class_id, kept for each n rows equal in doc_id and text. One key of a class is kept: that of the least doc_id, then the least tag."""
+    base = _keyed(docs)
     sketches = cut(sketch(base, bands, rows), "sketch")
-    # equal word sequences are one class; the smallest doc_id stands for it
-    classes = cut(sketches.groupBy("words").agg(F.min("doc_id").alias("id"), F.min_by("bands", "doc_id").alias("bands")), "classes")
+    # equal word sequences are one class, numbered as it is written; its first row stands for it
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag"))
+    classes = cut(sketches.groupBy("words").agg(first.alias("first"), F.min_by("bands", "tag").alias("bands")).withColumn("id", F.monotonically_increasing_id()), "classes")
     spread = classes.select("id", F.posexplode("bands").alias("band", "key"))
     heads = spread.groupBy("band", "key").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
     heads = cut(heads, "heads")  # so that a crowded bucket can be split in the join
     company = components(spread.join(heads, ["band", "key"]).select("a", F.col("id").alias("b"))).withColumnRenamed("component", "company")
-    texts = base.withColumnRenamed("doc_id", "id").join(company.select("id"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))  # of rows that repeat an id the smallest text stands
+    standing = company.join(classes, "id").select("id", F.col("first.doc_id").alias("of_id"), F.col("first.tag").alias("of_tag"))
+    texts = base.join(standing, _same_key()).groupBy("id").agg(F.min("text").alias("text"))  # equal rows count once
     found = components(cut(_verified(company, texts, similarity, block), "links"))
-    final = classes.select("words", "id").join(found, "id", "left").select("words", F.coalesce("component", "id").alias("class"))
-    of = sketches.select("doc_id", "words").join(final, "words").groupBy("doc_id").agg(F.min("class").alias("class"))
-    return base.select("doc_id").join(of, "doc_id", "left").select("doc_id", F.coalesce("class", "doc_id").alias("class_id"), F.coalesce(F.col("class") == F.col("doc_id"), F.lit(True)).alias("kept"))
+    final = classes.select("words", "id", "first").join(found, "id", "left").select("words", "first", F.coalesce("component", "id").alias("class"))
+    final = final.join(final.groupBy("class").agg(F.min("first").alias("least")), "class").select("words", "least")
+    of = sketches.select("doc_id", "tag", "words").distinct().join(final, "words").select(F.col("doc_id").alias("of_id"), F.col("tag").alias("of_tag"), "least")
+    kinds = base.groupBy("doc_id", "tag").agg(F.count("*").alias("n"))
+    least = F.col("least")
+    class_id = F.when(least.isNull(), F.col("doc_id")).otherwise(least["doc_id"])
+    kept = least.isNull() | (least["doc_id"].eqNullSafe(F.col("doc_id")) & (least["tag"] == F.col("tag")))
+    return kinds.join(of, _same_key(), "left").select("doc_id", "tag", "n", class_id.alias("class_id"), kept.alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
+    """doc_id, class_id (smallest doc_id of the class), kept (true for one row of the class) of each document."""
+    found = row_classes(docs, similarity, bands, rows, block)
+    return found.select("doc_id", "class_id", F.explode(F.transform(F.sequence(F.lit(1).cast("long"), "n"), lambda k: F.col("kept") & (k == 1))).alias("kept"))
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that near_duplicates() keeps; any one of rows equal in doc_id and text."""
+    kept = cut(row_classes(docs).filter("kept").select(F.col("doc_id").alias("of_id"), F.col("tag").alias("of_tag"), F.col("n").alias("_n")), "kept")
+    rows = docs.withColumn("_tag", F.xxhash64("text"))
+    one = rows.join(kept, _same_key("_tag"))
+    again = one.filter("_n > 1").dropDuplicates(["doc_id", "_tag"])
+    return one.filter("_n = 1").union(again).select(*docs.columns)
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -446,3 +446,26 @@ def test_pipeline(spark, docs, tmp_path):
     brute = brute_repeats([(r.doc_id, (r.text or "").encode()) for r in kept.collect()], 400)
     assert {r.doc_id: len((r.text or "").encode()) for r in final} == {i: b[0] - b[1] for i, b in brute.items()}
     check_pieces(pieces, [(r.doc_id, r.text) for r in final])
+
+
+def test_pipeline_repeated_rows(spark, tmp_path):
+    """Of equal rows one stays whole; further texts under one doc_id are documents of their own, and their near copies go."""
+    import corpus_pipeline
+
+    from netloom.llm._spark import cut
+
+    rng = random.Random(9)
+    twice, other, more = passage(rng, 300), passage(rng, 300, 90), passage(rng, 300, 2000)
+    near = more.split()
+    near[150] = "changed"
+    rows = [(1, twice), (1, twice), (2, other), (2, more), (3, " ".join(near)), (4, None), (4, None)]
+    d = frame(spark, rows, "doc_id long, text string")
+    kept = cut(corpus_pipeline.drop_near_duplicates(spark, d, str(tmp_path)))
+    key = lambda x: (x[0], x[1] or "")
+    want = sorted([(1, twice), (2, other), (2, more), (4, None)], key=key)
+    assert kept.columns == d.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=key) == want
+    final = corpus_pipeline.drop_repeated_passages(spark, kept, str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.text) for r in final), key=key) == want
+    got = minhash.query(d).collect()
+    assert sorted((r.doc_id, r.class_id, r.kept) for r in got) == [(1, 1, False), (1, 1, True), (2, 2, True), (2, 2, True), (3, 2, False), (4, 4, False), (4, 4, True)]
