@@ -21,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class stays, that of the smallest doc_id; of rows equal in doc_id and text one at most."""
+    """One row of each class stays, that of the smallest doc_id; of rows equal in doc_id and text one at most. A null doc_id comes after all others."""
     return minhash.keep_first(docs)
 
 

@@ -12,7 +12,8 @@ what leaves it is a forest of the links, so copies never expand into rows of pai
 sequences are one class from the start.
 
 Documents without a word (null texts, too) are linked with nothing. Rows are told apart by doc_id and a hash of the text: rows that repeat a doc_id with
-another text are documents of their own, and of rows equal in both one is kept at most. Further columns are ignored.
+another text are documents of their own, and of rows equal in both (nulls, too) one is kept at most. Further columns are ignored. A null doc_id counts as an id that comes after all others: such rows are linked and kept
+like others, and the class_id is null where all rows of a class have none.
 """
 
 from __future__ import annotations
@@ -259,8 +260,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _same_key(tag: str = "tag") -> Column:
-    """Is a row's key that of the other side (of_id, of_tag)?"""
-    return (F.col("doc_id").cast("long") == F.col("of_id")) & (F.col(tag) == F.col("of_tag"))
+    """Is a row's key that of the other side (of_id, of_tag)? Null ids are equal."""
+    return F.col("doc_id").cast("long").eqNullSafe(F.col("of_id")) & (F.col(tag) == F.col("of_tag"))
 
 
 def row_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:

@@ -469,3 +469,19 @@ def test_pipeline_repeated_rows(spark, tmp_path):
     assert sorted(((r.doc_id, r.text) for r in final), key=key) == want
     got = minhash.query(d).collect()
     assert sorted((r.doc_id, r.class_id, r.kept) for r in got) == [(1, 1, False), (1, 1, True), (2, 2, True), (2, 2, True), (3, 2, False), (4, 4, False), (4, 4, True)]
+
+
+def test_pipeline_null_ids(spark, tmp_path):
+    """Rows without a doc_id stay like others, and near copies among them go."""
+    import corpus_pipeline
+
+    rng = random.Random(10)
+    alone, copied, known = passage(rng, 300), passage(rng, 300, 2000), passage(rng, 300, 900)
+    near = [x.replace(x.split()[150], "changed") for x in (copied, known)]
+    rows = [(None, alone), (None, copied), (None, near[0]), (7, known), (None, near[1]), (None, None), (8, None)]
+    d = frame(spark, rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, d, str(tmp_path)).collect()]
+    assert len(got) == 5 and {(None, alone), (7, known), (None, None), (8, None)} < set(got)
+    assert len({(None, copied), (None, near[0])} & set(got)) == 1
+    classes = collections.Counter((r.doc_id, r.class_id, r.kept) for r in minhash.query(d).collect())
+    assert classes == {(None, None, True): 3, (None, None, False): 1, (None, 7, False): 1, (7, 7, True): 1, (8, 8, True): 1}
