@@ -68,10 +68,11 @@ def metric_graph(cells: DataFrame, edges: DataFrame, corner: DataFrame) -> V.Adj
     return V.collect_adjacency(nodes, edges.select("src", "dst", "dist"), ("x", "y", "turn"), ("dist",))
 
 
-def metric_search(g: V.Adjacency, sources: list[int], spacing: float = 1.0, angular: bool = False, link_cost: dict[tuple[int, int], float] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def metric_search(g: V.Adjacency, sources: list[int], spacing: float = 1.0, angular: bool = False, link_cost: dict[tuple[int, int], float] | None = None, limit: float = math.inf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Cost, turn (in right angles) and node before of each node on its best path. Paths turn only at cells beside a blocked one.
 
     The cost is the length, or with angular the turn, ties going to the shorter path. link_cost: extra edges and what they cost.
+    The search ends beyond the limit; costs above it aren't final.
     """
     import heapq
 
@@ -91,6 +92,8 @@ def metric_search(g: V.Adjacency, sources: list[int], spacing: float = 1.0, angu
     start = set(sources)
     while heap:
         d, tie, u = heapq.heappop(heap)
+        if d > limit:
+            break
         if done[u]:
             continue
         done[u] = True
@@ -123,8 +126,9 @@ def metric(cells: DataFrame, edges: DataFrame, corner: DataFrame, radius: float
     g = metric_graph(cells, edges, corner)
 
     def solve(g: V.Adjacency, r: int) -> pd.DataFrame:
-        dist, angle, _ = metric_search(g, [r], spacing)
-        hit = np.isfinite(dist) & (dist <= (radius if radius is not None else np.inf))
+        limit = radius if radius is not None else np.inf
+        dist, angle, _ = metric_search(g, [r], spacing, limit=limit)
+        hit = np.isfinite(dist) & (dist <= limit)
         straight = np.hypot(g.node["x"][hit] - g.node["x"][r], g.node["y"][hit] - g.node["y"][r]) * spacing
         n = int(hit.sum())
         return pd.DataFrame({"ref": [g.refs[r]], "mean_angle": [angle[hit].sum() / n], "mean_distance": [dist[hit].sum() / n], "mean_straight": [straight.sum() / n], "node_count": [n]})
@@ -137,8 +141,9 @@ def angular(cells: DataFrame, edges: DataFrame, corner: DataFrame, radius: float
     g = metric_graph(cells, edges, corner)
 
     def solve(g: V.Adjacency, r: int) -> pd.DataFrame:
-        cost, _, _ = metric_search(g, [r], angular=True)
-        hit = np.isfinite(cost) & (cost <= (radius if radius is not None else np.inf))
+        limit = radius if radius is not None else np.inf
+        cost, _, _ = metric_search(g, [r], angular=True, limit=limit)
+        hit = np.isfinite(cost) & (cost <= limit)
         n = int(hit.sum())
         return pd.DataFrame({"ref": [g.refs[r]], "mean_depth": [cost[hit].sum() / n], "total_depth": [cost[hit].sum()], "node_count": [n]})
 

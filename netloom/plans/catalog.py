@@ -359,32 +359,31 @@ def link_data(spark, d):
     return _r(L.link_data(cells, L.merge(cells, pairs.limit(0), pairs), 2.0))
 
 
-def _small_sight(spark, d):
-    """The first ten rows of the lattice with what they see, for searches from every cell."""
-    cells = _lattice(spark, d).filter("y < 10")
-    edges = V.checkpointed(L.visibility(cells, fx.supplier_lines(spark, d), 3.0))
+def _sight_corner(spark, d):
+    """The lattice with what its cells see and which are beside a blocked one."""
+    cells, edges = _sight(spark, d)
     return cells, edges, L.blocked_adjacent(cells)
 
 
 @query
 def metric_global(spark, d):
-    return _r(vga.metric(*_small_sight(spark, d), radius=5.0))
+    return _r(vga.metric(*_sight_corner(spark, d), radius=5.0))
 
 
 @query
 def angular_global(spark, d):
-    return _r(vga.angular(*_small_sight(spark, d), radius=1.0))
+    return _r(vga.angular(*_sight_corner(spark, d), radius=1.0))
 
 
 @query
 def metric_depth(spark, d):
-    cells, edges, corner = _small_sight(spark, d)
+    cells, edges, corner = _sight_corner(spark, d)
     return _r(vga.depth_map(cells, edges, corner, [_least_filled(cells).first()[0]]))
 
 
 @query
 def metric_global_distances(spark, d):
-    return _r(vga.metric(*_small_sight(spark, d), radius=5.0).drop("mean_angle"))
+    return _r(vga.metric(*_sight_corner(spark, d), radius=5.0).drop("mean_angle"))
 
 
 @query
@@ -399,20 +398,20 @@ def metric_depth_link_lengths(spark, d):
 
 @query
 def angular_depth(spark, d):
-    cells, edges, corner = _small_sight(spark, d)
+    cells, edges, corner = _sight_corner(spark, d)
     return _r(vga.depth_map(cells, edges, corner, [_least_filled(cells).first()[0]], "angular"))
 
 
 @query
 def metric_depth_link_cost(spark, d):
-    cells, edges, corner = _small_sight(spark, d)
+    cells, edges, corner = _sight_corner(spark, d)
     ends = cells.filter("filled").agg(F.min("ref"), F.max("ref")).first()
     return _r(vga.depth_map(cells, edges, corner, [ends[0]], links={(ends[0], ends[1]): 1.0}))
 
 
 def _vga_path(kind):
     def run(spark, d):
-        cells, edges, corner = _small_sight(spark, d)
+        cells, edges, corner = _sight_corner(spark, d)
         ends = cells.filter("filled").agg(F.min("ref"), F.max("ref")).first()
         return _r(vga.shortest_path(cells, edges, corner, ends[0], [ends[1]], kind))
 
