@@ -73,6 +73,17 @@ def discard(df: DataFrame | None) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def fresh_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted column names, each with as many underscores ahead as keep it apart from the columns of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose text column holds about max_bytes at most (a single longer row stays whole)."""
     for batch in batches:

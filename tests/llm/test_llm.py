@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -261,6 +262,57 @@ def test_repeats_small_alphabet(spark):
         assert got == want
 
 
+def without_passages(texts, n):
+    """Each text without the words that n words in a row cover which also start elsewhere, and how many words these are."""
+    seen = collections.Counter()
+    for x in texts:
+        w = (x or "").split()
+        seen.update(tuple(w[k : k + n]) for k in range(len(w) - n + 1))
+    out = []
+    for x in texts:
+        at = [m.span() for m in re.finditer(r"\S+", x or "")]
+        w = (x or "").split()
+        gone = np.zeros(len(w) + 1, bool)
+        for k in range(len(w) - n + 1):
+            if seen[tuple(w[k : k + n])] > 1:
+                gone[k : k + n] = True
+        step = np.diff(np.concatenate([[0], gone.astype(int)]))
+        spans = [(at[a][0], at[b - 1][1]) for a, b in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1))]
+        edges = [0, *(e for s in spans for e in s), len(x or "")]
+        out.append(("".join((x or "")[a:b] for a, b in zip(edges[::2], edges[1::2])) if x is not None else None, int(gone.sum())))
+    return out
+
+
+@pytest.mark.parametrize("group", [32768, 2])
+def test_repeated_words(spark, docs, group):
+    """Passages of 50 words repeat whatever their bytes: short words, letters of two bytes, other white space between."""
+    rng = random.Random(21)
+    short = [rng.choice("abcdéü") + rng.choice(["", "x", "y"]) for _ in range(60)]
+    rows = [r[:2] for r in docs]
+    rows += [(100 + k, f"{passage(rng, 30, 9000)} {' '.join(short)} {passage(rng, 30, 9000)}") for k in range(3)]
+    rows += [(110, " ".join(short[:49]) + " " + passage(rng, 20, 9000)), (111, "  " + "\n\t".join(short) + " "), (112, "ed " * 300), (113, "ed " * 200), (114, "ed " * 49)]
+    rows += [(115, rows[4][1]), (115, " ".join(short)), (None, " ".join(short[5:])), (None, None)]
+    want = without_passages([x for _, x in rows], 50)
+    d = frame(spark, rows, "doc_id long, text string")
+    key = lambda x: (repr(x[0]), repr(x[1]))
+    got = suffix.remove_repeats(d, group=group, words=True, removed_col=None).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=key) == sorted(((i, t) for (i, _), (t, _) in zip(rows, want)), key=key)
+    assert sum(n > 0 for _, n in want) > 10 and want[[i for i, _ in rows].index(110)][1] == 0
+    counts = suffix.query(d, 24, group).select("doc_id", "passage_words").collect()
+    assert collections.Counter(map(tuple, counts)) == collections.Counter((i, n) for (i, _), (_, n) in zip(rows, want))
+
+
+def test_repeats_clashing_columns(spark, docs):
+    """Columns of any name pass through with their values."""
+    rows = [(*r[:2], "a", "b", "c", "d", "e") for r in docs]
+    names = ["doc", "tag", "removed", "starts", "_doc"]
+    d = frame(spark, rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    out = suffix.remove_passages(d)
+    assert out.columns == d.columns
+    assert {tuple(r[2:]) for r in out.collect()} == {tuple("abcde")}
+    assert suffix.query(d).count() == len(rows)
+
+
 def test_repeats_edges(spark, docs):
     assert suffix.query(frame(spark, [])).count() == 0
     text = passage(random.Random(9), 200)
@@ -443,8 +495,9 @@ def test_pipeline(spark, docs, tmp_path):
     kept = cut(stages["minhash"](spark, clean, str(tmp_path)))
     assert {r.doc_id for r in kept.collect()} & set(range(30, 38)) == {30}
     final = stages["suffix"](spark, kept, str(tmp_path)).collect()
-    brute = brute_repeats([(r.doc_id, (r.text or "").encode()) for r in kept.collect()], 400)
-    assert {r.doc_id: len((r.text or "").encode()) for r in final} == {i: b[0] - b[1] for i, b in brute.items()}
+    rows = kept.collect()
+    assert {r.doc_id: r.text for r in final} == {r.doc_id: t for r, (t, _) in zip(rows, without_passages([r.text for r in rows], 50))}
+    assert all(r.n_chars == len(r.text or "") for r in final)
     check_pieces(pieces, [(r.doc_id, r.text) for r in final])
 
 
