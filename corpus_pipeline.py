@@ -26,8 +26,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of passages that are also elsewhere go; the documents stay."""
-    return suffix.remove_repeats(docs).select(*docs.columns)
+    """Passages of 50 words and more that are also elsewhere go, every occurrence; the documents stay."""
+    return suffix.remove_passages(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
