@@ -2,11 +2,11 @@
 
 A word's vector is the sum of the embeddings of its hash and of the hashes of its first four and five letters. Filters of one, two and
 three words run over the whole text; the largest response of each filter goes into a logistic output, so the score is a
-probability. Labels are learnt from a bounded sample of the labelled rows, those of least hash (max_train, a parameter); the sample keeps the
-share of toxic rows, so scores need no recalibration for it. A threshold for each language is chosen on a part of the sample that
+probability. Labels are learnt from a bounded sample of the labelled rows, those of least hash (max_train rows and max_words words, parameters: in order of
+the hash, a row whose words would go beyond max_words is passed over); the sample keeps the share of toxic rows, so scores need no recalibration for it. A threshold for each language is chosen on a part of the sample that
 isn't trained on; languages with too few toxic rows get the threshold chosen over all of them. Language sets thresholds only; it is no input of a score.
 
-Null and empty texts have no words and get the score of a text without any response. Null labels don't count; of several
+A row without a doc_id isn't held out, and isn't learnt from either. Null and empty texts have no words and get the score of a text without any response. Null labels don't count; of several
 labels of a document the highest does, and of rows that repeat a doc_id one is learnt from. Repeated rows are scored alike. With no label of either kind all scores are 0.
 """
 
@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netloom.llm._spark import slices, texts_of
+from netloom.llm._spark import cut, discard, fresh_names, slices, texts_of
 
 #: Rows of the embedding table, its width, filters of each width, filter widths.
 BUCKETS, WIDTH, FILTERS, SPANS = 1 << 17, 8, 8, (1, 2, 3)
-MAX_TRAIN, EPOCHS, BATCH, RATE = 6000, 8, 64, 0.15
+MAX_TRAIN, MAX_WORDS, EPOCHS, BATCH, RATE = 6000, 8_000_000, 8, 64, 0.15
 #: Every fifth row of the sample sets thresholds. Toxic rows a language needs there for a threshold of its own.
 CALIBRATION, LEAST_TOXIC, DEFAULT_THRESHOLD = 5, 12, 0.3
 
@@ -65,6 +65,13 @@ class Model:
         return out
 
 
+def _tops(h: np.ndarray, starts: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The largest response of each text: at its words or the first place behind them, where a filter sees nothing. The places after that, whose filters
+    would see the next text, don't count."""
+    bounds = np.stack([starts, starts + words + 1], axis=1).ravel()
+    return np.maximum.reduceat(h, bounds)[::2]
+
+
 def _starts(sizes: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(sizes)[:-1]])
 
@@ -98,7 +105,8 @@ def train(docs: list[np.ndarray], labels: np.ndarray, langs: list[str | None], s
             starts = _starts(sizes)
             x = e[ids[:, 0]] + e[ids[:, 1]] + e[ids[:, 2]]
             hs = model.responses(x)
-            top = np.concatenate([np.maximum.reduceat(h, starts) for h in hs], axis=1) + bias
+            words = sizes - len(gap)
+            top = np.concatenate([_tops(h, starts, words) for h in hs], axis=1) + bias
             act = np.maximum(top, 0)
             p = 1 / (1 + np.exp(-np.clip(act @ weight + model.offset, -30, 30)))
             d = ((p - labels[pick]) / len(pick)).astype(np.float32)
@@ -107,7 +115,7 @@ def train(docs: list[np.ndarray], labels: np.ndarray, langs: list[str | None], s
             g_e_rows, g_e = [], []
             for k, (span, w, h) in enumerate(zip(SPANS, filters, hs)):
                 g = g_act[:, k * FILTERS : (k + 1) * FILTERS]
-                hit_row, value = _argmax(h, starts, sizes), g
+                hit_row, value = _argmax(h, starts, words + 1), g
                 g_w = np.zeros_like(w)
                 for o in range(span):
                     rows = np.minimum(hit_row + o, len(x) - 1)  # pick x FILTERS
@@ -193,18 +201,20 @@ class Scorer:
     def __call__(self, texts: list[str]) -> np.ndarray:
         if len(self.rows) > self.limit:
             self.reset()
+        if not texts:
+            return np.empty(0)
         found = [words_of(x) for x in texts]
         gap = np.zeros(max(SPANS), np.int64)
         flat = self.indexed([w for x in found for w in x])
         sizes = np.array([len(x) for x in found])
-        ids = np.concatenate([y for n, s in zip(sizes.tolist(), _starts(sizes).tolist()) for y in (flat[s : s + n], gap)]) if len(texts) else flat
+        ids = np.concatenate([y for n, s in zip(sizes.tolist(), _starts(sizes).tolist()) for y in (flat[s : s + n], gap)])
         starts = _starts(sizes + len(gap))
         top, col = [], 0
         for span in SPANS:
             h = self.table[ids, col : col + FILTERS]
             for o in range(1, span):
                 h[:-o] += self.table[ids[o:], col + o * FILTERS : col + (o + 1) * FILTERS]
-            top.append(np.maximum.reduceat(h, starts))
+            top.append(_tops(h, starts, sizes))
             col += span * FILTERS
         act = np.maximum(np.concatenate(top, axis=1) + self.model.bias, 0)
         z = act.astype(float) @ self.model.weight.astype(float) + self.model.offset
@@ -221,11 +231,11 @@ def score_features(model: Model, docs: list[np.ndarray]) -> np.ndarray:
 
 
 def held_out(doc_id) -> F.Column:
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
-    """A model from at most max_train labelled rows that aren't held out, those whose hashed doc_id is least."""
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_words: int = MAX_WORDS) -> Model:
+    """A model from at most max_train labelled rows that aren't held out, those whose hashed doc_id is least, and at most max_words words."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
@@ -247,16 +257,30 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
     rows = have.join(F.broadcast(sample), "doc_id")  # at most max_train rows of two numbers
     rows = rows.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "toxic")).alias("r")).select("doc_id", "r.toxic", "r.lang", "r.text")  # a repeated id counts once
     rows = rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], T.StructField("toxic", T.IntegerType()), T.StructField("lang", T.StringType()), T.StructField("ids", T.BinaryType())]))
+    rows = cut(rows, "sample")
+    ordered = rows.select("doc_id", (F.octet_length("ids") / 12).cast("long").alias("n"), F.xxhash64("doc_id").alias("h")).toArrow().to_pylist()  # max_train rows of numbers
+    ordered.sort(key=lambda r: (r["h"], r["doc_id"]))
+    taken, words = [], 0
+    for r in ordered:
+        if words + r["n"] <= max_words:
+            taken.append(r["doc_id"])
+            words += r["n"]
+    if len(taken) < len(ordered):
+        rows = rows.filter(F.col("doc_id").isin(taken))
     got = rows.toArrow().to_pylist()
+    discard(rows)
     got.sort(key=lambda r: (r["doc_id"], r["ids"]))
     x = [np.frombuffer(r["ids"], np.int32).reshape(-1, 3) for r in got[:max_train]]
     return train(x, np.array([r["toxic"] for r in got[:max_train]], float), [r["lang"] for r in got[:max_train]])
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
-    """docs with score, threshold (of the row's language) and rejected. Columns of these names are replaced."""
-    docs = docs.drop("score", "threshold", "rejected")
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("threshold", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
+NAMES = ("score", "threshold", "rejected")
+
+
+def score(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str | None = "lang", names: tuple[str, ...] = NAMES) -> DataFrame:
+    """docs with score, threshold (of the row's language) and rejected, under these names. Columns that have them are replaced."""
+    docs = docs.drop(*names)
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, k) for c, k in zip(names, (T.DoubleType(), T.DoubleType(), T.BooleanType())))])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: BUCKETS x WIDTH numbers
     lang_col = lang_col if lang_col in docs.columns else None
 
@@ -267,7 +291,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str |
             scores = scorer(texts_of(batch, text_col))
             langs = batch.column(lang_col).to_pylist() if lang_col else [None] * batch.num_rows
             limits = np.array([model.thresholds.get(x, model.threshold) for x in langs])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array(limits), pa.array(scores >= limits)], names=[*batch.schema.names, "score", "threshold", "rejected"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array(limits), pa.array(scores >= limits)], names=[*batch.schema.names, *names])
 
     return docs.mapInArrow(run, schema)
 
@@ -280,5 +304,6 @@ def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_clean(spark, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier doesn't reject, with their own columns."""
-    return score(docs, fit(docs, labels)).filter(~F.col("rejected")).select(*docs.columns)
+    """The documents that the classifier doesn't reject, with their own columns, whatever their names."""
+    names = tuple(fresh_names(docs, *NAMES))
+    return score(docs, fit(docs, labels), names=names).filter(~F.col(names[2])).select(*docs.columns)
