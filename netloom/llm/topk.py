@@ -5,8 +5,8 @@ one matrix multiplication in double precision, exact for integers below 2**53. A
 limit on the rank window merges these in two levels, in each task and then per query.
 
 Vectors that are null, or hold null or non-finite components, take no part; an empty vector scores 0. If lengths differ, the
-shorter vector counts as padded with zeros. Ties go to the smaller id; rows that repeat an id are candidates of their own, and
-a query's own id is no candidate of it.
+shorter vector counts as padded with zeros. Ties go to the smaller id; rows that repeat an id are queries and candidates of their own: each
+such query has its own list of k. A query's own id is no candidate of it, in whatever row.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from netloom.llm._spark import cut
+
 #: Rows of a query tile and of a shard.
 QUERY_TILE, SHARD = 4096, 16384
 
@@ -38,17 +40,19 @@ def _matrix(values: pd.Series, width: int) -> np.ndarray:
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int, query_tile: int = QUERY_TILE, shard: int = SHARD) -> DataFrame:
     """query_id, rank from 1, id, score: the k best inner products of each query. Both tables have columns id and v."""
-    n_q, n_c = queries.count(), candidates.count()
+    # equal queries are searched once; a number stands for id and vector
+    kinds = cut(queries.groupBy("id", "v").agg(F.count("*").alias("times")).withColumn("query", F.monotonically_increasing_id()), "queries")
+    n_q, n_c = kinds.count(), candidates.count()
     tiles, shards = max(1, math.ceil(n_q / query_tile)), max(1, math.ceil(n_c / shard))
-    spread = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    q = queries.select("id", "v", spread(tiles).alias("tile"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    c = candidates.select("id", "v", spread(shards).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"))
+    spread = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    q = kinds.select("query", "id", "v", spread("query", tiles).alias("tile"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    c = candidates.select("id", "v", spread("id", shards).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"))
 
     def product(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": np.empty(0, np.int64), "id": np.empty(0, np.int64), "score": np.empty(0)})
+            return pd.DataFrame({"query": np.empty(0, np.int64), "id": np.empty(0, np.int64), "score": np.empty(0)})
         right = right.sort_values("id", kind="stable")
-        ids, own = right["id"].to_numpy(), left["id"].to_numpy()
+        ids, own, number = right["id"].to_numpy(), left["id"].to_numpy(), left["query"].to_numpy()
         width = max(int(left["v"].map(len).max()), int(right["v"].map(len).max()), 1)
         b = _matrix(right["v"], width)
         out = []
@@ -64,12 +68,14 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int, query_tile: int = Q
             row, col, value = row[order], col[order], value[order]
             first = np.searchsorted(row, row, "left")
             keep = np.arange(len(row)) - first < k
-            out.append(pd.DataFrame({"query_id": mine[row[keep]], "id": ids[col[keep]], "score": value[keep]}))
+            out.append(pd.DataFrame({"query": number[at : at + 512][row[keep]], "id": ids[col[keep]], "score": value[keep]}))
         return pd.concat(out)
 
-    best = q.groupBy("tile", "shard").cogroup(c.groupBy("tile", "shard")).applyInPandas(product, "query_id bigint, id bigint, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    best = q.groupBy("tile", "shard").cogroup(c.groupBy("tile", "shard")).applyInPandas(product, "query bigint, id bigint, score double")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    best = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    named = kinds.select("query", F.col("id").alias("query_id"), F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))).alias("_"))
+    return best.join(named, "query").select("query_id", "rank", "id", "score")
 
 
 def query(embeddings: DataFrame) -> DataFrame:
@@ -81,11 +87,11 @@ def query(embeddings: DataFrame) -> DataFrame:
 
 ORACLE_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
-r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY s.r ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
