@@ -10,6 +10,7 @@ roles count as empty; turns that tie are ordered by role, then text. Columns bes
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -103,50 +104,65 @@ def format_conversations(df: DataFrame, template: Template | None = None) -> Dat
 _SEGMENT_SCHEMA = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("seq", pa.int64()), ("segments", pa.list_(pa.struct([("text", pa.string()), ("loss", pa.bool_())]))), ("state", pa.string()), ("fault", pa.string())])
 
 
+class ReadBack:
+    """One formatted conversation, read as its text comes; what isn't yet a whole turn waits."""
+
+    def __init__(self, conv_id: int | None, template: Template):
+        self.conv_id, self.template, self.valid = conv_id, template, False
+        self.turn = re.compile(re.escape(template.open) + "(.*?)" + re.escape(template.says) + "(.*?)" + re.escape(template.close), re.S)
+        self.n_turns = self.loss_chars = self.chars = 0
+        self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
+        self.rest = ""
+
+    def add(self, text: str, loss: bool) -> None:
+        self.chars += len(text)
+        if loss:
+            plain = self.template.unescape(text)
+            self.loss_chars += len(plain)
+            self.loss.update(plain.encode())
+        self.rest += text
+        if not text.endswith(self.template.close[-1]):
+            return
+        at = 0
+        while m := self.turn.match(self.rest, at):
+            self.turns.update(f"{self.template.unescape(m[1])}\n{self.template.unescape(m[2])}\n".encode())
+            self.n_turns += 1
+            at = m.end()
+        self.rest = self.rest[at:]
+
+    def closed(self) -> tuple:
+        if self.rest:
+            raise ValueError(f"conversation {self.conv_id}: text after the last turn isn't a turn")
+        return self.conv_id, self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, self.valid
+
+
 def digest(formatted: DataFrame, template: Template | None = None) -> DataFrame:
     """Reads formatted conversations back: per conversation the count and hash of its turns, and what bears loss.
 
-    Takes the rows as format_conversations() deals and orders them; hashes run on as rows stream by.
+    Takes the rows as format_conversations() deals and orders them; hashes run on as rows stream by. Turns are parsed from the joined text of a
+    conversation, wherever rows begin and end; only the loss flags are taken from its segments.
     """
     template = template or Template()
     schema = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, valid boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
         names = [x.split()[0] for x in schema.split(", ")]
-        turn_re = re.compile(re.escape(template.open) + "(.*?)" + re.escape(template.says) + "(.*?)" + re.escape(template.close), re.S)
-
-        def closed(c):
-            return {"conv_id": c[0], "n_turns": c[1], "turns_sha256": c[2].hexdigest(), "loss_chars": c[3], "loss_sha256": c[4].hexdigest(), "formatted_chars": c[5], "valid": c[6]}
-
-        def batch_of(rows):
-            return pa.RecordBatch.from_pydict({k: pa.array([r[k] for r in rows], t) for k, t in zip(names, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()))})
-
-        now, unset = None, True
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_())
+        unset, now = True, ReadBack(None, template)
         for batch in batches:
             out = []
             for row in batch.to_pylist():
-                if unset or row["conv_id"] != now[0]:
+                if unset or row["conv_id"] != now.conv_id:
                     if not unset:
-                        out.append(closed(now))
-                    now, unset = [row["conv_id"], 0, hashlib.sha256(), 0, hashlib.sha256(), 0, False], False
-                whole = "".join(s["text"] for s in row["segments"])
-                m = turn_re.fullmatch(whole)
-                role, text = template.unescape(m[1]), template.unescape(m[2])
-                now[1] += 1
-                now[2].update(f"{role}\n{text}\n".encode())
+                        out.append(now.closed())
+                    now, unset = ReadBack(row["conv_id"], template), False
                 for s in row["segments"]:
-                    if s["loss"]:
-                        plain = template.unescape(s["text"])
-                        now[3] += len(plain)
-                        now[4].update(plain.encode())
-                now[5] += len(whole)
-                now[6] = row["fault"] is None and row["state"] in template.final
+                    now.add(s["text"], s["loss"])
+                now.valid = row["fault"] is None and row["state"] in template.final
             if out:
-                yield batch_of(out)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
         if not unset:
-            yield batch_of([closed(now)])
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(now.closed(), kinds)], names=names)
 
     return formatted.mapInArrow(run, schema)
 
