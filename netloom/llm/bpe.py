@@ -29,7 +29,7 @@ from netloom.llm._spark import slices, texts_of
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: One cut in so many bytes on average, and bytes of text that the cache of a task may hold.
-CHUNK_BITS, CACHE_BYTES = 12, 24 << 20
+CHUNK_BITS, CACHE_BYTES = 10, 24 << 20
 #: Bytes that the rolling hash sees.
 HASH_WINDOW = 16
 
