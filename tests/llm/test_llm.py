@@ -70,6 +70,14 @@ def test_chat_digest_and_order(spark):
         assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in mine).encode()).hexdigest()
         loss = "".join(x for _, r, x in mine if r == "assistant")
         assert (got[c].n_turns, got[c].loss_chars, got[c].loss_sha256) == (len(mine), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    formatted = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    for r in formatted.collect():
+        assert len(r.segments) == 3
+    t = chat.Template()
+    back, says = chat.ReadBack(1, t), [t.open, "us", f"er{t.says}a\nb", f"c\n{t.close[:3]}", f"{t.close[3:]}{t.open}assistant{t.says}", "d", t.close]
+    for k, x in enumerate(says):  # segments may be cut anywhere
+        back.add(x, k == 5)
+    assert back.closed()[:4] == (1, 2, hashlib.sha256(b"user\na\nbc\n\nassistant\nd\n").hexdigest(), 1)
     assert {c: got[c].valid for c in (1, 2, 3, 4, -7)} == {1: True, 2: False, 3: False, 4: True, -7: True}
     assert chat.query(spark.createDataFrame([], "conv_id long, turn long, role string, text string, segments int")).count() == 1
 
@@ -107,13 +115,18 @@ def test_bpe_query(spark, docs):
     assert clash.columns.count("ids") == 1
 
 
-def test_chunks_are_reused():
-    e = bpe.ChunkedEncoder(bpe.load(BYTE_BPE), 6)
-    text = passage(random.Random(1), 2000)
-    e.encode(text)
-    before = e.misses
-    e.encode("x" + text)
-    assert e.misses - before < 10
+@pytest.mark.parametrize("bits", [6, bpe.CHUNK_BITS])
+def test_chunks_are_reused(bits):
+    """Two texts that share a passage share its chunks, but for those at its ends."""
+    rng = random.Random(1)
+    e = bpe.ChunkedEncoder(bpe.load(BYTE_BPE), bits)
+    shared = passage(rng, 12000)
+    first, second = (f"{passage(rng, 40)} {shared} {passage(rng, 40)}" for _ in range(2))
+    assert e.encode(first).tolist() == e.bpe.encode(first)
+    chunks, before = e.misses, e.misses
+    assert chunks > 15
+    assert e.encode(second).tolist() == e.bpe.encode(second)
+    assert e.misses - before < 25  # chunks of the 80 other words, and windows around them
 
 
 # --- 3 and 8
@@ -165,11 +178,14 @@ def test_top_k(spark, vectors):
     got = collections.defaultdict(list)
     for r in topk.top_k(base.filter("id % 50 = 0"), base, 5, query_tile=4, shard=10).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.id, int(r.score)))
-    ids = collections.Counter(i for i, _ in ok)
+    want = collections.defaultdict(list)
     for q, x in ok:
-        if q % 50 == 0 and ids[q] == 1:
-            want = sorted((-int(sum(a * b for a, b in zip(x, y))), c) for c, y in ok if c != q)[:5]
-            assert got[q] == [(c, -s) for s, c in want]
+        if q % 50 == 0:  # each row with a repeated id has a list of its own
+            want[q] += [(c, -s) for s, c in sorted((-int(sum(a * b for a, b in zip(x, y))), c) for c, y in ok if c != q)[:5]]
+    assert max(map(len, want.values())) > 5
+    assert {q: sorted(x) for q, x in got.items()} == {q: sorted(x) for q, x in want.items()}
+    one = base.filter("id = 0").limit(1)
+    assert sorted(r["rank"] for r in topk.top_k(one.union(one), base, 3).collect()) == [1, 1, 2, 2, 3, 3]
 
 
 def test_components(spark):
@@ -370,6 +386,34 @@ def test_token_count_query(spark, docs):
 # --- 7
 
 
+def plain_score(model, text):
+    """A convolution written out: every filter at every place of the padded text, the best place of each, a logistic output."""
+    words = toxicity.words_of(text)
+    v = [model.embedding[list(toxicity.features(w))].astype(float).sum(axis=0) for w in words] + [np.zeros(toxicity.WIDTH)] * max(toxicity.SPANS)
+    z, column = float(model.offset), 0
+    for span, filters in zip(toxicity.SPANS, model.filters):
+        for f in range(toxicity.FILTERS):
+            best = max(sum(float(v[i + o] @ filters[o, :, f].astype(float)) for o in range(span) if i + o < len(v)) for i in range(len(v)))
+            z += max(best + float(model.bias[column]), 0.0) * float(model.weight[column])
+            column += 1
+    return 1 / (1 + np.exp(-z))
+
+
+def test_scorer_equals_a_plain_convolution():
+    rng = np.random.default_rng(3)
+    shape = lambda *n: rng.normal(0, 0.5, n).astype(np.float32)
+    n = toxicity.FILTERS * len(toxicity.SPANS)
+    model = toxicity.Model(shape(toxicity.BUCKETS + 1, toxicity.WIDTH), [shape(s, toxicity.WIDTH, toxicity.FILTERS) for s in toxicity.SPANS], shape(n), shape(n), -0.4)
+    r = random.Random(6)
+    texts = ["", "one", "one two", "é ü ß", "  !! ", *(passage(r, k) for k in (1, 2, 3, 7, 40, 300)), passage(r, 50) * 3]
+    want = [plain_score(model, x) for x in texts]
+    assert toxicity.Scorer(model)(texts) == pytest.approx(want, abs=1e-5)
+    scorer = toxicity.Scorer(model, limit=8)  # a table that is emptied time and again
+    assert [float(scorer([x])[0]) for x in texts] == pytest.approx(want, abs=1e-5)
+    vectors = [np.array([toxicity.features(w) for w in toxicity.words_of(x)], np.int32).reshape(-1, 3) for x in texts]
+    assert toxicity.score_features(model, vectors) == pytest.approx(want, abs=1e-5)
+
+
 def test_toxicity_learns(spark):
     rng = random.Random(8)
     rows, labels = [], []
@@ -392,6 +436,12 @@ def test_toxicity_learns(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got.values())
     clean = toxicity.keep_clean(spark, d, l)
     assert clean.columns == d.columns and clean.count() > 900
+    clash = d.selectExpr("doc_id", "text", "lang", "'a' as score", "'b' as threshold", "'c' as rejected", "'d' as _score", "n_chars as n_chars")
+    kept = toxicity.keep_clean(spark, clash, l)
+    assert kept.columns == clash.columns and {tuple(r[3:7]) for r in kept.collect()} == {tuple("abcd")}
+    odd = frame(spark, [(None, rows[0][1], None, None, None), (None, passage(rng, 200_000), "en", None, None), *rows])
+    assert [r.held_out for r in toxicity.query(odd, l).filter("doc_id is null").collect()] == [False, False]
+    assert toxicity.fit(d, l, max_words=40 * 20).embedding.shape and toxicity.query(d, l).count() == len(rows)
     assert toxicity.query(frame(spark, []), l).count() == 0
     assert toxicity.query(d, l.limit(0)).filter("predicted = 1").count() == 0
 
@@ -465,16 +515,61 @@ def test_manifest_is_atomic(spark, docs):
     store = sharding.ShardStore(spark, new_path(spark, "shards"), fanout=3)
     df = frame(spark, docs)
     base = store.append(df)
+    before = store.versions()
     with pytest.raises(sharding.CommitConflict):
         store.commit(store.runs(), base - 1)
+    assert store.versions() == before and store.read().count() == len(docs)
     store._write(df)  # a writer that dies before its commit
     assert store.read().count() == len(docs)
-    assert store.vacuum() == 1
+    assert store.vacuum() == 0  # it may be alive
+    assert store.vacuum(older_than=0) == 1
     for _ in range(2):
         store.append(df)
     store.compact()
     assert len(store.runs()) == 1 and store.read().count() == 3 * len(docs)
-    assert store.read(base).schema == df.schema if store.vacuum() == 0 else True
+    assert store.vacuum(older_than=0) == 0
+    assert [store.read(v).count() for v in store.versions()] == [len(docs) * n for n in (1, 2, 3, 3)]
+    assert store.vacuum(keep=1, older_than=0) == 3
+    assert len(store.versions()) == 1 and [store.read(v).count() for v in store.versions()] == [3 * len(docs)]
+
+
+def test_one_of_many_writers_commits(spark, docs):
+    from concurrent.futures import ThreadPoolExecutor
+
+    store = sharding.ShardStore(spark, new_path(spark, "shards"))
+    base = store.append(frame(spark, docs))
+
+    def attempt(k):
+        try:
+            return store.commit([sharding.Run(f"{store.root}/runs/{k}", 1, 1, 1)], base)
+        except sharding.CommitConflict:
+            return None
+
+    with ThreadPoolExecutor(8) as pool:
+        got = list(pool.map(attempt, range(24)))
+    assert [v for v in got if v] == [base + 1]
+    assert store.runs()[0].path.endswith(f"/{[bool(v) for v in got].index(True)}")
+
+
+def test_rename_does_not_overwrite(spark, docs):
+    """The way of stores that aren't local: a rename without options."""
+    store = sharding.ShardStore(spark, new_path(spark, "shards"))
+    base = store.append(frame(spark, docs))
+    store._fs = FarStore(store._fs)
+    assert store.commit([], base) == base + 1
+    with pytest.raises(sharding.CommitConflict):
+        store.commit([], base)
+
+
+class FarStore:
+    def __init__(self, fs):
+        self.fs = fs
+
+    def getScheme(self):
+        return "far"
+
+    def __getattr__(self, name):
+        return getattr(self.fs, name)
 
 
 # --- pipeline
