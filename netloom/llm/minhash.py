@@ -5,11 +5,16 @@ one shingle). Every shingle is a Poisson process whose rate is its count: arriva
 shingle's hash, each at a register drawn from it, and a register keeps the shingle that arrives first. Once a shingle's next arrival is later
 than the latest register of its document it stops. The share of equal registers estimates the probability Jaccard similarity of two documents.
 
-Registers are cut into bands; documents that agree in a band meet in a bucket, and each bucket links its members to its smallest one.
-What these links connect, the company of a document, is verified exactly from the texts, which travel once: a company of up to LEAST_BLOCK documents
-is one group, a larger one is cut into blocks and each pair of blocks is a group. In a group common shingles are counted by an inverted list, and
-what leaves it is a forest of the links, so copies never expand into rows of pairs and no link within a company is lost. Texts with equal word
-sequences are one class from the start.
+Registers are cut into bands; documents that agree in a band meet in a bucket. Links among the members of a bucket are verified exactly from the texts:
+
+1. Each document is compared with one head, of the smallest members of its buckets that which most of them have in common. This is linear, and joins
+   nearly all copies; a head with many documents is cut into blocks.
+2. Buckets whose members aren't all connected by then are searched in full, but for pairs that are connected. Of buckets with equal members one is
+   searched. The largest connected part of a bucket is its main part, which needs no comparison within: the rest is cut into blocks, the main part, too,
+   and each pair of blocks with one of the rest is a group. In a group common shingles are counted by an inverted list, and what leaves it is a forest.
+
+So copies never expand into rows of pairs, no link within a bucket is lost, and chains of buckets aren't searched as a whole. Texts with equal
+word sequences are one class from the start. Links aren't counted, as those between documents known to be connected aren't looked for.
 
 Documents without a word (null texts, too) are linked with nothing. Rows are told apart by doc_id and a hash of the text: rows that repeat a doc_id with
 another text are documents of their own, and of rows equal in both (nulls, too) one is kept at most. Further columns are ignored. A null doc_id counts as an id that comes after all others: such rows are linked and kept
@@ -20,7 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +36,8 @@ from netloom.llm._spark import cut, slices, texts_of, whole_groups
 from netloom.llm.components import components, roots
 
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 25, 6
-#: Documents of a block at most, and at least where a company is cut (into eight blocks, if they are no larger); shingles in so many documents of a group and more are counted by a matrix product.
-BLOCK, LEAST_BLOCK, COMMON = 2048, 256, 48
+#: Documents of a block at most, and at least where a bucket is cut (into eight blocks, if they are no larger); shingles in so many documents of a group and more are counted by a matrix product.
+BLOCK, LEAST_BLOCK, COMMON = 1024, 256, 48
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -137,19 +142,43 @@ def _count_common(into: np.ndarray, token: np.ndarray, doc: np.ndarray) -> None:
             np.add.at(into, (np.repeat(rows, n, axis=1).ravel(), np.tile(rows, (1, n)).ravel()), 1)
 
 
-def similar_pairs(texts: list[str], block: np.ndarray, similarity: float, hashes: WordHashes) -> np.ndarray:
+def shingle_weights(text: str, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a text's shingles, rising, and how often each occurs."""
+    h = np.sort(shingle_hashes(hashes(text.lower().split())))
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
+    return h[first], np.diff(first, append=len(h))
+
+
+def like_first(texts: list[str], similarity: float, hashes: WordHashes) -> np.ndarray:
+    """Is each text at least so similar to the first? With bounds as in similar_pairs()."""
+    head, weights = shingle_weights(texts[0], hashes)
+    total, counts, out = weights.sum(), None, np.zeros(len(texts), bool)
+    for k, text in enumerate(texts):
+        h, w = shingle_weights(text, hashes)
+        at = np.minimum(np.searchsorted(head, h), len(head) - 1)
+        both = head[at] == h
+        x, y = w[both], weights[at[both]]
+        lesser, greater = np.minimum(x, y).sum(), np.maximum(x, y).sum()
+        every = (similarity - 1e-6) * (w.sum() + total - lesser)
+        out[k] = lesser >= every
+        if lesser < every <= greater:
+            counts = counts or shingle_counts(texts[0])
+            out[k] = probability_jaccard(counts, shingle_counts(text)) >= similarity - 1e-9
+    return out
+
+
+def similar_pairs(texts: list[str], block: np.ndarray, similarity: float, hashes: WordHashes, part: np.ndarray | None = None) -> np.ndarray:
     """Label of each text: the first text that links of at least the similarity connect it with. Texts are compared within block 0, if there is no other, or
-    between blocks 0 and 1.
+    between blocks 0 and 1; those of one part aren't compared.
 
     With x and y the counts of shingles, both the sum of the lesser counts and the sum of the greater counts of common shingles, over the sum of all greater counts, bound
     the similarity; only where it lies between them it is worked out pair by pair.
     """
     shingles, weights = [], []
     for text in texts:
-        h = np.sort(shingle_hashes(hashes(text.lower().split())))
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
-        shingles.append(h[first])
-        weights.append(np.diff(first, append=len(h)))
+        h, w = shingle_weights(text, hashes)
+        shingles.append(h)
+        weights.append(w)
     n = len(texts)
     doc = np.repeat(np.arange(n), [len(x) for x in shingles])
     token, weight = np.concatenate(shingles), np.concatenate(weights)
@@ -175,6 +204,8 @@ def similar_pairs(texts: list[str], block: np.ndarray, similarity: float, hashes
     allowed = np.triu(np.ones((n, n), bool), 1) & (common > 0)
     if block.any():
         allowed &= block[:, None] != block[None, :]
+    if part is not None:
+        allowed &= part[:, None] != part[None, :]
     eps = 1e-6
     linked = allowed & (lesser >= (similarity - eps) * every)
     label = roots(n, *np.nonzero(linked))
@@ -223,37 +254,92 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     return docs.select("doc_id", "tag", "text").mapInArrow(run, "doc_id bigint, tag bigint, words binary, bands array<bigint>")
 
 
-def _verified(company: DataFrame, texts: DataFrame, similarity: float, block: int) -> DataFrame:
-    """a, b: forests of the links among documents (id) of equal company."""
-    sizes = company.groupBy("company").agg(F.count("*").alias("size"))
-    mine = F.least(F.lit(float(block)), F.greatest(F.lit(float(min(LEAST_BLOCK, block))), F.col("size") / 8))
-    parts = F.ceil(F.col("size") / mine).cast("int")
-    placed = company.join(sizes, "company").withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("id"), parts).cast("int"))
-    full = placed.join(texts.select("id", "text"), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    full = full.select("company", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "text")
-    full = full.withColumn("task", F.xxhash64("company", "x", "y")).repartition("task").sortWithinPartitions("task", "company", "x", "y", "id")
+def _groups(batch: pa.RecordBatch, *keys: str) -> list[tuple[int, int]]:
+    """First row and the row after the last of each run of rows with equal keys."""
+    new = np.ones(batch.num_rows, bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in (batch.column(c).to_numpy() for c in keys)], axis=0)
+    edges = [*np.flatnonzero(new).tolist(), batch.num_rows]
+    return list(zip(edges, edges[1:]))
+
+
+def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+
+def _like_heads(heads: DataFrame, texts: DataFrame, similarity: float, block: int) -> DataFrame:
+    """a, b: of the pairs of a head (a) and a document (id, greater) those that are similar."""
+    sizes = cut(heads.groupBy("a").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")), "sizes")  # so that a crowded head can be split in the join
+    rows = heads.join(sizes, "a").select("a", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), "id")
+    rows = rows.union(sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), F.col("a")))
+    full = rows.join(texts, "id").withColumn("task", F.xxhash64("a", "part")).repartition("task").sortWithinPartitions("task", "a", "part", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in whole_groups(batches, "task", 8 << 20):
-            keys = [batch.column(c).to_numpy() for c in ("task", "company", "x", "y")]
-            new = np.ones(batch.num_rows, bool)
-            new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
-            edges = [*np.flatnonzero(new).tolist(), batch.num_rows]
-            ids, place, x = batch.column("id").to_numpy(), batch.column("block").to_numpy(), keys[2]
+            ids = batch.column("id").to_numpy()
             a, b = [], []
-            for lo, hi in zip(edges, edges[1:]):
+            for lo, hi in _groups(batch, "task", "a", "part"):
+                like = like_first(batch.column("text").slice(lo, hi - lo).to_pylist(), similarity, hashes)
+                like[0] = False
+                b.append(ids[lo:hi][like])
+                a.append(np.full(len(b[-1]), ids[lo]))
+            yield _pairs(a, b)
+
+    return full.mapInArrow(run, "a bigint, b bigint")
+
+
+def _between_parts(members: DataFrame, texts: DataFrame, similarity: float, block: int) -> DataFrame:
+    """a, b: forests of the links between documents (id) of a bucket that lie in different parts. main: the largest part of a bucket, of most
+    documents; n: documents of the bucket."""
+    mine = F.least(F.lit(float(block)), F.greatest(F.lit(float(min(LEAST_BLOCK, block))), F.col("n") / 8))
+    whole = F.col("n") <= mine
+    rest = F.when(whole, 1).otherwise(F.ceil((F.col("n") - F.col("most")) / mine)).cast("int")
+    more = F.when(whole, 0).otherwise(F.ceil(F.col("most") / mine)).cast("int")
+    of_main = (F.col("part") == F.col("main")) & ~whole
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.greatest(n, F.lit(1))).cast("int")
+    placed = members.withColumns({"rest": rest, "more": more}).withColumn("block", F.when(of_main, F.col("rest") + dealt(F.col("more"))).otherwise(dealt(F.col("rest"))))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(of_main, F.col("rest")).otherwise(F.col("rest") + F.col("more")) - 1)))
+    placed = placed.select("band", "key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "part")
+    full = placed.join(texts, "id").withColumn("task", F.xxhash64("band", "key", "x", "y"))
+    full = full.repartition("task").sortWithinPartitions("task", "band", "key", "x", "y", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in whole_groups(batches, "task", 8 << 20):
+            ids, place, part, x = (batch.column(c).to_numpy() for c in ("id", "block", "part", "x"))
+            a, b = [], []
+            for lo, hi in _groups(batch, "task", "band", "key", "x", "y"):
                 if hi - lo > 1:
-                    label = similar_pairs(batch.column("text").slice(lo, hi - lo).to_pylist(), (place[lo:hi] != x[lo]).astype(int), similarity, hashes)
+                    label = similar_pairs(batch.column("text").slice(lo, hi - lo).to_pylist(), (place[lo:hi] != x[lo]).astype(int), similarity, hashes, part[lo:hi])
                     more = np.flatnonzero(label != np.arange(hi - lo))
                     a.append(ids[lo + label[more]])
                     b.append(ids[lo + more])
             if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+                yield _pairs(a, b)
 
     return full.mapInArrow(run, "a bigint, b bigint")
 
 
+def _links(spread: DataFrame, texts_of_ids: Callable[[DataFrame], DataFrame], similarity: float, block: int) -> DataFrame:
+    """a, b: links that connect what is similar and meets in a bucket. spread: id, band, key."""
+    bucket = ["band", "key"]
+    crowded = cut(spread.groupBy(*bucket).agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n"), "heads")  # so that a crowded bucket can be split in the join
+    members = cut(spread.join(crowded, bucket), "members")
+    texts = cut(texts_of_ids(members.select("id").distinct()), "texts")
+    shared = members.filter("a <> id").groupBy("id", "a").agg(F.count("*").alias("n"))
+    heads = cut(shared.groupBy("id").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")), "heads")
+    first = cut(_like_heads(heads, texts, similarity, block), "links")
+    parts = components(first).withColumnRenamed("component", "part")
+    known = cut(members.join(parts, "id", "left").select("id", *bucket, F.coalesce("part", "id").alias("part")), "members")
+    each = known.groupBy(*bucket, "part").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), F.bit_xor(F.xxhash64("id")).alias("mix"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("mix2"))
+    mixed = each.groupBy(*bucket).agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("part", F.struct("n", -F.col("part"))).alias("main"), F.min("low").alias("low"), F.max("high").alias("high"), F.bit_xor("mix").alias("mix"), F.bit_xor("mix2").alias("mix2"))
+    mixed = mixed.filter("n > most")
+    compared = heads.select(F.lit(2).cast("long").alias("n"), F.col("a").alias("low"), F.col("id").alias("high"))  # buckets of a head and its document
+    mixed = mixed.join(compared, ["n", "low", "high"], "left_anti")
+    mixed = mixed.groupBy("n", "low", "high", "mix", "mix2").agg(F.min(F.struct(*bucket, "main", "most")).alias("one")).select("n", "one.*")  # equal members: one bucket
+    return first.union(_between_parts(known.join(cut(mixed, "mixed"), bucket), texts, similarity, block))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """doc_id, tag (a hash of the text), text: rows equal in doc_id and tag are equal."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), "text")
@@ -272,12 +358,12 @@ def row_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BA
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag"))
     classes = cut(sketches.groupBy("words").agg(first.alias("first"), F.min_by("bands", "tag").alias("bands")).withColumn("id", F.monotonically_increasing_id()), "classes")
     spread = classes.select("id", F.posexplode("bands").alias("band", "key"))
-    heads = spread.groupBy("band", "key").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    heads = cut(heads, "heads")  # so that a crowded bucket can be split in the join
-    company = components(spread.join(heads, ["band", "key"]).select("a", F.col("id").alias("b"))).withColumnRenamed("component", "company")
-    standing = company.join(classes, "id").select("id", F.col("first.doc_id").alias("of_id"), F.col("first.tag").alias("of_tag"))
-    texts = base.join(standing, _same_key()).groupBy("id").agg(F.min("text").alias("text"))  # equal rows count once
-    found = components(cut(_verified(company, texts, similarity, block), "links"))
+
+    def texts_of_ids(ids: DataFrame) -> DataFrame:
+        standing = ids.join(classes, "id").select("id", F.col("first.doc_id").alias("of_id"), F.col("first.tag").alias("of_tag"))
+        return base.join(standing, _same_key()).groupBy("id").agg(F.min("text").alias("text"))  # equal rows count once
+
+    found = components(cut(_links(spread, texts_of_ids, similarity, block), "links"))
     final = classes.select("words", "id", "first").join(found, "id", "left").select("words", "first", F.coalesce("component", "id").alias("class"))
     final = final.join(final.groupBy("class").agg(F.min("first").alias("least")), "class").select("words", "least")
     of = sketches.select("doc_id", "tag", "words").distinct().join(final, "words").select(F.col("doc_id").alias("of_id"), F.col("tag").alias("of_tag"), "least")

@@ -243,6 +243,42 @@ def test_near_duplicate_classes(spark, docs):
     assert minhash.query(twice).count() >= len(docs)
 
 
+def test_near_duplicate_recall(spark):
+    """Families of texts changed more and more, chains among them: classes equal those of all links, whatever the size of blocks."""
+    rng = random.Random(12)
+    texts = []
+    for f in range(30):
+        words = passage(rng, 150, 5000).split()
+        for _ in range(8):
+            if f % 3:
+                words = list(words)  # a chain: each text changes the last one
+            mine = words if f % 3 else list(words)
+            for _ in range(rng.choice([0, 1, 1, 2, 3, 5])):
+                mine[rng.randrange(len(mine))] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(mine))
+    counts = [minhash.shingle_counts(x) for x in texts]
+    n = len(texts)
+    links = [(i, j) for i in range(n) for j in range(i) if i // 8 == j // 8 and minhash.probability_jaccard(counts[i], counts[j]) >= 0.8]
+    want = components.roots(n, *np.array(links).T)
+    assert len(links) > 200 and len(set(want.tolist())) > 40
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for block in (minhash.BLOCK, 3):
+        got = {r.doc_id: r.class_id for r in minhash.near_duplicates(d, block=block).collect()}
+        found = sum(got[i] == got[j] for i, j in links)
+        assert found >= 0.98 * len(links)
+        assert all(want[i] == want[c] for i, c in got.items())  # nothing is linked that isn't
+
+
+@given(st.lists(st.lists(st.sampled_from("abcdef"), max_size=12), min_size=1, max_size=8), st.sampled_from([0.2, 0.5, 0.8]))
+@settings(max_examples=100, deadline=None)
+def test_similar_to_the_first(docs, similarity):
+    texts = [" ".join(x) for x in docs]
+    texts[0] = texts[0] or "a"
+    counts = [minhash.shingle_counts(x) for x in texts]
+    want = [minhash.probability_jaccard(counts[0], c) >= similarity - 1e-9 for c in counts]
+    assert minhash.like_first(texts, similarity, minhash.WordHashes()).tolist() == want
+
+
 # --- 5
 
 
