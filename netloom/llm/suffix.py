@@ -38,7 +38,7 @@ from netloom.llm.minhash import WordHashes, mix
 #: Bytes of a string that may not repeat; words of one, where symbols are words. Grams are half as long.
 LENGTH, WORDS = 400, 50
 #: Strings that one group may hold; bytes of strings that a task builds at once.
-GROUP, BATCH_BYTES = 32768, 12 << 20
+GROUP, BATCH_BYTES = 4096, 12 << 20
 #: Ranges of offsets that a group too large is cut into.
 REFINE = 8
 
