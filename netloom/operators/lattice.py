@@ -62,9 +62,12 @@ def neighbour_edges(cells: DataFrame, filled_only: bool = True) -> DataFrame:
     return out.join(c.select(F.col("ref").alias("dst"), "x", "y"), ["x", "y"]).select("src", "dst", "bit")
 
 
-def grid_connections(cells: DataFrame) -> DataFrame:
-    """ref, grid_connections: a bit for each filled neighbour, of filled cells."""
-    bits = neighbour_edges(cells).groupBy(F.col("src").alias("ref")).agg(F.sum(F.call_function("shiftleft", F.lit(1), F.col("bit"))).alias("grid_connections"))
+def grid_connections(cells: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """ref, grid_connections: a bit for each filled neighbour, of filled cells; of those that edges (src, dst) of the visibility graph show, if given."""
+    near = neighbour_edges(cells)
+    if edges is not None:
+        near = near.join(edges.select("src", "dst"), ["src", "dst"], "left_semi")
+    bits = near.groupBy(F.col("src").alias("ref")).agg(F.sum(F.call_function("shiftleft", F.lit(1), F.col("bit"))).alias("grid_connections"))
     return cells.filter("filled").select("ref").join(bits, "ref", "left").select("ref", F.coalesce("grid_connections", F.lit(0)).cast("long").alias("grid_connections"))
 
 

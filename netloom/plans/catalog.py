@@ -145,7 +145,7 @@ def quick_tidy(spark, d):
 
 @query
 def tidy_lines(spark, d):
-    return _r(S.tidy(fx.supplier_lines(spark, d).filter("x1 = x2 or y1 = y2")))
+    return _r(S.tidy(fx.supplier_lines(spark, d)))
 
 
 # --- segments
@@ -273,7 +273,7 @@ def _least_filled(cells: DataFrame) -> DataFrame:
 
 @query
 def lattice_grid_connections(spark, d):
-    return L.grid_connections(_lattice(spark, d))
+    return L.grid_connections(*_sight(spark, d))
 
 
 @query
@@ -323,14 +323,14 @@ def visual_local(spark, d):
 
 @query
 def visual_global_r3(spark, d):
-    cells = _lattice(spark, d)
-    return _r(vga.visual_global(cells, V.checkpointed(L.neighbour_edges(cells).select("src", "dst")), 3))
+    cells, edges = _sight(spark, d)
+    return _r(vga.visual_global(cells, edges, 3))
 
 
 @query
 def visual_global_rn(spark, d):
-    cells = _lattice(spark, d)
-    return _r(vga.visual_global(cells, V.checkpointed(L.neighbour_edges(cells).select("src", "dst"))))
+    cells, edges = _sight(spark, d)
+    return _r(vga.visual_global(cells, edges))
 
 
 @query
@@ -348,7 +348,8 @@ def through_vision(spark, d):
 @query
 def isovist_zone(spark, d):
     cells, edges = _sight(spark, d)
-    return _r(L.isovist_zone(cells, edges, cells.filter("filled and ref % 100 = 17").select("ref")))
+    starts = fx.supplier_lines(spark, d).select(F.col("x1").alias("x"), F.col("y1").alias("y")).distinct()
+    return _r(L.isovist_zone(cells, edges, cells.filter("filled").join(starts, ["x", "y"], "left_semi").select("ref")))
 
 
 @query
@@ -425,20 +426,19 @@ for _kind in ("visual", "metric", "angular"):
 @query
 def path_zones(spark, d):
     cells, edges = _sight(spark, d)
-    return _r(L_zones(cells, edges))
-
-
-def L_zones(cells, edges):
-    return vga.path_zones(cells, edges, cells.filter("filled and ref % 50 = 3").select("ref"))
+    ends = cells.filter("filled").agg(F.min("ref"), F.max("ref")).first()
+    return _r(vga.path_zones(cells, edges, vga.shortest_path(cells, edges, None, ends[0], [ends[1]], "visual").select("ref")))
 
 
 @query
 def isovist_measures(spark, d):
-    """Isovists of lattice points within a room around the drawing."""
+    """Isovists of the lattice's points within a room around the drawing and the lattice."""
     lines = fx.supplier_lines(spark, d)
-    w = lines.agg(F.max(F.greatest("x1", "x2", "y1", "y2")).alias("m"))
+    cells = _lattice(spark, d).filter("filled")
+    far = lines.select(F.greatest("x1", "x2", "y1", "y2").alias("m")).union(cells.select(F.greatest("x", "y") + 1.0))
+    w = far.agg(F.max("m").alias("m"))
     room = w.select(F.explode(F.array(*[F.struct(*[v.alias(k) for k, v in zip(("x1", "y1", "x2", "y2"), c)]) for c in ((F.lit(-3.0), F.lit(-3.0), F.col("m") + 1, F.lit(-3.0)), (F.col("m") + 1, F.lit(-3.0), F.col("m") + 1, F.col("m") + 1), (F.col("m") + 1, F.col("m") + 1, F.lit(-3.0), F.col("m") + 1), (F.lit(-3.0), F.col("m") + 1, F.lit(-3.0), F.lit(-3.0)))])).alias("c")).select("c.*")
-    points = _lattice(spark, d).filter("filled and x < 10 and y < 10").select("ref", (F.col("x") + 0.37).alias("x"), (F.col("y") + 0.41).alias("y"))
+    points = cells.select("ref", (F.col("x") + 0.37).alias("x"), (F.col("y") + 0.41).alias("y"))
     return _r(vga.isovists(points, lines.select("x1", "y1", "x2", "y2").union(room)), 4)
 
 
@@ -532,10 +532,10 @@ def packed_refs(spark, d):
 
 @query
 def nearest_line(spark, d):
-    """For each point of a lattice corner, the nearest line within 2 and its distance; the smaller ref of equally near ones."""
+    """For each point of the lattice, the nearest line within 2 and its distance; the smaller ref of equally near ones."""
     from netloom.operators.spatial import box, prefixed, spatial_join
 
-    p = _lattice(spark, d).filter("x < 12 and y < 12").select(F.col("ref").alias("p_ref"), (F.col("x") + 0.25).alias("p_x"), (F.col("y") + 0.5).alias("p_y"))
+    p = _lattice(spark, d).select(F.col("ref").alias("p_ref"), (F.col("x") + 0.25).alias("p_x"), (F.col("y") + 0.5).alias("p_y"))
     l = prefixed(fx.supplier_lines(spark, d).select("ref", "x1", "y1", "x2", "y2"), "l_")
     at = {"lo_x": F.col("p_x") - 2, "hi_x": F.col("p_x") + 2, "lo_y": F.col("p_y") - 2, "hi_y": F.col("p_y") + 2}
     dist = G.point_line_distance("p_x", "p_y", "l_x1", "l_y1", "l_x2", "l_y2")

@@ -15,18 +15,26 @@ MEET = """least(a.x1, a.x2) <= greatest(b.x1, b.x2) AND least(b.x1, b.x2) <= gre
     AND ((b.x2 - b.x1) * (a.y1 - b.y1) - (b.y2 - b.y1) * (a.x1 - b.x1)) * ((b.x2 - b.x1) * (a.y2 - b.y1) - (b.y2 - b.y1) * (a.x2 - b.x1)) <= 0"""
 CROSS = MEET.replace("<= 0", "< 0")
 
-EDGES = f"{LINES},\nedges AS (SELECT a.ref AS src, b.ref AS dst FROM lines a JOIN lines b ON a.ref <> b.ref AND {MEET})"
+EDGES = f"{LINES},\nedges AS MATERIALIZED (SELECT a.ref AS src, b.ref AS dst FROM lines a JOIN lines b ON a.ref <> b.ref AND {MEET})"
 
 
-def reach(nodes: str, edges: str, limit: int) -> str:
+def hops(roots: str, edges: str, limit: int | None = None) -> str:
+    """depths(root, ref, depth): breadth-first search from each root, ended by the limit or when nothing new is reached."""
+    until = "" if limit is None else f"AND w.depth < {limit}"
+    return f"""depths(root, ref, depth) USING KEY (root, ref) AS (
+  SELECT ref, ref, 0 FROM {roots}
+  UNION
+  SELECT w.root, e.dst, min(w.depth + 1) FROM depths w JOIN {edges} e ON e.src = w.ref LEFT JOIN recurring.depths o ON o.root = w.root AND o.ref = e.dst
+  WHERE o.ref IS NULL {until} GROUP BY w.root, e.dst)"""
+
+
+def reach(nodes: str, edges: str, limit: int | None = None) -> str:
     """levels(root, depth, n) and depths(root, ref, depth) by breadth-first search from every node."""
-    return f"""walk(root, ref, depth) AS (
-  SELECT ref, ref, 0 FROM {nodes} UNION SELECT walk.root, e.dst, walk.depth + 1 FROM walk JOIN {edges} e ON walk.ref = e.src WHERE walk.depth < {limit}),
-depths AS (SELECT root, ref, min(depth) AS depth FROM walk GROUP BY root, ref),
+    return f"""{hops(nodes, edges, limit)},
 levels AS (SELECT root, depth, count(*) AS n FROM depths GROUP BY root, depth)"""
 
 
-def axial_global(limit: int, radius: int | None) -> str:
+def axial_global(limit: int | None, radius: int | None) -> str:
     slots = "deepest + 2" if radius is None else f"least(deepest + 2, {radius + 1})"
     return f"""WITH RECURSIVE {EDGES},
 {reach("lines", "edges", limit)},
@@ -54,7 +62,7 @@ PARENTS = "parent AS (SELECT d.root, d.ref, min(e.src) AS p FROM depths d JOIN {
 
 CELLS = "cells AS (SELECT p_partkey AS ref, CAST(p_partkey % 50 AS INTEGER) AS x, CAST(p_partkey // 50 AS INTEGER) AS y, p_size > 10 AS filled FROM part)"
 STEPS = "steps(dx, dy, bit) AS (VALUES (1, 0, 0), (1, 1, 1), (0, 1, 2), (-1, 1, 3), (-1, 0, 4), (-1, -1, 5), (0, -1, 6), (1, -1, 7))"
-NEAR = f"{CELLS},\n{STEPS},\nnear AS (SELECT a.ref AS src, b.ref AS dst, bit FROM cells a, steps, cells b WHERE a.filled AND b.filled AND b.x = a.x + dx AND b.y = a.y + dy)"
+NEAR = f"{CELLS},\n{STEPS},\nnear AS MATERIALIZED (SELECT a.ref AS src, b.ref AS dst, bit FROM cells a, steps, cells b WHERE a.filled AND b.filled AND b.x = a.x + dx AND b.y = a.y + dy)"
 
 _BIG, _SMALL = "greatest(abs(dx), abs(dy))", "least(abs(dx), abs(dy))"
 SIGHT = f"""{LINES},
@@ -66,7 +74,7 @@ hidden AS (SELECT DISTINCT a.src, a.dst FROM pairs a JOIN lines b ON {CROSS}),
 ratio AS (SELECT src, dst, dx, dy, x1, y1, x2, y2, sqrt(dx * dx + dy * dy) AS dist, abs(dx) >= abs(dy) AS wide, {_SMALL} / {_BIG} AS q FROM pairs ANTI JOIN hidden USING (src, dst)),
 stepped AS (SELECT *, CASE WHEN q < 1e-12 THEN 0 WHEN q < tan(radians(15)) THEN 1 WHEN q < tan(radians(30)) THEN 2 WHEN q < 1 - 1e-12 THEN 3 ELSE 4 END AS step,
   CASE WHEN wide AND dx >= 0 THEN 0 WHEN NOT wide AND dy > 0 THEN 8 WHEN wide THEN 16 ELSE 24 END AS quarter FROM ratio),
-sight AS (SELECT *, (quarter + 32 + CASE WHEN CASE quarter WHEN 0 THEN dy >= 0 WHEN 8 THEN dx <= 0 WHEN 16 THEN dy <= 0 ELSE dx >= 0 END THEN step ELSE -step END) % 32 AS bin FROM stepped)"""
+sight AS MATERIALIZED (SELECT *, (quarter + 32 + CASE WHEN CASE quarter WHEN 0 THEN dy >= 0 WHEN 8 THEN dx <= 0 WHEN 16 THEN dy <= 0 ELSE dx >= 0 END THEN step ELSE -step END) % 32 AS bin FROM stepped)"""
 
 ZONES = """zones AS (SELECT CAST(n_nationkey AS BIGINT) AS ref, -0.5 + (n_nationkey % 5) * 0.2 AS x1, -0.5 + (n_nationkey // 5) * 0.2 AS y1, -0.5 + (n_nationkey % 5 + 1) * 0.2 AS x2, -0.5 + (n_nationkey // 5 + 1) * 0.2 AS y2 FROM nation),
 points AS (SELECT vec_id AS ref, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(label AS DOUBLE) AS value FROM embeddings),
@@ -137,27 +145,26 @@ s AS (SELECT root AS ref, count(*) AS n, sum(cost) AS t, sum(len) AS span, sum(c
 SELECT ref, {columns} FROM s"""
 
 
-def _lattice_costs(roots: str, extra: str = "") -> str:
-    """costs(root, ref, cost) over the first ten rows: only the root and cells beside a blocked one see on."""
-    return f"""small AS (SELECT ref, x, y FROM f WHERE y < 10),
-corner AS (SELECT DISTINCT a.ref FROM cells a, cells b WHERE a.y < 10 AND b.y < 10 AND NOT b.filled AND a.ref <> b.ref AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1),
-steps AS MATERIALIZED (SELECT src, dst, dist AS c, false AS jump FROM sight WHERE y1 < 10 AND y2 < 10 {extra}),
+def _lattice_costs(roots: str, extra: str = "", within: float = 1e18) -> str:
+    """costs(root, ref, cost): only the root and cells beside a blocked one see on."""
+    return f"""small AS (SELECT ref, x, y FROM f),
+corner AS MATERIALIZED (SELECT DISTINCT a.ref FROM cells a JOIN cells b ON b.x BETWEEN a.x - 1 AND a.x + 1 AND b.y BETWEEN a.y - 1 AND a.y + 1 WHERE NOT b.filled AND a.ref <> b.ref),
+steps AS MATERIALIZED (SELECT src, dst, dist AS c, false AS jump FROM sight {extra}),
 walk(root, ref, cost) USING KEY (root, ref) AS (
   SELECT ref, ref, CAST(0 AS DOUBLE) FROM ({roots}) r
   UNION
   SELECT w.root, e.dst, min(w.cost + e.c) FROM walk w JOIN steps e ON e.src = w.ref AND (e.jump OR w.ref = w.root OR w.ref IN (SELECT ref FROM corner))
     LEFT JOIN recurring.walk o ON o.root = w.root AND o.ref = e.dst
-  GROUP BY w.root, e.dst HAVING min(w.cost + e.c) < coalesce(min(o.cost), 1e18) - 1e-9),
+  WHERE w.cost + e.c <= {within} GROUP BY w.root, e.dst HAVING min(w.cost + e.c) < coalesce(min(o.cost), 1e18) - 1e-9),
 costs AS (SELECT root, ref, min(cost) AS cost FROM walk GROUP BY root, ref)"""
 
 
 CONNECTIVITY = "SELECT l.ref, count(e.dst) AS connectivity, round(sqrt((any_value(x2) - any_value(x1)) ** 2 + (any_value(y2) - any_value(y1)) ** 2), 6) AS line_length FROM lines l LEFT JOIN edges e ON e.src = l.ref GROUP BY l.ref"
 
 
-def _visual_global(limit: int) -> str:
-    return f"""WITH RECURSIVE {NEAR},
-f AS (SELECT ref FROM cells WHERE filled),
-{reach("f", "near", limit)},
+def _visual_global(limit: int | None) -> str:
+    return f"""WITH RECURSIVE {SIGHT},
+{reach("f", "sight", limit)},
 s AS (SELECT root, CAST(sum(n) AS DOUBLE) AS n, CAST(sum(depth * n) AS DOUBLE) AS t FROM levels GROUP BY root),
 k AS (SELECT *, t / nullif(n - 1, 0) AS mean, n > 1 AS more, n > 2 AND t / nullif(n - 1, 0) > 1 AS fine FROM s),
 h AS (SELECT l.root, -sum(l.n / (k.n - 1) * log2(l.n / (k.n - 1))) AS entropy, sum(l.n / (k.n - 1) * log2(l.n / (k.n - 1) / (pow(k.mean, l.depth) / gamma(l.depth + 2.0) * exp(-k.mean)))) AS relative
@@ -170,6 +177,12 @@ SELECT k.root AS ref, CAST(n AS BIGINT) AS node_count, round(CASE WHEN more THEN
 FROM k LEFT JOIN h ON h.root = k.root"""
 
 
+#: up(via, k): the cells of the best path by hops from the least filled cell to the greatest, from its end.
+WAY = f"""g AS (SELECT min(ref) AS a, max(ref) AS b FROM f),
+{hops("(SELECT a AS ref FROM g)", "sight")},
+{PARENTS.format(edges="sight")},
+up(via, k) AS (SELECT b, 0 FROM g WHERE b IN (SELECT ref FROM depths) UNION ALL SELECT p, CASE WHEN k = 0 THEN 2 ELSE k + 1 END FROM up JOIN parent ON parent.ref = up.via),"""
+
 _DEPTHS = """SELECT s.ref, round(coalesce(cost, 0.0), 6) AS depth, round(sqrt((s.x - o.x) ** 2 + (s.y - o.y) ** 2), 6) AS straight
 FROM small s CROSS JOIN (SELECT x, y FROM small WHERE ref = (SELECT min(ref) FROM small)) o LEFT JOIN costs c ON c.ref = s.ref"""
 
@@ -183,20 +196,20 @@ SELECT root, radius, round(CASE WHEN n > 1 THEN t / (n - 1) ELSE -1.0 END, 6) AS
     "segment_topological_totals": _segment_sums("topological", "round(CASE WHEN n > 1 THEN t / (n - 1) ELSE -1.0 END, 5) AS mean_depth, round(t, 5) AS total_depth, n AS total_nodes, round(span, 5) AS total_length"),
     "segment_tulip_totals": _segment_sums("tulip", "round(CASE WHEN t > 1e-9 THEN n * n / t ELSE -1.0 END, 5) AS integration, n AS node_count, round(t, 5) AS total_depth"),
     "metric_global_distances": f"""WITH RECURSIVE {SIGHT},
-{_lattice_costs("SELECT ref FROM small")},
+{_lattice_costs("SELECT ref FROM small", within=5)},
 k AS (SELECT root, cost, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS straight FROM costs JOIN small a ON a.ref = root JOIN small b ON b.ref = costs.ref WHERE cost <= 5)
 SELECT root AS ref, round(sum(cost) / count(*), 6) AS mean_distance, round(sum(straight) / count(*), 6) AS mean_straight, count(*) AS node_count FROM k GROUP BY root""",
     "metric_depth_lengths": f"""WITH RECURSIVE {SIGHT},
 {_lattice_costs("SELECT min(ref) AS ref FROM small")}
 {_DEPTHS}""",
     "metric_depth_link_lengths": f"""WITH RECURSIVE {SIGHT},
-{_lattice_costs("SELECT min(ref) AS ref FROM small", "UNION ALL SELECT min(ref), max(ref), 1.0, true FROM f WHERE y < 10 UNION ALL SELECT max(ref), min(ref), 1.0, true FROM f WHERE y < 10")}
+{_lattice_costs("SELECT min(ref) AS ref FROM small", "UNION ALL SELECT min(ref), max(ref), 1.0, true FROM f UNION ALL SELECT max(ref), min(ref), 1.0, true FROM f")}
 {_DEPTHS}""",
     "axial_edges": f"WITH {EDGES} SELECT * FROM edges",
     "axial_connectivity": f"WITH {EDGES} {CONNECTIVITY}",
     "axial_step_depth": f"""WITH RECURSIVE {EDGES},
-walk(ref, depth) AS (SELECT min(src), 0 FROM edges UNION SELECT dst, depth + 1 FROM walk JOIN edges ON ref = src WHERE depth < 60),
-d AS (SELECT ref, min(depth) AS depth FROM walk GROUP BY ref)
+{hops('(SELECT min(src) AS ref FROM edges)', 'edges')},
+d AS (SELECT ref, depth FROM depths)
 SELECT l.ref, CAST(coalesce(depth, -1) AS BIGINT) AS step_depth FROM lines l LEFT JOIN d USING (ref)""",
     "axial_local": f"""WITH {EDGES},
 deg AS (SELECT src, count(*) AS d FROM edges GROUP BY src),
@@ -205,11 +218,11 @@ two AS (SELECT src, dst FROM edges UNION SELECT a.src, b.dst FROM edges a JOIN e
 r AS (SELECT src, count(*) AS reach FROM two GROUP BY src)
 SELECT l.ref, round(coalesce(control, -1.0), 6) AS control, round(coalesce(d / (reach - 1), -1.0), 6) AS controllability
 FROM lines l LEFT JOIN deg ON deg.src = l.ref LEFT JOIN ctl ON ctl.src = l.ref LEFT JOIN r ON r.src = l.ref""",
-    "axial_integration_rn": axial_global(40, None),
+    "axial_integration_rn": axial_global(None, None),
     "axial_integration_r3": axial_global(3, 3),
     "axial_integration_r2_frontier": axial_global(2, 2),
     "axial_choice": f"""WITH RECURSIVE {EDGES},
-{reach("lines", "edges", 40)},
+{reach("lines", "edges")},
 {PARENTS.format(edges="edges")},
 up(root, target, via) AS (SELECT root, ref, p FROM parent UNION ALL SELECT up.root, up.target, parent.p FROM up JOIN parent ON parent.root = up.root AND parent.ref = up.via),
 wt AS (SELECT ref, weight / 1000 AS w FROM lines),
@@ -221,21 +234,15 @@ k AS (SELECT ref, n, tw, coalesce(c, 0) AS c, coalesce(cw, 0) + coalesce(e, 0) A
 SELECT ref, round(CASE WHEN n > 2 THEN CAST(c AS DOUBLE) ELSE -1.0 END, 4) AS choice, round(CASE WHEN n > 2 THEN 2 * c / ((n - 1) * (n - 2)) ELSE -1.0 END, 4) AS choice_norm,
   round(CASE WHEN n > 2 THEN cw ELSE -1.0 END, 4) AS choice_weighted, round(CASE WHEN n > 2 AND tw <> 0 THEN 2 * cw / (tw * tw) ELSE -1.0 END, 4) AS choice_weighted_norm FROM k""",
     "axial_shortest_path": f"""WITH RECURSIVE {EDGES},
-walk(root, ref, depth) AS (SELECT min(src), min(src), 0 FROM edges UNION SELECT root, dst, depth + 1 FROM walk JOIN edges ON ref = src WHERE depth < 60),
-depths AS (SELECT root, ref, min(depth) AS depth FROM walk GROUP BY root, ref),
+{hops("(SELECT min(src) AS ref FROM edges)", "edges")},
 {PARENTS.format(edges="edges")},
 up(via) AS (SELECT arg_max(ref, depth * 1000000 - ref) FROM depths UNION ALL SELECT p FROM up JOIN parent ON parent.ref = up.via)
 SELECT ref, CAST(depth AS BIGINT) AS depth, CAST(depth AS BIGINT) AS "order" FROM depths JOIN up ON via = ref""",
     "visual_shortest_path": f"""WITH RECURSIVE {SIGHT},
-near AS (SELECT s.src, s.dst FROM sight s WHERE s.y1 < 10 AND s.y2 < 10),
-g AS (SELECT min(ref) AS a, max(ref) AS b FROM f WHERE y < 10),
-walk(root, ref, depth) AS (SELECT a, a, 0 FROM g UNION SELECT root, dst, depth + 1 FROM walk JOIN near ON ref = src WHERE depth < 60),
-depths AS (SELECT root, ref, min(depth) AS depth FROM walk GROUP BY root, ref),
-{PARENTS.format(edges="near")},
-up(via, k) AS (SELECT b, 0 FROM g WHERE b IN (SELECT ref FROM depths) UNION ALL SELECT p, CASE WHEN k = 0 THEN 2 ELSE k + 1 END FROM up JOIN parent ON parent.ref = up.via)
+{WAY.rstrip(",")}
 SELECT b AS target, via AS ref, CAST(k AS BIGINT) AS "order" FROM up, g""",
     "axial_weighted_depth": f"""WITH RECURSIVE {EDGES},
-{reach("lines", "edges", 40)}
+{reach("lines", "edges")}
 SELECT root AS ref, round(CASE WHEN count(*) > 1 THEN sum(depth * weight) / sum(weight) ELSE -1.0 END, 6) AS mean_depth_weighted, round(sum(weight), 6) AS total_weight
 FROM depths JOIN lines USING (ref) GROUP BY root""",
     "links_unlinks": f"""WITH {EDGES},
@@ -247,20 +254,23 @@ p AS (SELECT a.ref AS a, b.ref AS b, a.x1, a.y1, a.x2 - a.x1 AS dx, a.y2 - a.y1
   ((b.x1 - a.x1) * (b.y2 - b.y1) - (b.y1 - a.y1) * (b.x2 - b.x1)) / nullif((a.x2 - a.x1) * (b.y2 - b.y1) - (a.y2 - a.y1) * (b.x2 - b.x1), 0) AS t
   FROM edges e JOIN lines a ON a.ref = e.src JOIN lines b ON b.ref = e.dst WHERE e.src < e.dst)
 SELECT a, b, round(x1 + t * dx, 6) AS x, round(y1 + t * dy, 6) AS y FROM p WHERE t IS NOT NULL""",
-    "copurchase_components_depth": """WITH RECURSIVE l AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_quantity >= 49),
-edges AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM l a JOIN l b USING (l_orderkey) WHERE a.l_partkey <> b.l_partkey),
-walk(ref, depth) AS (SELECT min(src), 0 FROM edges UNION SELECT dst, depth + 1 FROM walk JOIN edges ON ref = src WHERE depth < 30),
-d AS (SELECT ref, min(depth) AS depth FROM walk GROUP BY ref)
+    "copurchase_components_depth": f"""WITH RECURSIVE l AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_quantity >= 49),
+edges AS MATERIALIZED (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM l a JOIN l b USING (l_orderkey) WHERE a.l_partkey <> b.l_partkey),
+{hops('(SELECT min(src) AS ref FROM edges)', 'edges')},
+d AS (SELECT ref, depth FROM depths)
 SELECT n.src AS ref, CAST(coalesce(depth, -1) AS BIGINT) AS step_depth FROM (SELECT DISTINCT src FROM edges) n LEFT JOIN d ON d.ref = n.src""",
     "quick_tidy": f"""WITH {LINES},
 every AS (SELECT ref, x1, y1, x2, y2 FROM lines UNION ALL SELECT ref + 100000, x2, y2, x1, y1 FROM lines WHERE ref % 5 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY CASE WHEN (x1, y1) <= (x2, y2) THEN (x1, y1, x2, y2) ELSE (x2, y2, x1, y1) END ORDER BY ref DESC) AS k FROM every)
 SELECT ref, x1, y1, x2, y2 FROM r WHERE k = 1""",
     "tidy_lines": f"""WITH {LINES},
-p AS (SELECT ref, x1 = x2 AS up, CASE WHEN x1 = x2 THEN x1 ELSE y1 END AS c, CASE WHEN x1 = x2 THEN least(y1, y2) ELSE least(x1, x2) END AS lo, CASE WHEN x1 = x2 THEN greatest(y1, y2) ELSE greatest(x1, x2) END AS hi FROM lines WHERE x1 = x2 OR y1 = y2),
-q AS (SELECT *, max(hi) OVER (PARTITION BY up, c ORDER BY lo, hi, ref ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM p),
-i AS (SELECT *, sum(CASE WHEN reach IS NULL OR lo > reach THEN 1 ELSE 0 END) OVER (PARTITION BY up, c ORDER BY lo, hi, ref ROWS UNBOUNDED PRECEDING) AS island FROM q)
-SELECT min(ref) AS ref, CASE WHEN up THEN c ELSE min(lo) END AS x1, CASE WHEN up THEN min(lo) ELSE c END AS y1, CASE WHEN up THEN c ELSE max(hi) END AS x2, CASE WHEN up THEN max(hi) ELSE c END AS y2 FROM i GROUP BY up, c, island""",
+p AS (SELECT ref, least((x1, y1), (x2, y2)) AS a, greatest((x1, y1), (x2, y2)) AS b FROM (SELECT ref, x1, y1, x2, y2 FROM lines)),
+q AS (SELECT ref, a[1] AS ax, a[2] AS ay, b[1] AS bx, b[2] AS bz FROM p),
+s AS (SELECT *, CASE WHEN ax = bx THEN NULL ELSE round((bz - ay) / (bx - ax), 9) END AS slope, round(CASE WHEN ax = bx THEN ax ELSE ay - (bz - ay) / (bx - ax) * ax END, 9) + 0.0 AS c,
+  CASE WHEN ax = bx THEN ay ELSE ax END AS lo, CASE WHEN ax = bx THEN bz ELSE bx END AS hi FROM q),
+r AS (SELECT *, max(hi) OVER (PARTITION BY slope, c ORDER BY lo, hi, ref ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s),
+i AS (SELECT *, sum(CASE WHEN reach IS NULL OR lo > reach THEN 1 ELSE 0 END) OVER (PARTITION BY slope, c ORDER BY lo, hi, ref ROWS UNBOUNDED PRECEDING) AS island FROM r)
+SELECT min(ref) AS ref, arg_min(ax, lo) AS x1, arg_min(ay, lo) AS y1, arg_max(bx, hi) AS x2, arg_max(bz, hi) AS y2 FROM i GROUP BY slope, c, island""",
     "segment_split": f"WITH {SPLIT} SELECT axial_ref AS ref, count(*) AS pieces, round(sum(sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2)), 6) AS length FROM numbered GROUP BY axial_ref",
     "segment_connectivity": f"""WITH {LINES},
 {_ends("lines")},
@@ -273,11 +283,13 @@ SELECT ref, round(coalesce(a, 0.0), 6) AS angular_connectivity, coalesce(c, 0) A
     "push_axial_to_segment": f"""WITH {SPLIT.replace(LINES, EDGES)},
 c AS (SELECT l.ref, count(e.dst) AS connectivity FROM lines l LEFT JOIN edges e ON e.src = l.ref GROUP BY l.ref)
 SELECT axial_ref, connectivity AS axial_connectivity, count(*) AS pieces FROM numbered n JOIN c ON c.ref = n.axial_ref GROUP BY axial_ref, connectivity""",
-    "lattice_grid_connections": f"WITH {NEAR} SELECT c.ref, CAST(coalesce(sum(1 << bit), 0) AS BIGINT) AS grid_connections FROM cells c LEFT JOIN near ON src = ref WHERE c.filled GROUP BY c.ref",
+    "lattice_grid_connections": f"""WITH {SIGHT}, {STEPS},
+near AS (SELECT s.src, bit FROM sight s JOIN steps ON s.dx = steps.dx AND s.dy = steps.dy)
+SELECT f.ref, CAST(coalesce(sum(1 << bit), 0) AS BIGINT) AS grid_connections FROM f LEFT JOIN near ON src = ref GROUP BY f.ref""",
     "lattice_blocked_adjacent": f"WITH {CELLS}, {STEPS} SELECT a.ref, coalesce(bool_or(NOT b.filled), false) AS blocked_adjacent FROM cells a CROSS JOIN steps LEFT JOIN cells b ON b.x = a.x + dx AND b.y = a.y + dy GROUP BY a.ref",
     "lattice_flood_fill": f"""WITH RECURSIVE {NEAR},
-walk(ref, depth) AS (SELECT min(ref), 0 FROM cells WHERE filled UNION SELECT dst, depth + 1 FROM walk JOIN near ON ref = src WHERE depth < 90)
-SELECT ref, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY ref""",
+{hops('(SELECT min(ref) AS ref FROM cells WHERE filled)', 'near')}
+SELECT ref, CAST(depth AS BIGINT) AS depth FROM depths""",
     "lattice_visibility_moments": f"WITH {SIGHT} SELECT f.ref, count(dst) AS connectivity, round(coalesce(sum(dist), 0.0), 6) AS first_moment, round(coalesce(sum(dist * dist), 0.0), 6) AS second_moment FROM f LEFT JOIN sight ON src = f.ref GROUP BY f.ref",
     "lattice_bin_counts": f"WITH {SIGHT} SELECT src AS ref, {', '.join(f'count(*) FILTER (WHERE bin = {k}) AS bin{k}' for k in range(32))} FROM sight GROUP BY src",
     "lattice_bin_distances": f"WITH {SIGHT} SELECT src AS ref, CAST(bin AS BIGINT) AS bin, round(max(dist), 6) AS distance FROM sight GROUP BY src, bin",
@@ -297,20 +309,22 @@ c AS (SELECT s.src, sum(1.0 / k) AS control FROM sight s JOIN deg ON deg.src = s
 SELECT f.ref, round(CASE WHEN k > 1 THEN coalesce(tri, 0) / (k * (k - 1)) ELSE -1.0 END, 6) AS clustering, round(CASE WHEN k > 1 THEN control ELSE -1.0 END, 6) AS control, round(CASE WHEN k > 1 THEN k / reach ELSE -1.0 END, 6) AS controllability
 FROM f LEFT JOIN deg ON deg.src = f.ref LEFT JOIN u ON u.src = f.ref LEFT JOIN t ON t.src = f.ref LEFT JOIN c ON c.src = f.ref""",
     "visual_global_r3": _visual_global(3),
+    "visual_global_rn": _visual_global(None),
     "visual_step_depth": f"""WITH RECURSIVE {SIGHT},
-walk(ref, depth) AS (SELECT min(ref), 0 FROM f UNION SELECT dst, depth + 1 FROM walk JOIN sight ON ref = src WHERE depth < 60),
-d AS (SELECT ref, min(depth) AS depth FROM walk GROUP BY ref)
+{hops('(SELECT min(ref) AS ref FROM f)', 'sight')},
+d AS (SELECT ref, depth FROM depths)
 SELECT f.ref, CAST(coalesce(depth, 0) AS BIGINT) AS step_depth FROM f LEFT JOIN d USING (ref)""",
     "through_vision": f"""WITH {SIGHT},
 s AS (SELECT x1, y1, dx, dy, greatest(abs(dx), abs(dy)) AS n, unnest(range(1, CAST(greatest(abs(dx), abs(dy)) AS BIGINT))) AS i FROM sight),
 r AS (SELECT CAST(floor(x1 + dx * i / n + 0.5) AS INTEGER) AS x, CAST(floor(y1 + dy * i / n + 0.5) AS INTEGER) AS y, count(*) AS c FROM s GROUP BY ALL)
 SELECT ref, coalesce(c, 0) AS through_vision FROM f LEFT JOIN r USING (x, y)""",
     "isovist_zone": f"""WITH {SIGHT},
-o AS (SELECT ref FROM f WHERE ref % 100 = 17),
+o AS (SELECT DISTINCT f.ref FROM f JOIN lines ON f.x = lines.x1 AND f.y = lines.y1),
 d AS (SELECT ref, min(dist) AS d FROM (SELECT dst AS ref, dist FROM sight WHERE src IN (SELECT ref FROM o) UNION ALL SELECT ref, 0.0 FROM o) GROUP BY ref)
 SELECT f.ref, round(coalesce(d, -1.0), 6) AS distance, round(coalesce(1 / ((d + 1) * (d + 1)), -1.0), 6) AS inverse_square FROM f LEFT JOIN d USING (ref)""",
-    "path_zones": f"""WITH {SIGHT},
-o AS (SELECT ref FROM f WHERE ref % 50 = 3),
+    "path_zones": f"""WITH RECURSIVE {SIGHT},
+{WAY}
+o AS (SELECT DISTINCT via AS ref FROM up),
 d AS (SELECT ref, min(dist) AS d FROM (SELECT dst AS ref, dist FROM sight WHERE src IN (SELECT ref FROM o) UNION ALL SELECT ref, 0.0 FROM o) GROUP BY ref)
 SELECT f.ref, CAST(d IS NOT NULL AS BIGINT) AS visual_zone, round(coalesce(d, -1.0), 6) AS metric_zone, round(coalesce(1 / (d + 1), -1.0), 6) AS inverse_zone FROM f LEFT JOIN d USING (ref)""",
     "link_data": f"""WITH {CELLS},
@@ -335,7 +349,7 @@ SELECT ref, round(coalesce(sum(len), 0.0), 4) AS length, round(coalesce(sum(turn
     "line_touch_kinds": f"WITH {LINES} SELECT a.ref AS a, b.ref AS b, CAST(CASE WHEN {CROSS} THEN 2 ELSE 1 END AS BIGINT) AS kind FROM lines a JOIN lines b ON a.ref < b.ref AND {MEET}",
     "packed_refs": f"WITH {CELLS} SELECT ref, CAST((x << 16) + (y & 65535) AS BIGINT) AS packed, CAST(x AS BIGINT) AS back_x, CAST(y AS BIGINT) AS back_y FROM cells",
     "nearest_line": f"""WITH {LINES}, {CELLS},
-p AS (SELECT ref, x + 0.25 AS px, y + 0.5 AS py FROM cells WHERE x < 12 AND y < 12),
+p AS (SELECT ref, x + 0.25 AS px, y + 0.5 AS py FROM cells),
 t AS (SELECT p.ref, l.ref AS line, px, py, x1, y1, x2 - x1 AS dx, y2 - y1 AS dy, greatest(0.0, least(1.0, ((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2))) AS t FROM p, lines l),
 d AS (SELECT ref, line, sqrt((x1 + t * dx - px) ** 2 + (y1 + t * dy - py) ** 2) AS raw, round(raw, 6) AS distance FROM t),
 r AS (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY distance, line) AS k FROM d WHERE raw <= 2)
