@@ -11,6 +11,7 @@ import atexit
 import heapq
 import shutil
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,9 +27,8 @@ TASK_EDGES = 2_000_000
 ROOTS_A_TASK = 256
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the session's checkpoint folder; one of our own only where none is set, as in local tests."""
-    spark = df.sparkSession
+def _checkpoint_dir(spark: SparkSession) -> str:
+    """The session's checkpoint folder; one of our own only where none is set, as in local tests."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         found = spark.conf.get("spark.checkpoint.dir", None)
@@ -38,6 +38,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
             found = tempfile.mkdtemp(prefix="netloom-")
             atexit.register(shutil.rmtree, found, ignore_errors=True)
         context.setCheckpointDir(found)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def new_path(spark: SparkSession, kind: str) -> str:
+    """A path of its own in the checkpoint folder."""
+    return f"{_checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the session's checkpoint folder."""
+    _checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

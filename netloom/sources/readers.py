@@ -354,8 +354,10 @@ def parse_mif(text: str) -> list[tuple]:
 
 def read_mif_attributes(spark: SparkSession, mif_path: str, mid_path: str) -> DataFrame:
     """ref (a column of that name, else the row's number) and the numeric columns of a MID, whose names and kinds its MIF declares; empty cells are -1."""
-    head = spark.read.text(mif_path).limit(10_000)  # a header
-    lines = [r["value"] for r in head.collect()]
+    every = spark.read.text(mif_path).select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("at"), "value")
+    data = every.filter(F.lower(F.trim("value")) == "data").agg(F.min(F.struct("path", "at")).alias("data"))
+    head = every.crossJoin(F.broadcast(data)).filter(F.col("data").isNull() | (F.struct("path", "at") < F.col("data")))  # one row; the lines up to the word Data
+    lines = [r["value"] for r in head.orderBy("path", "at").select("value").collect()]  # a header, of a line for each column
     start = next(i for i, x in enumerate(lines) if x.strip().lower().startswith("columns"))
     n = int(lines[start].split()[1])
     columns = [x.split()[:2] for x in lines[start + 1 : start + 1 + n]]

@@ -7,8 +7,9 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from netloom.plans.catalog import QUERIES
-from netloom.plans.oracles import ORACLES
+from netloom.plans import catalog, formats, oracles
+
+QUERIES, ORACLES = catalog.QUERIES | formats.QUERIES, oracles.ORACLES | formats.ORACLES
 
 DATA = os.environ.get("NETLOOM_TEST_DATA", "/root/testdata/sf0.001")
 needs_data = pytest.mark.skipif(not Path(DATA).is_dir(), reason="the test tables aren't here")
