@@ -7,6 +7,7 @@ its start, -1 from its end. A state of a traversal is (segment, direction).
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -113,21 +114,59 @@ class Network:
         return best, before, np.array(order, np.int64)
 
 
+def _tables(segments: DataFrame, edges: DataFrame, columns: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """What a Network is made of."""
+    own = ["axial_ref"] if "axial_ref" in segments.columns else []
+    return segments.withColumn("length", G.length("x1", "y1", "x2", "y2")).select("ref", "length", *own, *columns), edges.select("src", "dst", "weight", "side", "dir")
+
+
+def state_steps(segments: DataFrame, edges: DataFrame, kind: str, bins: int = 1024) -> DataFrame:
+    """src, dst, cost of the steps between states, 2 ref for a segment travelled from its start and 2 ref + 1 from its end."""
+    v, e = _tables(segments, edges)
+    axial = F.col("axial_ref") if "axial_ref" in v.columns else F.col("ref")
+    side = lambda k: v.select(F.col("ref").alias(k), F.col("length").alias(f"{k}_length"), axial.alias(f"{k}_axial"))
+    cost = {
+        "metric": (F.col("src_length") + F.col("dst_length")) / 2,
+        "topological": (F.col("src_axial") != F.col("dst_axial")).cast("double"),
+        "tulip": F.floor(F.col("weight") * (bins // 2 + 1) * 0.5).cast("double"),
+        "angular": F.col("weight"),
+    }[kind]
+    e = e.join(side("src"), "src").join(side("dst"), "dst")
+    state = lambda ref, back: F.col(ref) * 2 + F.when(back, 1).otherwise(0)
+    return e.select(state("src", F.col("side") == "back").alias("src"), state("dst", F.col("dir") < 0).alias("dst"), cost.alias("cost"))
+
+
+def least_costs(segments: DataFrame, edges: DataFrame, roots: DataFrame, kind: str, bins: int = 1024, limit: float | None = None) -> DataFrame:
+    """root, ref, cost of each segment from roots (root, ref), over both directions, for networks of any size."""
+    both = roots.select("root", F.explode(F.array(F.col("ref") * 2, F.col("ref") * 2 + 1)).alias("node"))
+    got = V.least_costs(V.checkpointed(state_steps(segments, edges, kind, bins)), both, limit)
+    return got.groupBy("root", F.floor(F.col("node") / 2).alias("ref")).agg(F.min("cost").alias("cost"))
+
+
 def network(segments: DataFrame, edges: DataFrame, columns: tuple[str, ...] = ()) -> Network:
     """The network on the driver, after its size is checked; kernels get it by broadcast."""
     if not V.is_small(edges):
         raise ValueError("the segment network doesn't fit the kernel")
-    s = segments.withColumn("length", G.length("x1", "y1", "x2", "y2"))
-    own = ["axial_ref"] if "axial_ref" in segments.columns else []
-    return Network(s.select("ref", "length", *own, *columns).toPandas(), edges.select("src", "dst", "weight", "side", "dir").toPandas())
+    v, e = _tables(segments, edges, columns)
+    return Network(v.toPandas(), e.toPandas())
 
 
 def _each(segments: DataFrame, net: Network, solve, schema: str) -> DataFrame:
     return V.per_root(segments.sparkSession, net, segments, solve, schema)
 
 
-def angular(segments: DataFrame, edges: DataFrame, radii: list[float | None]) -> DataFrame:
-    """root, radius, mean_depth, node_count, total_depth by exact turns; -1 where a segment reaches no other. A null radius is no limit."""
+def angular(segments: DataFrame, edges: DataFrame, radii: list[float | None], kernel_edges: int = V.KERNEL_EDGES) -> DataFrame:
+    """root, radius, mean_depth, node_count, total_depth by exact turns; -1 where a segment reaches no other. A null radius is no limit.
+
+    A kernel for each root, or relaxation of all roots where the network has more edges than the kernel takes.
+    """
+    if not V.is_small(edges, kernel_edges):
+        most = None if None in radii else max(radii)
+        costs = V.checkpointed(least_costs(segments, edges, segments.select(F.col("ref").alias("root"), "ref"), "angular", limit=most))
+        sums = [costs.filter(F.lit(True) if r is None else F.col("cost") <= r + 1e-9).groupBy("root").agg(F.count("*").alias("n"), F.sum("cost").alias("t")).withColumn("radius", F.lit(r).cast("double")) for r in radii]
+        every = reduce(DataFrame.union, sums)
+        more = F.col("n") > 1
+        return every.select("root", "radius", F.when(more, F.try_divide(F.col("t"), F.col("n") - 1)).otherwise(-1.0).alias("mean_depth"), F.col("n").alias("node_count"), F.when(more, F.col("t")).otherwise(-1.0).alias("total_depth"))
     net = network(segments, edges)
 
     def solve(net: Network, r: int) -> pd.DataFrame:
@@ -261,24 +300,40 @@ def _cost_of(net: Network, kind: str, bins: int):
     }[kind], (half - 1) * 0.5 if kind == "tulip" else 1.0
 
 
-def step_depth(segments: DataFrame, edges: DataFrame, origins: list[int], kind: str = "metric", bins: int = 1024) -> DataFrame:
-    """ref, step_depth from the nearest origin; -1 where none reaches. kind: metric, topological, tulip (turns in steps) or angular (exact turns)."""
-    net = network(segments, edges)
-    cost, scale = _cost_of(net, kind, bins)
-    depth, _, _ = net.search(np.searchsorted(net.refs, origins).tolist(), cost)
-    out = pd.DataFrame({"ref": net.refs, "step_depth": np.where(np.isfinite(depth), depth / scale, -1.0)})
-    return segments.sparkSession.createDataFrame(out, "ref long, step_depth double")
+def step_depth(segments: DataFrame, edges: DataFrame, origins: list[int], kind: str = "metric", bins: int = 1024, task_edges: int = V.TASK_EDGES) -> DataFrame:
+    """ref, step_depth from the nearest origin; -1 where none reaches. kind: metric, topological, tulip (turns in steps) or angular (exact turns).
+
+    One task searches networks of up to task_edges edges; larger ones are relaxed in rounds of joins.
+    """
+    if not V.is_small(edges, task_edges):
+        scale = (bins // 2) * 0.5 if kind == "tulip" else 1.0
+        roots = segments.filter(F.col("ref").isin([int(o) for o in origins])).select(F.lit(0).cast("long").alias("root"), "ref")
+        costs = least_costs(segments, edges, roots, kind, bins)
+        return segments.select("ref").join(costs, "ref", "left").select("ref", F.coalesce(F.col("cost") / scale, F.lit(-1.0)).alias("step_depth"))
+
+    def solve(v: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        net = Network(v, e)
+        cost, scale = _cost_of(net, kind, bins)
+        depth, _, _ = net.search(np.searchsorted(net.refs, origins).tolist(), cost)
+        return pd.DataFrame({"ref": net.refs, "step_depth": np.where(np.isfinite(depth), depth / scale, -1.0)})
+
+    return V.tables_in_one_task(*_tables(segments, edges), solve, "ref long, step_depth double")
 
 
 def shortest_path(segments: DataFrame, edges: DataFrame, source: int, to: int, kind: str = "metric", bins: int = 1024) -> DataFrame:
-    """ref, depth, order along the best path between two segments."""
-    net = network(segments, edges)
-    cost, scale = _cost_of(net, kind, bins)
-    a, b = np.searchsorted(net.refs, [source, to]).tolist()
-    depth, before, _ = net.search([a], cost)
-    path = V.path_to(before, a, b)
-    rows = [(int(net.refs[v]), float(depth[v] / scale), k) for k, v in enumerate(path)]
-    return segments.sparkSession.createDataFrame(rows, "ref long, depth double, order int")
+    """ref, depth, order along the best path between two segments, found in one task."""
+    if not V.is_small(edges):
+        raise ValueError("the segment network doesn't fit a task")
+
+    def solve(v: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        net = Network(v, e)
+        cost, scale = _cost_of(net, kind, bins)
+        a, b = np.searchsorted(net.refs, [source, to]).tolist()
+        depth, before, _ = net.search([a], cost)
+        path = V.path_to(before, a, b)
+        return pd.DataFrame({"ref": net.refs[path].astype(np.int64), "depth": depth[path] / scale, "order": np.arange(len(path), dtype=np.int32)})
+
+    return V.tables_in_one_task(*_tables(segments, edges), solve, "ref long, depth double, order int")
 
 
 def tidy(lines: DataFrame, digits: int = 9) -> DataFrame:

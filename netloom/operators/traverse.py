@@ -52,8 +52,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def is_small(edges: DataFrame) -> bool:
-    return edges.limit(KERNEL_EDGES + 1).count() <= KERNEL_EDGES
+def is_small(edges: DataFrame, limit: int = KERNEL_EDGES) -> bool:
+    return edges.limit(limit + 1).count() <= limit
 
 
 def in_one_task(edges: DataFrame, origins: DataFrame, solve: Callable[[Adjacency, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
@@ -71,6 +71,28 @@ def in_one_task(edges: DataFrame, origins: DataFrame, solve: Callable[[Adjacency
     return rows.repartition(1).mapInPandas(run, schema)
 
 
+def tables_in_one_task(nodes: DataFrame, edges: DataFrame, solve: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """What `solve` makes of the rows of two tables, in one task; the caller has checked their size."""
+    one = lambda df: df.withColumn("_one", F.lit(0)).groupBy("_one")
+    return one(nodes).cogroup(one(edges)).applyInPandas(lambda v, e: solve(v.drop(columns="_one"), e.drop(columns="_one")), schema)
+
+
+def least_costs(steps: DataFrame, roots: DataFrame, limit: float | None = None) -> DataFrame:
+    """root, node, cost: least costs by rounds of relaxation for all roots at once, the form for graphs of any size. steps: src, dst, cost (not negative);
+    roots: root, node. Each round joins what got cheaper with its steps and is written to the checkpoint folder."""
+    best = frontier = checkpointed(roots.select("root", "node", F.lit(0.0).alias("cost")))
+    onward = steps.select(F.col("src").alias("node"), F.col("dst").alias("_to"), F.col("cost").alias("_step"))
+    while True:
+        offers = frontier.join(onward, "node").groupBy("root", F.col("_to").alias("node")).agg(F.min(F.col("cost") + F.col("_step")).alias("cost"))
+        if limit is not None:
+            offers = offers.filter(F.col("cost") <= limit + 1e-9)
+        known = best.select("root", "node", F.col("cost").alias("_known"))
+        frontier = checkpointed(offers.join(known, ["root", "node"], "left").filter(F.col("_known").isNull() | (F.col("cost") < F.col("_known") - 1e-9)).drop("_known"))
+        if frontier.isEmpty():
+            return best
+        best = checkpointed(best.join(frontier.select("root", "node"), ["root", "node"], "left_anti").union(frontier))
+
+
 def multi_source_depth(edges: DataFrame, origins: DataFrame, limit: int | None = None, task_edges: int = TASK_EDGES) -> DataFrame:
     """ref, depth: hops from the nearest origin. edges: src, dst; origins: ref. Up to task_edges edges and origins are solved in one task."""
     if edges.limit(task_edges + 1).count() <= task_edges and origins.limit(task_edges + 1).count() <= task_edges:
@@ -145,8 +167,11 @@ class Adjacency:
 
 def collect_adjacency(nodes: DataFrame, edges: DataFrame, node_columns: tuple[str, ...] = (), edge_columns: tuple[str, ...] = ()) -> Adjacency:
     """The adjacency of a graph whose size is_small() has checked, on the driver."""
-    v = nodes.select("ref", *node_columns).toPandas().sort_values("ref")
-    e = edges.select("src", "dst", *edge_columns).toPandas()
+    return adjacency_of(nodes.select("ref", *node_columns).toPandas(), edges.select("src", "dst", *edge_columns).toPandas(), node_columns, edge_columns)
+
+
+def adjacency_of(v: pd.DataFrame, e: pd.DataFrame, node_columns: tuple[str, ...] = (), edge_columns: tuple[str, ...] = ()) -> Adjacency:
+    v = v.sort_values("ref")
     out = Adjacency(v["ref"].to_numpy(), e["src"].to_numpy(), e["dst"].to_numpy(), **{c: e[c].to_numpy() for c in edge_columns})
     out.node = {c: v[c].to_numpy() for c in node_columns}
     return out

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.functions import measures as M
@@ -62,10 +63,14 @@ def visual_step_depth(cells: DataFrame, edges: DataFrame, origins: DataFrame, un
 
 def metric_graph(cells: DataFrame, edges: DataFrame, corner: DataFrame) -> V.Adjacency:
     """The visibility graph with distances and coordinates; corner (ref, blocked_adjacent) tells which cells paths may turn at."""
+    return V.collect_adjacency(*_metric_tables(cells, edges, corner), ("x", "y", "turn"), ("dist",))
+
+
+def _metric_tables(cells: DataFrame, edges: DataFrame, corner: DataFrame) -> tuple[DataFrame, DataFrame]:
     if not V.is_small(edges):
         raise ValueError("the visibility graph doesn't fit the kernel")
     nodes = cells.filter("filled").join(corner, "ref", "left").select("ref", "x", "y", F.coalesce("blocked_adjacent", F.lit(False)).alias("turn"))
-    return V.collect_adjacency(nodes, edges.select("src", "dst", "dist"), ("x", "y", "turn"), ("dist",))
+    return nodes, edges.select("src", "dst", "dist")
 
 
 def metric_search(g: V.Adjacency, sources: list[int], spacing: float = 1.0, angular: bool = False, link_cost: dict[tuple[int, int], float] | None = None, limit: float = math.inf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,30 +156,50 @@ def angular(cells: DataFrame, edges: DataFrame, corner: DataFrame, radius: float
 
 
 def depth_map(cells: DataFrame, edges: DataFrame, corner: DataFrame, origins: list[int], kind: str = "metric", spacing: float = 1.0, links: dict[tuple[int, int], float] | None = None) -> DataFrame:
-    """ref, depth, angle, straight from the origins: one search, its result dealt out again. Unreached cells have 0; straight only for one origin."""
-    g = metric_graph(cells, edges, corner)
-    at = np.searchsorted(g.refs, origins).tolist()
-    place = lambda r: int(np.searchsorted(g.refs, r))
-    cost, angle, _ = metric_search(g, at, spacing, kind == "angular", {(place(a), place(b)): c for (a, b), c in (links or {}).items()})
-    hit = np.isfinite(cost)
-    straight = np.hypot(g.node["x"] - g.node["x"][at[0]], g.node["y"] - g.node["y"][at[0]]) * spacing if len(at) == 1 else np.full(len(cost), -1.0)
-    out = pd.DataFrame({"ref": g.refs, "depth": np.where(hit, cost, 0.0), "angle": np.where(hit, angle, 0.0), "straight": straight})
-    return cells.sparkSession.createDataFrame(out, "ref long, depth double, angle double, straight double")
+    """ref, depth, angle, straight from the origins: one search, in one task. Unreached cells have 0; straight only for one origin."""
+
+    def solve(v: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        g = V.adjacency_of(v, e, ("x", "y", "turn"), ("dist",))
+        at = np.searchsorted(g.refs, origins).tolist()
+        place = lambda r: int(np.searchsorted(g.refs, r))
+        cost, angle, _ = metric_search(g, at, spacing, kind == "angular", {(place(a), place(b)): c for (a, b), c in (links or {}).items()})
+        hit = np.isfinite(cost)
+        straight = np.hypot(g.node["x"] - g.node["x"][at[0]], g.node["y"] - g.node["y"][at[0]]) * spacing if len(at) == 1 else np.full(len(cost), -1.0)
+        return pd.DataFrame({"ref": g.refs, "depth": np.where(hit, cost, 0.0), "angle": np.where(hit, angle, 0.0), "straight": straight})
 
+    return V.tables_in_one_task(*_metric_tables(cells, edges, corner), solve, "ref long, depth double, angle double, straight double")
 
-def shortest_path(cells: DataFrame, edges: DataFrame, corner: DataFrame | None, source: int, targets: list[int], kind: str = "metric") -> DataFrame:
-    """target, ref, order of the cells along the best path from source to each target: 0 at the target, then 2, 3, ... towards the source."""
+
+def shortest_path(cells: DataFrame, edges: DataFrame, corner: DataFrame | None, source: int, targets: list[int], kind: str = "metric", links: dict[tuple[int, int], float] | None = None) -> DataFrame:
+    """target, ref, order, linked of the cells along the best path from source to each target: order 0 at the target, then 2, 3, ... towards the source;
+    linked is 1 at both ends of a link that the path takes. links (not for visual paths): pairs of cells and what the step between them costs.
+
+    Visual paths go by hops in a graph of any size, the smallest ref before each cell; the others are found in one task.
+    """
     if kind == "visual":
-        g = V.collect_adjacency(cells.filter("filled").select("ref"), edges)
-        _, before = g.depths(int(np.searchsorted(g.refs, source)))
-    else:
-        g = metric_graph(cells, edges, corner)
-        _, _, before = metric_search(g, [int(np.searchsorted(g.refs, source))], angular=kind == "angular")
-    rows = []
-    for t in targets:
-        path = V.path_to(before, int(np.searchsorted(g.refs, source)), int(np.searchsorted(g.refs, t)))
-        rows += [(int(t), int(g.refs[v]), 0 if k == 0 else k + 1) for k, v in enumerate(reversed(path))]
-    return cells.sparkSession.createDataFrame(rows, "target long, ref long, order int")
+        found = []
+        for t in targets:
+            path = V.shortest_path(edges.select("src", "dst"), source, t)
+            last = Window.partitionBy(F.lit(t))
+            back = F.max("order").over(last) - F.col("order")  # a path's rows
+            found.append(path.select(F.lit(t).cast("long").alias("target"), "ref", F.when(back == 0, 0).otherwise(back + 1).cast("int").alias("order"), F.lit(0).alias("linked")))
+        return reduce(DataFrame.union, found)
+
+    def solve(v: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        g = V.adjacency_of(v, e, ("x", "y", "turn"), ("dist",))
+        place = lambda r: int(np.searchsorted(g.refs, r))
+        costs = {(place(a), place(b)): c for (a, b), c in (links or {}).items()}
+        _, _, before = metric_search(g, [place(source)], angular=kind == "angular", link_cost=costs)
+        sees = set(zip(np.repeat(np.arange(len(g.refs)), np.diff(g.start)).tolist(), g.target.tolist()))
+        rows = []
+        for t in targets:
+            path = V.path_to(before, place(source), place(t))
+            jumps = {(a, b) for a, b in zip(path, path[1:]) if ((a, b) in costs or (b, a) in costs) and (a, b) not in sees}
+            ends = {x for pair in jumps for x in pair}
+            rows += [(int(t), int(g.refs[n]), 0 if k == 0 else k + 1, int(n in ends)) for k, n in enumerate(reversed(path))]
+        return pd.DataFrame(rows, columns=["target", "ref", "order", "linked"])
+
+    return V.tables_in_one_task(*_metric_tables(cells, edges, corner), solve, "target long, ref long, order int, linked int")
 
 
 def path_zones(cells: DataFrame, edges: DataFrame, path: DataFrame) -> DataFrame:

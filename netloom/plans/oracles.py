@@ -240,7 +240,7 @@ up(via) AS (SELECT arg_max(ref, depth * 1000000 - ref) FROM depths UNION ALL SEL
 SELECT ref, CAST(depth AS BIGINT) AS depth, CAST(depth AS BIGINT) AS "order" FROM depths JOIN up ON via = ref""",
     "visual_shortest_path": f"""WITH RECURSIVE {SIGHT},
 {WAY.rstrip(",")}
-SELECT b AS target, via AS ref, CAST(k AS BIGINT) AS "order" FROM up, g""",
+SELECT b AS target, via AS ref, CAST(k AS BIGINT) AS "order", CAST(0 AS BIGINT) AS linked FROM up, g""",
     "axial_weighted_depth": f"""WITH RECURSIVE {EDGES},
 {reach("lines", "edges")}
 SELECT root AS ref, round(CASE WHEN count(*) > 1 THEN sum(depth * weight) / sum(weight) ELSE -1.0 END, 6) AS mean_depth_weighted, round(sum(weight), 6) AS total_weight
