@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -278,12 +278,14 @@ def _keys(doc_id: str = "doc_id", text: str = "text") -> tuple[Column, Column]:
 
 def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int | None = None, group: int = GROUP, words: bool = False) -> tuple[DataFrame, DataFrame]:
     """For documents with columns doc, tag, text: (doc, tag, starts), ranges of the starts of windows that are also elsewhere, as an array of lo, hi
-    (a range may go beyond the text's last window); and (doc, tag, text) of documents that may have such windows."""
+    (a range may go beyond the text's last window); and (doc, tag, text) of documents that may have such windows. Both are written tables."""
     gram = gram or length // 2
     before = length - gram
-    every = _anchor_rows(docs.select("doc", "tag", "text"), length, gram, words)
+    every = cut(_anchor_rows(docs.select("doc", "tag", "text"), length, gram, words), "anchors")
     shared = cut(every.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "grams")  # so that a crowded gram can be split in the join
     found = cut(every.join(shared, "gram"), "anchors")
+    discard(every)
+    discard(shared)
     texts = docs.select("doc", "tag", "text").join(found.select("doc", "tag").distinct(), ["doc", "tag"]).dropDuplicates(["doc", "tag"])
     texts = cut(texts, "texts")
     classes = cut(found.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(F.struct("doc", "tag", "at")).alias("rep")), "classes")
@@ -293,10 +295,15 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int | None = No
     copies = sized.filter("k = 1").select("gram", "around", F.lit(-before).alias("lo"), F.lit(0).alias("hi"))
     ranges = copies.union(_built(_strings(sized.filter((F.col("k") > 1) & (F.col("k") <= group)), texts, length, gram, words), length, before, words))
     hot = sized.filter(F.col("k") > group)
+    strings = None
     if not hot.isEmpty():
-        ranges = ranges.union(_refined(cut(_strings(hot, texts, length, gram, words), "strings"), length, before, group, words))
+        strings = cut(_strings(hot, texts, length, gram, words), "strings")
+        ranges = ranges.union(_refined(strings, length, before, group, words))
     at = found.join(ranges, ["gram", "around"]).select("doc", "tag", F.struct((F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi")).alias("r"))
-    return at.groupBy("doc", "tag").agg(F.collect_list("r").alias("starts")), texts
+    starts = cut(at.groupBy("doc", "tag").agg(F.collect_list("r").alias("starts")), "starts")
+    for done in (found, sizes, sized, strings):
+        discard(done)
+    return starts, texts
 
 
 def spans_of(starts: list[dict] | None, n: int, length: int) -> list[tuple[int, int]]:
@@ -378,8 +385,6 @@ def query(docs: DataFrame, length: int = LENGTH, group: int = GROUP, words: int
     """The digest columns of op5 for a table of documents, then passage_words: words in passages of `words` words and more that also start elsewhere."""
     key, text_hash = _keys()
     keyed = docs.select("doc_id", key.alias("doc"), text_hash.alias("tag"), "text")
-    starts, texts = repeated_starts(keyed, length, group=group)
-    passages, more = repeated_starts(keyed, words, group=group, words=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -395,12 +400,19 @@ def query(docs: DataFrame, length: int = LENGTH, group: int = GROUP, words: int
             out = [sum(b - a for a, b in spans_of(ranges, len(text.split()), words)) for text, ranges in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("tag"), pa.array(out, pa.int64())], names=["doc", "tag", "words"])
 
-    changed = texts.join(starts, ["doc", "tag"]).mapInArrow(run, "doc bigint, tag bigint, gone bigint, spans bigint, rest string")
-    told = more.join(passages, ["doc", "tag"]).mapInArrow(covered, "doc bigint, tag bigint, words bigint")
+    def told(length: int, by_words: bool, f: Callable, schema: str) -> DataFrame:
+        starts, texts = repeated_starts(keyed, length, group=group, words=by_words)
+        out = cut(texts.join(starts, ["doc", "tag"]).mapInArrow(f, schema), "spans")
+        discard(starts)
+        discard(texts)
+        return out
+
+    changed = told(length, False, run, "doc bigint, tag bigint, gone bigint, spans bigint, rest string")
+    passages = told(words, True, covered, "doc bigint, tag bigint, words bigint")
     text = F.coalesce("text", F.lit(""))
     base = keyed.select("doc_id", "doc", "tag", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha"))
     whole = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    return base.join(changed, ["doc", "tag"], "left").join(told, ["doc", "tag"], "left").select(
+    return base.join(changed, ["doc", "tag"], "left").join(passages, ["doc", "tag"], "left").select(
         "doc_id", "n_bytes", whole("gone").alias("n_removed"), whole("spans").alias("n_spans"), F.coalesce("rest", "sha").alias("kept_sha256"), whole("words").alias("passage_words")
     )
 
