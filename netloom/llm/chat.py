@@ -14,6 +14,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,16 +54,21 @@ class Template:
                 if a != b and a in b and not b.startswith(a[0] * 2):
                     raise ValueError(f"control string {a!r} lies inside {b!r}")
 
-    @property
-    def pattern(self) -> str:
+    @cached_property
+    def pattern(self) -> re.Pattern:
         """Matches each control string with any number of backslashes behind its first character."""
-        return "|".join(f"{re.escape(x[0])}\\\\*{re.escape(x[1:])}" for x in sorted(self.control, key=lambda x: (-len(x), x)))
+        return re.compile("|".join(f"{re.escape(x[0])}\\\\*{re.escape(x[1:])}" for x in sorted(self.control, key=lambda x: (-len(x), x))))
+
+    @cached_property
+    def turn(self) -> re.Pattern:
+        """Matches a turn; its groups are role and text."""
+        return re.compile(re.escape(self.open) + "(.*?)" + re.escape(self.says) + "(.*?)" + re.escape(self.close), re.S)
 
     def escape(self, text: str) -> str:
-        return re.sub(self.pattern, lambda m: f"{m[0][0]}\\{m[0][1:]}", text)
+        return self.pattern.sub(lambda m: f"{m[0][0]}\\{m[0][1:]}", text)
 
     def unescape(self, text: str) -> str:
-        return re.sub(self.pattern, lambda m: m[0][0] + m[0][1:].removeprefix("\\"), text)
+        return self.pattern.sub(lambda m: m[0][0] + m[0][1:].removeprefix("\\"), text) if "\\" in text else text
 
 
 SEGMENTS = "conv_id bigint, turn bigint, seq bigint, segments array<struct<text:string,loss:boolean>>, state string, fault string"
@@ -109,7 +115,6 @@ class ReadBack:
 
     def __init__(self, conv_id: int | None, template: Template):
         self.conv_id, self.template, self.valid = conv_id, template, False
-        self.turn = re.compile(re.escape(template.open) + "(.*?)" + re.escape(template.says) + "(.*?)" + re.escape(template.close), re.S)
         self.n_turns = self.loss_chars = self.chars = 0
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
         self.rest = ""
@@ -124,7 +129,7 @@ class ReadBack:
         if not text.endswith(self.template.close[-1]):
             return
         at = 0
-        while m := self.turn.match(self.rest, at):
+        while m := self.template.turn.match(self.rest, at):
             self.turns.update(f"{self.template.unescape(m[1])}\n{self.template.unescape(m[2])}\n".encode())
             self.n_turns += 1
             at = m.end()
