@@ -365,7 +365,7 @@ def lattice_outline(spark, d):
     return D.outline(fx.part_lattice(spark, d).filter("filled")).agg(F.count("*").alias("sides"))
 
 
-@query(f"WITH {CELLS} SELECT CAST(max(CASE WHEN filled AND x = 3 AND y = 2 THEN p_retailprice END) AS DOUBLE) AS value FROM cells JOIN part ON p_partkey = ref")
+@query(f"WITH {CELLS} SELECT coalesce(CAST(max(CASE WHEN filled AND x = 3 AND y = 2 THEN p_retailprice END) AS DOUBLE), -2.0) AS value FROM cells JOIN part ON p_partkey = ref")
 def lattice_value_at(spark, d):
     return _r(L.cell_at(fx.part_lattice(spark, d), 3.2, 1.9, "price"))
 
