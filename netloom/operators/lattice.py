@@ -5,8 +5,12 @@ A lattice is a table of cells (ref, x, y, filled). Neighbours meet by equi-joins
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,17 +100,100 @@ def without_crossings(edges: DataFrame, at: DataFrame, walls: DataFrame, cell: f
     return edges.join(crossed, ["src", "dst"], "left_anti")
 
 
-def visibility(cells: DataFrame, walls: DataFrame, reach: float) -> DataFrame:
-    """src, dst, bin, dist of filled cells that see each other within a distance. Cells meet in squares of the reach, so only near pairs are made."""
+#: Cells and walls that go to every task for unlimited sight: at most 96 and 64 MB.
+KERNEL_CELLS, KERNEL_WALLS = 4_000_000, 2_000_000
+#: Pairs of a wall and a cell behind it that are tested at once.
+TESTS_AT_ONCE = 1 << 20
+
+
+def _hidden(px: float, py: float, x: np.ndarray, y: np.ndarray, walls: np.ndarray) -> np.ndarray:
+    """Which points don't see (px, py)? Points are sorted by direction, so a wall meets only those within its angle."""
+    hidden = np.zeros(len(x), bool)
+    dx, dy = x - px, y - py
+    (ax, ay, bx, by) = (walls - np.array([px, py, px, py])).T
+    side = ax * by - ay * bx
+    keep = side != 0
+    ax, ay, bx, by, side = ax[keep], ay[keep], bx[keep], by[keep], side[keep]
+    a, b = np.arctan2(ay, ax), np.arctan2(by, bx)
+    lo, hi = np.where(side > 0, a, b) - 1e-9, np.where(side > 0, b, a) + 1e-9
+    round_ = hi < lo
+    # an interval over the cut of the circle is two
+    wall = np.concatenate([np.arange(len(lo)), np.flatnonzero(round_)])
+    lo, hi = np.concatenate([lo, np.full(round_.sum(), -4.0)]), np.concatenate([np.where(round_, 4.0, hi), hi[round_]])
+    angle = np.arctan2(dy, dx)
+    order = np.argsort(angle)
+    angle = angle[order]
+    first = np.searchsorted(angle, lo, "left")
+    count = np.searchsorted(angle, hi, "right") - first
+    upto = np.cumsum(count)
+    at = 0
+    while at < len(wall):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + TESTS_AT_ONCE, "right")))
+        n = count[at:end]
+        w = np.repeat(wall[at:end], n)
+        q = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[at:end], n)]
+        qx, qy = dx[q], dy[q]
+        behind = side[w] * ((bx[w] - ax[w]) * (qy - ay[w]) - (by[w] - ay[w]) * (qx - ax[w])) < 0
+        hidden[q[behind & ((qx * ay[w] - qy * ax[w]) * (qx * by[w] - qy * bx[w]) < 0)]] = True
+        at = end
+    return hidden
+
+
+def _seen_by_kernel(c: DataFrame, walls: DataFrame, cells: int) -> DataFrame:
+    """src, dst, dx, dy of cells that see each other at any distance: from each cell, over all cells and walls in a task."""
+    spark = c.sparkSession
+    all_cells = c.toPandas()
+    shared = spark.sparkContext.broadcast((all_cells["ref"].to_numpy(), all_cells["x"].to_numpy(float), all_cells["y"].to_numpy(float), walls.select("x1", "y1", "x2", "y2").dropna().toPandas().to_numpy(float)))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ref, x, y, w = shared.value
+        for f in frames:
+            parts, rows = [], 0
+            for src, px, py in zip(f["ref"], f["x"], f["y"]):
+                seen = np.flatnonzero(~_hidden(px, py, x, y, w) & (ref != src))
+                parts.append((np.full(len(seen), src), ref[seen], x[seen] - px, y[seen] - py))
+                rows += len(seen)
+                if rows > TESTS_AT_ONCE // 4:
+                    yield pd.DataFrame(dict(zip(("src", "dst", "dx", "dy"), map(np.concatenate, zip(*parts)))))
+                    parts, rows = [], 0
+            if parts:
+                yield pd.DataFrame(dict(zip(("src", "dst", "dx", "dy"), map(np.concatenate, zip(*parts)))))
+
+    return c.repartition(max(1, math.ceil(cells / V.ROOTS_A_TASK)), "ref").mapInPandas(run, "src long, dst long, dx double, dy double")
+
+
+def _seen_by_joins(c: DataFrame, walls: DataFrame, strip: int = 64) -> DataFrame:
+    """The same rows for tables of any size: cells meet the cells of one strip of rows after the other, and walls by a spatial join."""
+    strip_of = F.floor(F.col("y") / strip)
+    ends = c.agg(F.min(strip_of).alias("lo"), F.max(strip_of).alias("hi"), F.max(F.greatest("x", "y")) - F.min(F.least("x", "y"))).first()
+    if ends[0] is None:
+        return c.select(F.col("ref").alias("src"), F.col("ref").alias("dst"), F.col("x").alias("dx"), F.col("y").alias("dy"))
+    a = c.select(F.col("ref").alias("src"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.explode(F.sequence(F.lit(ends[0]), F.lit(ends[1]))).alias("strip"))
+    b = c.select(F.col("ref").alias("dst"), F.col("x").alias("bx"), F.col("y").alias("by"), strip_of.alias("strip"))
+    pairs = a.join(b, "strip").filter("src <> dst").select("src", "dst", (F.col("bx") - F.col("ax")).alias("dx"), (F.col("by") - F.col("ay")).alias("dy"))
+    return without_crossings(pairs, c, walls, max(1.0, float(ends[2]) / 8))
+
+
+def visibility(cells: DataFrame, walls: DataFrame, reach: float | None = None, kernel_cells: int = KERNEL_CELLS, kernel_walls: int = KERNEL_WALLS) -> DataFrame:
+    """src, dst, bin, dist of filled cells that see each other, within a distance or (None) at any.
+
+    With a reach, cells meet in squares of its size, so only near pairs are made. Without one, each cell looks at all cells in a task, over walls sorted
+    by direction; lattices beyond the given sizes take joins, strip by strip.
+    """
     c = cells.filter("filled").select("ref", "x", "y")
+    dx, dy = (F.col("dx"), F.col("dy")) if reach is None else (F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
+    shown = lambda df: df.select("src", "dst", G.which_bin(dx, dy).alias("bin"), F.sqrt((dx * dx + dy * dy).cast("double")).alias("dist"))
+    if reach is None:
+        c = c.dropna()
+        n = c.count()
+        small = n <= kernel_cells and V.is_small(walls, kernel_walls)
+        return shown(_seen_by_kernel(c, walls, n) if small else _seen_by_joins(c, walls))
     near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     square = lambda v: F.floor(F.col(v) / reach)
     a = c.select(F.col("ref").alias("src"), F.col("x").alias("ax"), F.col("y").alias("ay"), near.alias("n")).select("src", "ax", "ay", (square("ax") + F.col("n.i")).alias("sx"), (square("ay") + F.col("n.j")).alias("sy"))
     b = c.select(F.col("ref").alias("dst"), F.col("x").alias("bx"), F.col("y").alias("by"), square("x").alias("sx"), square("y").alias("sy"))
-    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     pairs = a.join(b, ["sx", "sy"]).filter((F.col("src") != F.col("dst")) & (dx * dx + dy * dy <= reach * reach))
-    pairs = pairs.select("src", "dst", G.which_bin(dx, dy).alias("bin"), F.sqrt((dx * dx + dy * dy).cast("double")).alias("dist"))
-    return without_crossings(pairs, c, walls, reach)
+    return without_crossings(shown(pairs), c, walls, reach)
 
 
 def moments(cells: DataFrame, edges: DataFrame) -> DataFrame:

@@ -7,6 +7,9 @@ corner of the boxes' common part.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,10 +33,8 @@ def cell_size(df: DataFrame, bounds: dict[str, Column]) -> float:
 def spatial_join(left: DataFrame, right: DataFrame, left_box: dict[str, Column], right_box: dict[str, Column], on: Column, cell: float, how: str = "inner") -> DataFrame:
     """Pairs of rows whose boxes touch and that satisfy `on`. how: inner, left_semi or left_anti. Column names of the sides must differ."""
     if how != "inner":
-        key = [c for c in left.columns]
-        marked = left.withColumn("_row", F.xxhash64(*key))
-        hits = spatial_join(marked, right, left_box, right_box, on, cell).select("_row").distinct()
-        return marked.join(hits, "_row", how).drop("_row")
+        hits = prefixed(spatial_join(left, right, left_box, right_box, on, cell).select(*left.columns).distinct(), "_hit_")
+        return left.join(hits, reduce(and_, (F.col(f"`{c}`").eqNullSafe(F.col(f"`_hit_{c}`")) for c in left.columns)), how)
     cells = lambda lo, hi: F.sequence(F.floor(lo / cell), F.floor(hi / cell))
 
     def spread(df: DataFrame, bounds: dict[str, Column], p: str) -> DataFrame:

@@ -267,6 +267,12 @@ def _sight(spark, d, reach=3.0):
     return cells, V.checkpointed(L.visibility(cells, fx.supplier_lines(spark, d), reach))
 
 
+def _unlimited(spark, d):
+    """What is read once isn't written first."""
+    cells = _lattice(spark, d)
+    return cells, L.visibility(cells, fx.supplier_lines(spark, d))
+
+
 def _least_filled(cells: DataFrame) -> DataFrame:
     return cells.filter("filled").agg(F.min("ref").alias("ref"))
 
@@ -345,6 +351,34 @@ def through_vision(spark, d):
     return L.through_vision(cells, edges)
 
 
+@query
+def unlimited_moments(spark, d):
+    cells, edges = _unlimited(spark, d)
+    return _r(L.moments(cells, edges))
+
+
+@query
+def unlimited_bin_counts(spark, d):
+    return L.bin_counts(_unlimited(spark, d)[1])
+
+
+@query
+def unlimited_bin_distances(spark, d):
+    return _r(L.bin_distances(_unlimited(spark, d)[1]))
+
+
+@query
+def unlimited_step_depth(spark, d):
+    cells, edges = _unlimited(spark, d)
+    edges = V.checkpointed(edges)
+    return _r(vga.visual_step_depth(cells, edges, _least_filled(cells)))
+
+
+@query
+def unlimited_through_vision(spark, d):
+    return L.through_vision(*_unlimited(spark, d))
+
+
 @query
 def isovist_zone(spark, d):
     cells, edges = _sight(spark, d)

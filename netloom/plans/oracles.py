@@ -375,3 +375,8 @@ SELECT p_partkey AS ref, CASE WHEN n > 32 THEN -1 ELSE code END AS code FROM par
 c AS (SELECT l.ref, CAST(count(e.dst) AS DOUBLE) AS c FROM lines l LEFT JOIN edges e ON e.src = l.ref GROUP BY l.ref)
 SELECT l.ref, round(coalesce(avg(c.c), -1.0), 6) AS mean_neighbour FROM lines l LEFT JOIN edges e ON e.src = l.ref LEFT JOIN c ON c.ref = e.dst GROUP BY l.ref""",
 }
+
+#: The same over what cells see at any distance.
+UNLIMITED = SIGHT.replace(" AND b.x BETWEEN a.x - 3 AND a.x + 3 AND b.y BETWEEN a.y - 3 AND a.y + 3 WHERE (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) <= 9", "")
+for _name, _of in {"moments": "lattice_visibility_moments", "bin_counts": "lattice_bin_counts", "bin_distances": "lattice_bin_distances", "step_depth": "visual_step_depth", "through_vision": "through_vision"}.items():
+    ORACLES[f"unlimited_{_name}"] = ORACLES[_of].replace(SIGHT, UNLIMITED)

@@ -12,6 +12,7 @@ from netloom.operators import agents, drawing, lattice, vga
 from netloom.operators import attributes as A
 from netloom.operators import push as P
 from netloom.operators import traverse as V
+from netloom.operators.spatial import box, prefixed, spatial_join
 from netloom.sources import readers, writers
 
 LINES = "ref long, x1 double, y1 double, x2 double, y2 double"
@@ -47,6 +48,33 @@ def test_wall_blocks_sight_and_fill(spark):
     assert lattice.flood_fill(cells, cells.filter("ref = 0").select("ref")).count() == 16
 
 
+def test_unlimited_sight(spark):
+    """The kernel, the joins and plain tests of every pair give the same edges, with walls that end on cells or cross behind the cut of the circle."""
+    rng = np.random.default_rng(5)
+    rows = [(k, int(k % 11), int(k // 11), bool(rng.random() < 0.8)) for k in range(99)]
+    cells = spark.createDataFrame(rows, "ref long, x int, y int, filled boolean")
+    lines = [(i, *(float(v) for v in (rng.integers(0, 10, 4) if i % 2 else rng.random(4) * 10))) for i in range(12)] + [(20, 4.0, 4.0, 4.0, 4.0)]
+    walls = spark.createDataFrame(lines, LINES)
+    cross = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+    apart = lambda p, q, w: cross(p, q, w[1:3]) * cross(p, q, w[3:5]) < 0 and cross(w[1:3], w[3:5], p) * cross(w[1:3], w[3:5], q) < 0
+    at = {r: (x, y) for r, x, y, filled in rows if filled}
+    want = {(a, b) for a in at for b in at if a != b and not any(apart(at[a], at[b], w) for w in lines)}
+    pairs = lambda df: sorted((r.src, r.dst, r.bin, round(r.dist, 9)) for r in df.collect())
+    kernel = pairs(lattice.visibility(cells, walls))
+    assert {k[:2] for k in kernel} == want and len(kernel) == len(want) < len(at) * (len(at) - 1)
+    assert kernel == pairs(lattice.visibility(cells, walls, kernel_cells=0)) == pairs(lattice.visibility(cells, walls, 40.0))
+    assert lattice.visibility(cells, walls.limit(0)).count() == len(at) * (len(at) - 1)
+    for size in (0, 10):
+        assert lattice.visibility(cells.limit(0), walls, kernel_cells=size).count() == 0
+
+
+def test_semi_join_keeps_rows_by_value(spark):
+    a = spark.createDataFrame([(1, 0.0, 0.0, 1.0, 1.0, None), (1, 0.0, 0.0, 1.0, 1.0, None), (2, 5.0, 5.0, 6.0, 6.0, "x")], LINES + ", name string")
+    b = prefixed(spark.createDataFrame([(7, 0.0, 1.0, 1.0, 0.0)], LINES), "b_")
+    join = lambda how: [r.ref for r in spatial_join(a, b, box(a), box(b, "b_x1", "b_y1", "b_x2", "b_y2"), F.lit(True), 1.0, how).collect()]
+    assert join("left_semi") == [1, 1] and join("left_anti") == [2]
+
+
 def test_bins(spark):
     want = {(1, 0): 0, (5, 1): 1, (3, 1): 2, (5, 4): 3, (1, 1): 4, (0, 1): 8, (-1, 1): 12, (-1, 0): 16, (-1, -1): 20, (0, -1): 24, (1, -1): 28, (5, -1): 31, (4, 5): 5, (1, 5): 7, (-1, 5): 9, (-5, -1): 17}
     df = spark.createDataFrame([(*k, v) for k, v in want.items()], "dx int, dy int, want int")
