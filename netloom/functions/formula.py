@@ -2,7 +2,8 @@
 
 Statements are lines scoped by indentation (spaces only): an expression, `name = expression`, `return expression`, `if`, `elif`, `else`. The value of the
 last statement is the result. Operators from loosest to tightest: `=`, `and`, `or`, `not`, comparisons and `is`, `+ -`, `* / %`, `^`, calls. So `or`
-binds tighter than `and`. Whole numbers divide to whole numbers. Names: value("column"), e, pi, true, false, none, variables; functions sqrt, log
+binds tighter than `and`. Whole numbers divide to whole numbers. Names: value("column"), setvalue("column", x), mark(), setmark(x), e, pi, true, false,
+none, variables; functions sqrt, log
 (base 10), ln, random, sin, cos, tan, asin, acos, atan, len, range, abs; lists in brackets with [] access, append, extend, pop. Results that aren't
 finite are -1 when written to a column. Programs with for or while run row by row in a pandas UDF instead (see loops()).
 """
@@ -177,6 +178,9 @@ class Typed:
     kind: str
 
 
+#: How a Compiler's names hold columns written by setvalue(), and the mark; no variable can be called so.
+_SET, _MARK = "setvalue ", "mark "
+
 _KINDS = {"tinyint": "int", "smallint": "int", "int": "int", "bigint": "int", "double": "float", "float": "float", "boolean": "bool", "string": "text"}
 
 
@@ -184,6 +188,20 @@ class Compiler:
     def __init__(self, kinds: dict[str, str], this: dict[str, Typed] | None = None):
         self.kinds, self.names = kinds, dict(this or {})
 
+    def column(self, name: object) -> Typed:
+        column = "ref" if name == "Ref Number" else name
+        if column not in self.kinds:
+            raise FormulaError(f"no column {column!r}")
+        return self.names.get(f"{_SET}{column}") or Typed(F.col(f"`{column}`"), _KINDS.get(self.kinds[column], "float"))
+
+    def written(self) -> dict[str, Column]:
+        """What setvalue() gives to columns."""
+        return {k.removeprefix(_SET): v.col for k, v in self.names.items() if k.startswith(_SET)}
+
+    def unset(self, name: str) -> Typed:
+        """What a branch holds that doesn't set a name."""
+        return self.column(name.removeprefix(_SET)) if name.startswith(_SET) else Typed(F.lit(None), "none")
+
     def number(self, x: Typed) -> Column:
         return x.col.cast("int") if x.kind == "bool" else x.col
 
@@ -283,10 +301,22 @@ class Compiler:
         if name == "value":
             if len(n.parts) != 1 or n.parts[0].kind != "const":
                 raise FormulaError("value() takes a column's name")
-            column = "ref" if n.parts[0].value == "Ref Number" else n.parts[0].value
-            if column not in self.kinds:
-                raise FormulaError(f"no column {column!r}")
-            return Typed(F.col(f"`{column}`"), _KINDS.get(self.kinds[column], "float"))
+            return self.column(n.parts[0].value)
+        if name == "setvalue":
+            target = _target(n)
+            self.column(target)
+            got = self.value(n.parts[1])
+            if got.kind not in ("int", "float", "bool"):
+                raise FormulaError(f"setvalue() takes a number, not {got.kind}")
+            self.names[f"{_SET}{target}"] = Typed(self.number(got).cast("double"), "float")
+            return Typed(F.lit(None), "none")
+        if name in ("mark", "setmark"):
+            if len(n.parts) != (name == "setmark"):
+                raise FormulaError(f"{name}() takes {'a value' if name == 'setmark' else 'nothing'}")
+            if name == "mark":
+                return self.names.get(_MARK) or self.unset(_MARK)
+            self.names[_MARK] = self.value(n.parts[0])
+            return Typed(F.lit(None), "none")
         args = [self.value(p) for p in n.parts]
         real = {"sqrt": F.sqrt, "log": F.log10, "ln": F.ln, "sin": F.sin, "cos": F.cos, "tan": F.tan, "asin": F.asin, "acos": F.acos, "atan": F.atan}
         if name in real:
@@ -341,7 +371,7 @@ class Compiler:
             self.names = before
             for name in {k for _, _, n in after for k in n}:
                 held = [(c, n.get(name)) for c, _, n in after]
-                self.names[name] = _choose([(c, v or Typed(F.lit(None), "none")) for c, v in held])
+                self.names[name] = _choose([(c, v or self.unset(name)) for c, v in held])
             result = _choose([(c, v or Typed(F.lit(None), "none")) for c, v, _ in after])
             if leaves:
                 return result
@@ -364,19 +394,66 @@ def _loops(block: list[tuple]) -> bool:
     return any(k in ("for", "while") or (b and _loops(b)) for k, _, b in block)
 
 
+def _calls(x, name: str) -> list[Node]:
+    """The calls of a function in a program, in order."""
+    if isinstance(x, Node):
+        return ([x] if x.kind == "call" and x.value == name else []) + _calls(x.parts, name)
+    return [c for p in x for c in _calls(p, name)] if isinstance(x, (list, tuple)) else []
+
+
+def _target(call: Node) -> str:
+    """The column that a setvalue() writes."""
+    if len(call.parts) != 2 or call.parts[0].kind != "const" or not isinstance(call.parts[0].value, str):
+        raise FormulaError("setvalue() takes a column's name and a value")
+    if call.parts[0].value in ("Ref Number", "ref"):
+        raise FormulaError("the reference number can't be changed")
+    return call.parts[0].value
+
+
 def compile_formula(df: DataFrame, text: str) -> Column:
     """The formula's value for each row of df."""
     statements = parse(text)
     if _loops(statements):
-        return loops(df, statements)
+        got = loops(df, statements)
+        return got["value"] if _calls(statements, "setvalue") else got
     got = Compiler(dict(df.dtypes)).run(statements)
     if got is None:
         raise FormulaError("the formula has no value")
     return got.col.cast("double") if got.kind in ("bool", "int") else got.col
 
 
+def execute(df: DataFrame, text: str, selected: Column | None = None) -> DataFrame:
+    """df with what the program's setvalue() calls write to the columns of a row, of selected rows only if a selection is given.
+
+    The program sees what it has written before; its value is lost. A mark (setmark, mark) holds a value within one row's run and is none at its start.
+    """
+    statements = parse(text)
+    targets = sorted({_target(c) for c in _calls(statements, "setvalue")})
+    if not targets:
+        return df
+    work, held = df, None
+    if _loops(statements):
+        held = next(k for k in (f"_program{i}" for i in range(len(df.columns) + 1)) if k not in df.columns)
+        work = df.withColumn(held, loops(df, statements))
+        new = {c: F.col(held)[f"w{k}"] for k, c in enumerate(targets)}
+    else:
+        compiler = Compiler(dict(df.dtypes))
+        compiler.run(statements)
+        new = compiler.written()
+    if selected is not None:
+        new = {c: F.when(selected, v).otherwise(F.col(f"`{c}`")) for c, v in new.items()}
+    work = work.withColumns(new)
+    return work.drop(held) if held else work
+
+
 def update(df: DataFrame, column: str, text: str, selected: Column | None = None) -> DataFrame:
-    """column by formula, of selected rows only if a selection is given; what isn't finite becomes -1."""
+    """column by formula, of selected rows only if a selection is given; what isn't finite becomes -1. Columns that setvalue() writes change, too (see execute)."""
+    if _calls(parse(text), "setvalue"):
+        taken = {*df.columns, column}
+        result, chosen = (next(k for k in (f"_{w}{i}" for i in range(len(taken) + 1)) if k not in taken) for w in ("result", "chosen"))
+        kept = df.withColumns({result: compile_formula(df, text).cast("double"), chosen: F.lit(True) if selected is None else selected})
+        done = execute(kept, text, F.col(chosen))
+        return update(done, column, f'value("{result}")', F.col(chosen)).drop(result, chosen)
     got = compile_formula(df, text).cast("double")
     got = F.when(F.isnan(got) | got.isNull() | (F.abs(got) == float("inf")), -1.0).otherwise(got)
     if selected is not None:
@@ -415,7 +492,7 @@ class Interpreter:
 
     def __init__(self, row: dict):
         self.row, self.names = row, {"e": math.e, "pi": math.pi, "true": True, "false": False, "none": None}
-        self.turns = 0
+        self.turns, self.mark = 0, None
 
     def block(self, statements: list[tuple]):
         result, taken = None, False
@@ -467,7 +544,7 @@ class Interpreter:
             return {"append": lambda x, v: x.append(v) or x, "extend": lambda x, v: x.extend(v) or x, "pop": lambda x, i=-1: x.pop(i), "clear": lambda x: x.clear() or x}[n.value](*p)
         if n.kind == "infix":
             return self.infix(n.value, *p)
-        calls: dict[str, Callable] = {"sqrt": math.sqrt, "log": math.log10, "ln": math.log, "sin": math.sin, "cos": math.cos, "tan": math.tan, "asin": math.asin, "acos": math.acos, "atan": math.atan, "abs": abs, "len": len, "range": lambda *a: list(range(*a)), "value": lambda c: self.row["ref" if c == "Ref Number" else c]}
+        calls: dict[str, Callable] = {"sqrt": math.sqrt, "log": math.log10, "ln": math.log, "sin": math.sin, "cos": math.cos, "tan": math.tan, "asin": math.asin, "acos": math.acos, "atan": math.atan, "abs": abs, "len": len, "range": lambda *a: list(range(*a)), "value": lambda c: self.row["ref" if c == "Ref Number" else c], "setvalue": self.set_value, "mark": lambda: self.mark, "setmark": self.set_mark}
         if n.value not in calls:
             raise FormulaError(f"{n.value}() isn't known")
         try:
@@ -475,6 +552,14 @@ class Interpreter:
         except ValueError:
             return float("nan")
 
+    def set_value(self, column: str, value) -> None:
+        if not isinstance(value, (int, float)):
+            raise FormulaError("setvalue() takes a number")
+        self.row[column] = float(value)
+
+    def set_mark(self, value) -> None:
+        self.mark = value
+
     @staticmethod
     def infix(op: str, a, b):
         whole = isinstance(a, int) and isinstance(b, int)
@@ -486,36 +571,35 @@ class Interpreter:
 
 
 def loops(df: DataFrame, statements: list[tuple]) -> Column:
-    """A program with loops, as a pandas UDF over the columns it reads."""
-
-
-    names: set[str] = set()
-
-    def find(x) -> None:
-        if isinstance(x, Node):
-            if x.kind == "call" and x.value == "value":
-                names.add("ref" if x.parts[0].value == "Ref Number" else x.parts[0].value)
-            for p in x.parts:
-                find(p)
-        elif isinstance(x, (list, tuple)):
-            for p in x:
-                find(p)
-
-    find(statements)
-    used = sorted(names) or ["ref"]
+    """A program with loops, as a pandas UDF over the columns it reads: its value; a struct of value and w0, w1 ... if setvalue() writes columns (in order of their names)."""
+    targets = sorted({_target(c) for c in _calls(statements, "setvalue")})
+    names = {"ref" if c.parts[0].value == "Ref Number" else c.parts[0].value for c in _calls(statements, "value")}
+    used = sorted(names.union(targets)) or ["ref"]
     for c in used:
         if c not in df.columns:
             raise FormulaError(f"no column {c!r}")
 
-    @F.pandas_udf("double")
-    def run(frame: pd.DataFrame) -> pd.Series:
+    def results(frame: pd.DataFrame) -> pd.DataFrame:
         out = []
         for row in frame.to_dict("records"):
+            run = Interpreter(row)
             try:
-                got = Interpreter(row).block(statements)
+                got = run.block(statements)
             except _Return as r:
                 got = r.value
-            out.append(float(got) if isinstance(got, (int, float)) else float("nan"))
-        return pd.Series(out, dtype=float)
+            out.append([float(got) if isinstance(got, (int, float)) else float("nan"), *(run.row[c] for c in targets)])
+        return pd.DataFrame(out, columns=["value", *(f"w{k}" for k in range(len(targets)))], dtype=float)
+
+    if targets:
+
+        @F.pandas_udf(", ".join(["value double", *(f"w{k} double" for k in range(len(targets)))]))
+        def run(frame: pd.DataFrame) -> pd.DataFrame:
+            return results(frame)
+
+    else:
+
+        @F.pandas_udf("double")
+        def run(frame: pd.DataFrame) -> pd.Series:
+            return results(frame)["value"]
 
     return run(F.struct(*[F.col(f"`{c}`").alias(c) for c in used]))

@@ -666,6 +666,29 @@ def formula_loop(spark, d):
     return _r(FX.update(_attrs(spark, d), "result", 't = 0\nfor k in range(0, 4):\n    t = t + k * value("size")\nt').select("ref", "result"))
 
 
+MARKS = """if value("size") > 25
+    setmark(value("size") * 2)
+    setvalue("size", 0)
+else
+    setmark(1)
+setvalue("price", value("price") + mark())
+value("size")"""
+
+
+@query
+def formula_setvalue(spark, d):
+    return _r(FX.update(fx.part_attributes(spark, d), "result", MARKS))
+
+
+@query
+def formula_setvalue_loop(spark, d):
+    return _r(FX.execute(fx.part_attributes(spark, d), """setmark(0)
+for i in range(0, 3)
+    setmark(mark() + value("size"))
+    setvalue("size", value("size") + i)
+setvalue("price", mark())"""))
+
+
 @query
 def formula_neighbours(spark, d):
     lines, edges = _network(spark, d)

@@ -75,6 +75,23 @@ def test_semi_join_keeps_rows_by_value(spark):
     assert join("left_semi") == [1, 1] and join("left_anti") == [2]
 
 
+def test_setvalue_and_marks(spark):
+    df = spark.createDataFrame([(1, 2.0, 5), (2, None, 7), (3, 9.0, 0)], "ref long, `a b` double, n int")
+    # a branch that doesn't write keeps the column; what was written is read back; a mark starts as none
+    text = 'if value("n") > 4\n    setvalue("n", value("n") * 2)\n    setmark(value("n"))\nif mark() is none\n    return 100\nmark() + 1'
+    got = {r.ref: (r.n, r.out) for r in FX.update(df, "out", text).collect()}
+    assert got == {1: (10.0, 11.0), 2: (14.0, 15.0), 3: (0.0, 100.0)}
+    got = {r.ref: (r["a b"], r.n) for r in FX.execute(df, 'setvalue("a b", value("n") / 2.0)', F.col("ref") == 1).collect()}
+    assert got == {1: (2.5, 5), 2: (None, 7), 3: (9.0, 0)}
+    loop = 'for i in range(0, 2)\n    setvalue("n", value("n") + 1)\nvalue("n")'
+    assert {r.ref: (r.n, r.out) for r in FX.update(df, "out", loop, F.col("ref") < 3).collect()} == {1: (7.0, 7.0), 2: (9.0, 9.0), 3: (0.0, -1.0)}
+    assert FX.execute(df, "1 + 1").columns == df.columns and FX.execute(df.limit(0), loop).count() == 0
+    for bad in ('setvalue("Ref Number", 1)', 'setvalue("nope", 1)', 'setvalue("n", "x")', 'setvalue("n")', "mark(1)", "setmark()"):
+        with pytest.raises(FX.FormulaError):
+            FX.execute(df, bad).collect()
+            FX.update(df, "out", bad).collect()
+
+
 def test_bins(spark):
     want = {(1, 0): 0, (5, 1): 1, (3, 1): 2, (5, 4): 3, (1, 1): 4, (0, 1): 8, (-1, 1): 12, (-1, 0): 16, (-1, -1): 20, (0, -1): 24, (1, -1): 28, (5, -1): 31, (4, 5): 5, (1, 5): 7, (-1, 5): 9, (-5, -1): 17}
     df = spark.createDataFrame([(*k, v) for k, v in want.items()], "dx int, dy int, want int")
