@@ -29,12 +29,59 @@ def visual_local(cells: DataFrame, edges: DataFrame) -> DataFrame:
     return filled.select("ref", *[F.coalesce(c, F.lit(-1.0)).alias(c) for c in ("clustering", "control", "controllability")])
 
 
-def visual_global(cells: DataFrame, edges: DataFrame, radius: int | None = None) -> DataFrame:
-    """Node count, mean depth, integration and entropy of each filled cell."""
+def _linked_levels(g: V.Adjacency, root: int, twin: np.ndarray, limit: int | None) -> pd.DataFrame:
+    depth = np.full(len(g.refs), -1, np.int32)  # -2: led on from with its twin, which counts for both
+    depth[root], level, front = 0, 0, np.array([root])
+    while len(front) and (limit is None or level < limit):
+        double = (twin[front] >= 0) & (twin[front] < front) & np.isin(twin[front], front)
+        depth[front[double]] = -2
+        front = front[~double]
+        other = twin[front][twin[front] >= 0]
+        depth[other] = -2
+        level += 1
+        got, _ = g.neighbours(np.concatenate([front, other]))
+        front = np.unique(got[depth[got] == -1])
+        depth[front] = level
+    n = np.bincount(depth[depth >= 0])
+    return pd.DataFrame({"root": g.refs[root], "depth": np.arange(len(n)), "n": n})
+
+
+def linked_levels(cells: DataFrame, edges: DataFrame, links: DataFrame, limit: int | None = None, small: bool | None = None) -> DataFrame:
+    """root, depth, n: cells (ref) at each depth (up to a limit) from each cell, where links (a, b) join two cells into one place: the one reached first
+    counts and leads on from both, the other doesn't count. At the limit nothing leads on, so both of a link's cells count if both are reached there only.
+
+    small: whether the graph goes to every task; by its size if not given.
+    """
+    e, links = edges.select("src", "dst"), links.select("a", "b")
+    if V.is_small(e) and V.is_small(cells) if small is None else small:
+        graph = V.collect_adjacency(cells.select("ref"), e)
+        twin = np.full(len(graph.refs), -1, np.int64)
+        # links end at cells, at most one a cell, so there are no more of them than cells
+        ends = links.join(cells.select(F.col("ref").alias("a")), "a", "left_semi").join(cells.select(F.col("ref").alias("b")), "b", "left_semi").toPandas()
+        a, b = np.searchsorted(graph.refs, ends["a"]), np.searchsorted(graph.refs, ends["b"])
+        twin[a], twin[b] = b, a
+        return V.per_root(cells.sparkSession, graph, cells, lambda g, r: _linked_levels(g, r, twin, limit), "root long, depth int, n long")
+    place = V.checkpointed(cells.select("ref").join(links.select(F.col("b").alias("ref"), "a"), "ref", "left").select("ref", F.coalesce("a", "ref").alias("place")))
+    at = lambda name, column: place.select(F.col("ref").alias(name), F.col("place").alias(column))
+    from_place = e.join(at("src", "_from"), "src").select(F.col("_from").alias("src"), "dst")
+    joined = V.checkpointed(from_place.join(at("dst", "_to"), "dst").select("src", F.col("_to").alias("dst")).filter("src <> dst").distinct())
+    roots = place.select(F.col("place").alias("ref")).distinct()
+    if limit is None:
+        counts = V.level_counts(V.all_pairs_frontier(joined, roots))
+    else:
+        near = V.checkpointed(V.all_pairs_frontier(joined, roots, limit - 1))
+        rim = near.filter(F.col("depth") == limit - 1).select("root", F.col("ref").alias("src")).join(from_place.distinct(), "src").select("root", "dst").distinct()
+        rim = rim.join(at("dst", "ref"), "dst").join(near, ["root", "ref"], "left_anti").select("root", F.col("dst").alias("ref"), F.lit(limit).alias("depth"))
+        counts = V.level_counts(near.unionByName(rim))
+    return counts.join(at("_root", "root"), "root").select(F.col("_root").alias("root"), "depth", "n")
+
+
+def visual_global(cells: DataFrame, edges: DataFrame, radius: int | None = None, links: DataFrame | None = None) -> DataFrame:
+    """Node count, mean depth, integration and entropy of each filled cell; links (a, b, as merge() makes them) join two cells into one place (linked_levels)."""
     from netloom.operators.axial import levels
 
     c = cells.filter("filled").select("ref")
-    within = levels(c, edges.select("src", "dst"), limit=radius)
+    within = levels(c, edges.select("src", "dst"), limit=radius) if links is None else linked_levels(c, edges, links, radius)
     deep = F.col("depth") > 0
     base = within.groupBy("root").agg(F.sum("n").alias("n"), F.sum(F.col("depth") * F.col("n")).alias("t"), F.collect_list(F.when(deep, F.struct("depth", F.col("n").alias("c")))).alias("levels"))
     n, t = F.col("n"), F.col("t")

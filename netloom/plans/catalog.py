@@ -339,6 +339,12 @@ def visual_global_rn(spark, d):
     return _r(vga.visual_global(cells, edges))
 
 
+@query
+def visual_global_linked(spark, d):
+    cells, edges = _sight(spark, d)
+    return _r(vga.visual_global(cells, edges, links=_links(cells)))
+
+
 @query
 def visual_step_depth(spark, d):
     cells, edges = _sight(spark, d)
@@ -386,12 +392,16 @@ def isovist_zone(spark, d):
     return _r(L.isovist_zone(cells, edges, cells.filter("filled").join(starts, ["x", "y"], "left_semi").select("ref")))
 
 
+def _links(cells: DataFrame) -> DataFrame:
+    f = cells.filter("filled")
+    pairs = f.filter("ref % 40 = 0").select(F.col("ref").alias("a"), (F.col("ref") + 7).alias("b")).join(f.select(F.col("ref").alias("b")), "b", "left_semi").select("a", "b")
+    return L.merge(cells, pairs.limit(0), pairs)
+
+
 @query
 def link_data(spark, d):
     cells = _lattice(spark, d)
-    f = cells.filter("filled")
-    pairs = f.filter("ref % 40 = 0").select(F.col("ref").alias("a"), (F.col("ref") + 7).alias("b")).join(f.select(F.col("ref").alias("b")), "b", "left_semi").select("a", "b")
-    return _r(L.link_data(cells, L.merge(cells, pairs.limit(0), pairs), 2.0))
+    return _r(L.link_data(cells, _links(cells), 2.0))
 
 
 def _sight_corner(spark, d):

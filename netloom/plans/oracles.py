@@ -162,19 +162,31 @@ costs AS (SELECT root, ref, min(cost) AS cost FROM walk GROUP BY root, ref)"""
 CONNECTIVITY = "SELECT l.ref, count(e.dst) AS connectivity, round(sqrt((any_value(x2) - any_value(x1)) ** 2 + (any_value(y2) - any_value(y1)) ** 2), 6) AS line_length FROM lines l LEFT JOIN edges e ON e.src = l.ref GROUP BY l.ref"
 
 
-def _visual_global(limit: int | None) -> str:
+LINKS = "p AS (SELECT a.ref AS a, b.ref AS b FROM cells a JOIN cells b ON b.ref = a.ref + 7 WHERE a.filled AND b.filled AND a.ref % 40 = 0)"
+
+#: Each cell's place, which the two cells of a link share, and sight between places.
+PLACES = f"""{LINKS},
+place AS (SELECT f.ref, coalesce(p.a, f.ref) AS place FROM f LEFT JOIN p ON p.b = f.ref),
+places AS (SELECT DISTINCT place AS ref FROM place),
+joined AS MATERIALIZED (SELECT DISTINCT s.place AS src, t.place AS dst FROM sight e JOIN place s ON s.ref = e.src JOIN place t ON t.ref = e.dst WHERE s.place <> t.place)"""
+
+
+def _visual_global(limit: int | None, linked: bool = False) -> str:
+    """linked: links join two cells into one place."""
+    more = f"{PLACES},\n" if linked else ""
+    last = "LEFT JOIN h ON h.root = k.root" + (" JOIN place c ON c.place = k.root" if linked else "")
     return f"""WITH RECURSIVE {SIGHT},
-{reach("f", "sight", limit)},
+{more}{reach("places", "joined", limit) if linked else reach("f", "sight", limit)},
 s AS (SELECT root, CAST(sum(n) AS DOUBLE) AS n, CAST(sum(depth * n) AS DOUBLE) AS t FROM levels GROUP BY root),
 k AS (SELECT *, t / nullif(n - 1, 0) AS mean, n > 1 AS more, n > 2 AND t / nullif(n - 1, 0) > 1 AS fine FROM s),
 h AS (SELECT l.root, -sum(l.n / (k.n - 1) * log2(l.n / (k.n - 1))) AS entropy, sum(l.n / (k.n - 1) * log2(l.n / (k.n - 1) / (pow(k.mean, l.depth) / gamma(l.depth + 2.0) * exp(-k.mean)))) AS relative
   FROM levels l JOIN k USING (root) WHERE l.depth > 0 GROUP BY l.root)
-SELECT k.root AS ref, CAST(n AS BIGINT) AS node_count, round(CASE WHEN more THEN mean ELSE -1.0 END, 6) AS mean_depth,
+SELECT {"c.ref" if linked else "k.root"} AS ref, CAST(n AS BIGINT) AS node_count, round(CASE WHEN more THEN mean ELSE -1.0 END, 6) AS mean_depth,
   round(CASE WHEN fine THEN 2 * (n * (log2((n + 2) / 3) - 1) + 1) / ((n - 1) * (n - 2)) / (2 * (mean - 1) / (n - 2)) ELSE -1.0 END, 6) AS integration_hh,
   round(CASE WHEN fine THEN 2 * (n - log2(n) - 1) / ((n - 1) * (n - 2)) / (2 * (mean - 1) / (n - 2)) ELSE -1.0 END, 6) AS integration_p,
   round(CASE WHEN fine AND t - n + 1 > 1 THEN ln(0.5 * (n - 2)) / ln(t - n + 1) ELSE -1.0 END, 6) AS integration_tekl,
   round(CASE WHEN more THEN entropy ELSE -1.0 END, 6) AS entropy, round(CASE WHEN more THEN relative ELSE -1.0 END, 6) AS relativised_entropy
-FROM k LEFT JOIN h ON h.root = k.root"""
+FROM k {last}"""
 
 
 #: up(via, k): the cells of the best path by hops from the least filled cell to the greatest, from its end.
@@ -310,6 +322,7 @@ SELECT f.ref, round(CASE WHEN k > 1 THEN coalesce(tri, 0) / (k * (k - 1)) ELSE -
 FROM f LEFT JOIN deg ON deg.src = f.ref LEFT JOIN u ON u.src = f.ref LEFT JOIN t ON t.src = f.ref LEFT JOIN c ON c.src = f.ref""",
     "visual_global_r3": _visual_global(3),
     "visual_global_rn": _visual_global(None),
+    "visual_global_linked": _visual_global(None, linked=True),
     "visual_step_depth": f"""WITH RECURSIVE {SIGHT},
 {hops('(SELECT min(ref) AS ref FROM f)', 'sight')},
 d AS (SELECT ref, depth FROM depths)
@@ -328,7 +341,7 @@ o AS (SELECT DISTINCT via AS ref FROM up),
 d AS (SELECT ref, min(dist) AS d FROM (SELECT dst AS ref, dist FROM sight WHERE src IN (SELECT ref FROM o) UNION ALL SELECT ref, 0.0 FROM o) GROUP BY ref)
 SELECT f.ref, CAST(d IS NOT NULL AS BIGINT) AS visual_zone, round(coalesce(d, -1.0), 6) AS metric_zone, round(coalesce(1 / (d + 1), -1.0), 6) AS inverse_zone FROM f LEFT JOIN d USING (ref)""",
     "link_data": f"""WITH {CELLS},
-p AS (SELECT a.ref AS a, b.ref AS b FROM cells a JOIN cells b ON b.ref = a.ref + 7 WHERE a.filled AND b.filled AND a.ref % 40 = 0),
+{LINKS},
 two AS (SELECT a AS ref, b AS link_to FROM p UNION ALL SELECT b, a FROM p)
 SELECT t.ref, link_to, 1.0::DOUBLE AS link_visual_cost, round(2 * sqrt((c.x - e.x) ** 2 + (c.y - e.y) ** 2), 6) AS link_metric_cost, 1.0::DOUBLE AS link_angular_cost FROM two t JOIN cells c ON c.ref = t.ref JOIN cells e ON e.ref = link_to""",
     **{f"push_points_to_zones_{k}": _push(v) for k, v in (("min", "min"), ("max", "max"), ("avg", "avg"), ("tot", "sum"))},

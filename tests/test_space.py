@@ -39,6 +39,50 @@ def test_open_room_sees_itself(spark):
     assert total == 132 and sum(lattice.bin_counts(edges).agg(*[F.sum(f"bin{k}") for k in range(32)]).first()) == 132
 
 
+@pytest.mark.parametrize("limit", [None, 1, 2, 3])
+def test_linked_levels(spark, limit):
+    """The kernel and the frontier against a search that treats the cells of a link one by one."""
+    rng = np.random.default_rng(8)
+    cells = grid(spark, 6, 5).select("ref")
+    pairs = {(int(a), int(b)) for a, b in rng.integers(0, 30, (34, 2)) if a != b}
+    sees = {(a, b) for p in pairs for a, b in (p, p[::-1])}
+    edges = spark.createDataFrame(sorted(sees), "src long, dst long")
+    order = rng.permutation(30)[:12].reshape(6, 2)
+    links = [tuple(sorted(map(int, p))) for p in order]
+    twin = dict(links) | {b: a for a, b in links}
+    want = []
+    for root in range(30):
+        closed, level, front = set(), 0, {root}
+        while front:
+            counted = 0
+            nxt = set()
+            for c in sorted(front):
+                if c in closed:
+                    continue
+                counted += 1
+                closed.add(c)
+                if limit is None or level < limit:
+                    for at in (c, twin.get(c)):
+                        nxt |= {b for a, b in sees if a == at}
+                    closed |= {twin[c]} if c in twin else set()
+            want += [(root, level, counted)] if counted else []
+            front, level = nxt - closed, level + 1
+    for small in (True, False):
+        got = vga.linked_levels(cells, edges, spark.createDataFrame(links, "a long, b long"), limit, small=small)
+        assert sorted(map(tuple, got.select("root", "depth", "n").collect())) == want, small
+
+
+def test_links_shorten_depths(spark):
+    cells = spark.createDataFrame([(k, k, 0, True) for k in range(4)], "ref long, x int, y int, filled boolean")
+    edges = spark.createDataFrame([(0, 1), (1, 0), (2, 3), (3, 2)], "src long, dst long")
+    links = lattice.merge(cells, spark.createDataFrame([], "a long, b long"), spark.createDataFrame([(2, 1)], "a long, b long"))
+    got = {r.ref: (r.node_count, r.mean_depth) for r in vga.visual_global(cells, edges, links=links).collect()}
+    assert got == {0: (3, 1.5), 1: (3, 1.0), 2: (3, 1.0), 3: (3, 1.5)}
+    assert {r.node_count for r in vga.visual_global(cells, edges).collect()} == {2}
+    none = vga.visual_global(cells, edges, links=links.limit(0))
+    assert sorted(map(tuple, none.collect())) == sorted(map(tuple, vga.visual_global(cells, edges).collect()))
+
+
 def test_wall_blocks_sight_and_fill(spark):
     cells = grid(spark, 4, 4)
     wall = spark.createDataFrame([(0, 1.5, -1.0, 1.5, 9.0)], LINES)
