@@ -3,8 +3,8 @@
 Statements are lines scoped by indentation (spaces only): an expression, `name = expression`, `return expression`, `if`, `elif`, `else`. The value of the
 last statement is the result. Operators from loosest to tightest: `=`, `and`, `or`, `not`, comparisons and `is`, `+ -`, `* / %`, `^`, calls. So `or`
 binds tighter than `and`. Whole numbers divide to whole numbers. Names: value("column"), setvalue("column", x), mark(), setmark(x), e, pi, true, false,
-none, variables; functions sqrt, log
-(base 10), ln, random, sin, cos, tan, asin, acos, atan, len, range, abs; lists in brackets with [] access, append, extend, pop. Results that aren't
+none, variables; connections(), the list of a row's neighbours in a graph (of a segment's "forward" or "back" side, or of a cell's bin, by that
+argument), which have value("column") as it was before the program ran; functions sqrt, log (base 10), ln, random, sin, cos, tan, asin, acos, atan, len, range, abs; lists in brackets with [] access, append, extend, pop. Results that aren't
 finite are -1 when written to a column. Programs with for or while run row by row in a pandas UDF instead (see loops()).
 """
 
@@ -194,6 +194,12 @@ class Compiler:
             raise FormulaError(f"no column {column!r}")
         return self.names.get(f"{_SET}{column}") or Typed(F.col(f"`{column}`"), _KINDS.get(self.kinds[column], "float"))
 
+    def neighbours(self, n: Node) -> Typed:
+        held = _held(n)
+        if held not in self.kinds:
+            raise FormulaError("connections() needs the graph's edges")
+        return Typed(F.col(f"`{held}`"), "nodes")
+
     def written(self) -> dict[str, Column]:
         """What setvalue() gives to columns."""
         return {k.removeprefix(_SET): v.col for k, v in self.names.items() if k.startswith(_SET)}
@@ -271,12 +277,17 @@ class Compiler:
 
     def on_item(self, n: Node) -> Typed:
         x, i = map(self.value, n.parts)
+        if x.kind == "nodes":
+            return Typed(F.try_element_at(x.col, F.when(i.col >= 0, i.col + 1).otherwise(i.col).cast("int")), "node")
         if x.kind != "list":
             raise FormulaError("only lists have items")
         return Typed(F.element_at(x.col, F.when(i.col >= 0, i.col + 1).otherwise(i.col).cast("int")), "float")
 
     def on_method(self, n: Node) -> Typed:
         x, args = self.value(n.parts[0]), [self.value(p) for p in n.parts[1:]]
+        if n.value == "value" and x.kind == "node":
+            column = _read(n)
+            return Typed(x.col[column], _KINDS.get(self.kinds[column], "float"))
         if x.kind != "list":
             raise FormulaError(f"{n.value} isn't defined for {x.kind}")
         if n.value == "append":
@@ -310,6 +321,8 @@ class Compiler:
                 raise FormulaError(f"setvalue() takes a number, not {got.kind}")
             self.names[f"{_SET}{target}"] = Typed(self.number(got).cast("double"), "float")
             return Typed(F.lit(None), "none")
+        if name == "connections":
+            return self.neighbours(n)
         if name in ("mark", "setmark"):
             if len(n.parts) != (name == "setmark"):
                 raise FormulaError(f"{name}() takes {'a value' if name == 'setmark' else 'nothing'}")
@@ -394,11 +407,55 @@ def _loops(block: list[tuple]) -> bool:
     return any(k in ("for", "while") or (b and _loops(b)) for k, _, b in block)
 
 
-def _calls(x, name: str) -> list[Node]:
-    """The calls of a function in a program, in order."""
+def _calls(x, name: str, kind: str = "call") -> list[Node]:
+    """The calls of a function (or a method) in a program, in order."""
     if isinstance(x, Node):
-        return ([x] if x.kind == "call" and x.value == name else []) + _calls(x.parts, name)
-    return [c for p in x for c in _calls(p, name)] if isinstance(x, (list, tuple)) else []
+        return ([x] if x.kind == kind and x.value == name else []) + _calls(x.parts, name, kind)
+    return [c for p in x for c in _calls(p, name, kind)] if isinstance(x, (list, tuple)) else []
+
+
+def _part(call: Node) -> object:
+    """What a connections() asks for: None (all), a side or a bin."""
+    if len(call.parts) > 1 or (call.parts and call.parts[0].kind != "const"):
+        raise FormulaError("connections() takes nothing, a side or a bin")
+    part = call.parts[0].value if call.parts else None
+    if part not in (None, "all", "forward", "back") and not (isinstance(part, int) and 0 <= part < 32):
+        raise FormulaError('connections() takes nothing, "all", "forward", "back" or a bin from 0 to 31')
+    return None if part == "all" else part
+
+
+def _held(call: Node) -> str:
+    """The column that holds the rows of a connections() while a program runs."""
+    part = _part(call)
+    return f"connections() {'all' if part is None else part}"
+
+
+def _read(method: Node) -> str:
+    """The column that a neighbour's value() reads."""
+    if len(method.parts) != 2 or method.parts[1].kind != "const" or not isinstance(method.parts[1].value, str):
+        raise FormulaError("value() takes a column's name")
+    return "ref" if method.parts[1].value == "Ref Number" else method.parts[1].value
+
+
+def connect(df: DataFrame, edges: DataFrame, text: str) -> tuple[DataFrame, list[str]]:
+    """df (ref, ...) with a list column for each kind of connections() that a program calls, and those columns' names. Lists hold what the program reads of a
+    row's neighbours, in order of their refs; edges: src, dst, and `side` (fwd, back, as segments' edges have) or `bin` if the program asks for these."""
+    statements = parse(text)
+    columns = sorted({_read(m) for m in _calls(statements, "value", "method")} - {"ref"})
+    for c in columns:
+        if c not in df.columns:
+            raise FormulaError(f"no column {c!r}")
+    asked = {_held(c): _part(c) for c in _calls(statements, "connections")}
+    neighbour = df.select(F.col("ref").alias("_dst"), F.struct("ref", *[F.col(f"`{c}`") for c in columns]).alias("_n"))
+    out = df
+    for held, part in asked.items():
+        if held in df.columns:
+            raise FormulaError(f"a column is called {held!r}")
+        e = edges if part is None else edges.filter(F.col("bin" if isinstance(part, int) else "side") == {"forward": "fwd"}.get(part, part))
+        lists = e.select(F.col("src").alias("_src"), F.col("dst").alias("_dst")).join(neighbour, "_dst").groupBy("_src").agg(F.sort_array(F.collect_list("_n")).alias(held))
+        out = out.join(lists, out["ref"] == lists["_src"], "left").drop("_src")
+        out = out.withColumn(held, F.coalesce(F.col(f"`{held}`"), F.array().cast(lists.schema[held].dataType)))
+    return out, list(asked)
 
 
 def _target(call: Node) -> str:
@@ -422,8 +479,8 @@ def compile_formula(df: DataFrame, text: str) -> Column:
     return got.col.cast("double") if got.kind in ("bool", "int") else got.col
 
 
-def execute(df: DataFrame, text: str, selected: Column | None = None) -> DataFrame:
-    """df with what the program's setvalue() calls write to the columns of a row, of selected rows only if a selection is given.
+def execute(df: DataFrame, text: str, selected: Column | None = None, edges: DataFrame | None = None) -> DataFrame:
+    """df with what the program's setvalue() calls write to the columns of a row, of selected rows only if a selection is given. edges: see connect().
 
     The program sees what it has written before; its value is lost. A mark (setmark, mark) holds a value within one row's run and is none at its start.
     """
@@ -431,6 +488,9 @@ def execute(df: DataFrame, text: str, selected: Column | None = None) -> DataFra
     targets = sorted({_target(c) for c in _calls(statements, "setvalue")})
     if not targets:
         return df
+    if edges is not None:
+        wide, lists = connect(df, edges, text)
+        return execute(wide, text, selected).drop(*lists)
     work, held = df, None
     if _loops(statements):
         held = next(k for k in (f"_program{i}" for i in range(len(df.columns) + 1)) if k not in df.columns)
@@ -446,8 +506,12 @@ def execute(df: DataFrame, text: str, selected: Column | None = None) -> DataFra
     return work.drop(held) if held else work
 
 
-def update(df: DataFrame, column: str, text: str, selected: Column | None = None) -> DataFrame:
-    """column by formula, of selected rows only if a selection is given; what isn't finite becomes -1. Columns that setvalue() writes change, too (see execute)."""
+def update(df: DataFrame, column: str, text: str, selected: Column | None = None, edges: DataFrame | None = None) -> DataFrame:
+    """column by formula, of selected rows only if a selection is given; what isn't finite becomes -1. Columns that setvalue() writes change, too (see execute).
+    edges: the graph whose neighbours connections() lists (see connect)."""
+    if edges is not None:
+        wide, lists = connect(df, edges, text)
+        return update(wide, column, text, selected).drop(*lists)
     if _calls(parse(text), "setvalue"):
         taken = {*df.columns, column}
         result, chosen = (next(k for k in (f"_{w}{i}" for i in range(len(taken) + 1)) if k not in taken) for w in ("result", "chosen"))
@@ -462,8 +526,11 @@ def update(df: DataFrame, column: str, text: str, selected: Column | None = None
     return df.withColumn(column, got)
 
 
-def select(df: DataFrame, text: str) -> DataFrame:
-    """The rows whose formula is true."""
+def select(df: DataFrame, text: str, edges: DataFrame | None = None) -> DataFrame:
+    """The rows whose formula is true. edges: see connect()."""
+    if edges is not None:
+        wide, lists = connect(df, edges, text)
+        return select(wide, text).drop(*lists)
     got = Compiler(dict(df.dtypes))
     value = got.run(parse(text))
     if value is None:
@@ -541,10 +608,10 @@ class Interpreter:
         if n.kind == "item":
             return p[0][p[1]]
         if n.kind == "method":
-            return {"append": lambda x, v: x.append(v) or x, "extend": lambda x, v: x.extend(v) or x, "pop": lambda x, i=-1: x.pop(i), "clear": lambda x: x.clear() or x}[n.value](*p)
+            return {"append": lambda x, v: x.append(v) or x, "extend": lambda x, v: x.extend(v) or x, "pop": lambda x, i=-1: x.pop(i), "clear": lambda x: x.clear() or x, "value": lambda x, _: x[_read(n)]}[n.value](*p)
         if n.kind == "infix":
             return self.infix(n.value, *p)
-        calls: dict[str, Callable] = {"sqrt": math.sqrt, "log": math.log10, "ln": math.log, "sin": math.sin, "cos": math.cos, "tan": math.tan, "asin": math.asin, "acos": math.acos, "atan": math.atan, "abs": abs, "len": len, "range": lambda *a: list(range(*a)), "value": lambda c: self.row["ref" if c == "Ref Number" else c], "setvalue": self.set_value, "mark": lambda: self.mark, "setmark": self.set_mark}
+        calls: dict[str, Callable] = {"sqrt": math.sqrt, "log": math.log10, "ln": math.log, "sin": math.sin, "cos": math.cos, "tan": math.tan, "asin": math.asin, "acos": math.acos, "atan": math.atan, "abs": abs, "len": len, "range": lambda *a: list(range(*a)), "value": lambda c: self.row["ref" if c == "Ref Number" else c], "connections": lambda *_: list(self.row[_held(n)]), "setvalue": self.set_value, "mark": lambda: self.mark, "setmark": self.set_mark}
         if n.value not in calls:
             raise FormulaError(f"{n.value}() isn't known")
         try:
@@ -574,7 +641,10 @@ def loops(df: DataFrame, statements: list[tuple]) -> Column:
     """A program with loops, as a pandas UDF over the columns it reads: its value; a struct of value and w0, w1 ... if setvalue() writes columns (in order of their names)."""
     targets = sorted({_target(c) for c in _calls(statements, "setvalue")})
     names = {"ref" if c.parts[0].value == "Ref Number" else c.parts[0].value for c in _calls(statements, "value")}
-    used = sorted(names.union(targets)) or ["ref"]
+    lists = sorted({_held(c) for c in _calls(statements, "connections")})
+    if not set(lists) <= set(df.columns):
+        raise FormulaError("connections() needs the graph's edges")
+    used = [*sorted(names.union(targets)), *lists] or ["ref"]
     for c in used:
         if c not in df.columns:
             raise FormulaError(f"no column {c!r}")

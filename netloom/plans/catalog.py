@@ -699,6 +699,14 @@ for i in range(0, 3)
 setvalue("price", mark())"""))
 
 
+@query
+def formula_connections(spark, d):
+    lines, edges = _network(spark, d)
+    table = X.connectivity(lines, edges).select("ref", F.col("connectivity").cast("double").alias("c"))
+    text = 't = 0\nfor n in connections():\n    t = t + n.value("c")\nif len(connections()) > 0:\n    return t / len(connections())\n-1'
+    return _r(FX.update(table, "mean_neighbour", text, edges=edges).select("ref", "mean_neighbour"))
+
+
 @query
 def formula_neighbours(spark, d):
     lines, edges = _network(spark, d)

@@ -387,9 +387,9 @@ SELECT p_partkey AS ref, CASE WHEN n > 32 THEN -1 ELSE code END AS code FROM par
     "formula_setvalue": """WITH a AS (SELECT p_partkey AS ref, p_retailprice AS price, CAST(p_size AS DOUBLE) AS size, CAST(1 << (p_partkey % 8) AS BIGINT) AS layer_key FROM part)
 SELECT ref, round(price + CASE WHEN size > 25 THEN size * 2 ELSE 1 END, 6) AS price, CASE WHEN size > 25 THEN 0 ELSE size END AS size, layer_key, CASE WHEN size > 25 THEN 0 ELSE size END AS result FROM a""",
     "formula_setvalue_loop": "SELECT p_partkey AS ref, CAST(3 * p_size + 1 AS DOUBLE) AS price, CAST(p_size + 3 AS DOUBLE) AS size, CAST(1 << (p_partkey % 8) AS BIGINT) AS layer_key FROM part",
-    "formula_neighbours": f"""WITH {EDGES},
+    **dict.fromkeys(("formula_neighbours", "formula_connections"), f"""WITH {EDGES},
 c AS (SELECT l.ref, CAST(count(e.dst) AS DOUBLE) AS c FROM lines l LEFT JOIN edges e ON e.src = l.ref GROUP BY l.ref)
-SELECT l.ref, round(coalesce(avg(c.c), -1.0), 6) AS mean_neighbour FROM lines l LEFT JOIN edges e ON e.src = l.ref LEFT JOIN c ON c.ref = e.dst GROUP BY l.ref""",
+SELECT l.ref, round(coalesce(avg(c.c), -1.0), 6) AS mean_neighbour FROM lines l LEFT JOIN edges e ON e.src = l.ref LEFT JOIN c ON c.ref = e.dst GROUP BY l.ref"""),
 }
 
 #: The same over what cells see at any distance.

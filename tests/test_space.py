@@ -263,6 +263,25 @@ def test_formula_selection(spark):
     assert FX.select(df, 'value("x") >= 2').count() == 2
 
 
+def test_connections(spark):
+    df = spark.createDataFrame([(1, 10.0), (2, 20.0), (3, 40.0), (4, 80.0)], "ref long, `a b` double")
+    edges = spark.createDataFrame([(1, 2, "fwd", 0), (1, 3, "back", 8), (2, 1, "back", 16), (3, 1, "fwd", 24)], "src long, dst long, side string, bin int")
+    run = lambda text, **more: {r.ref: r.got for r in FX.update(df, "got", text, edges=edges, **more).collect()}
+    assert run("len(connections())") == {1: 2, 2: 1, 3: 1, 4: 0}
+    assert run('t = 0\nfor n in connections():\n    t = t + n.value("a b")\nt + value("a b")') == {1: 70, 2: 30, 3: 50, 4: 80}
+    assert run('connections("all")[0].value("a b")') == {1: 20, 2: 10, 3: 10, 4: -1}
+    assert run('connections("back")[0].value("Ref Number")') == {1: 3, 2: 1, 3: -1, 4: -1}
+    assert run("len(connections(24)) + 10 * len(connections(\"forward\"))") == {1: 10, 2: 0, 3: 11, 4: 0}
+    written = FX.execute(df, 't = 0\nfor n in connections():\n    t = t + n.value("a b")\nsetvalue("a b", t)', edges=edges)
+    assert written.columns == df.columns and {r.ref: r["a b"] for r in written.collect()} == {1: 60, 2: 10, 3: 10, 4: 0}
+    assert {r.ref for r in FX.select(df, "len(connections()) > 1", edges).collect()} == {1}
+    for text in ('connections("left")', "connections(32)", 'connections()[0].value("nothing")'):
+        with pytest.raises(FX.FormulaError):
+            run(text)
+    with pytest.raises(FX.FormulaError):
+        FX.update(df, "got", "len(connections())")
+
+
 # --- attribute tables
 
 
