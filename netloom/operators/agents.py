@@ -17,13 +17,13 @@ from pyspark.sql import functions as F
 
 from netloom.operators import traverse as V
 
-RULES = ("standard", "weighted", "occlusion_all", "occlusion_45", "occlusion_60", "occlusion_standard", "occlusion_weight_distance", "occlusion_weight_angle", "occlusion_weight_both", "occlusion_memory", "los", "los_occlusion", "directed_los", "gibsonian_length", "gibsonian_flow", "gibsonian_comparative_length", "gibsonian_comparative_flow", "flow2")
+RULES = ("standard", "weighted", "occlusion_all", "occlusion_45", "occlusion_60", "occlusion_standard", "occlusion_weight_distance", "occlusion_weight_angle", "occlusion_weight_both", "occlusion_memory", "los", "los_occlusion", "directed_los", "gibsonian_length", "gibsonian_flow", "gibsonian_comparative_length", "gibsonian_comparative_flow", "flow2", "evolved")
 
 
 @dataclass(frozen=True)
 class Settings:
     """steps: time steps of the system; rate: agents released a step; life: steps an agent lives; fov: angular bins it sees (of 32); decide: steps between
-    decisions; rule: one of RULES; seed; release: refs to start from (all filled cells if empty)."""
+    decisions; rule: one of RULES; seed; release: refs to start from (all filled cells if empty); program: the genes that the rule evolved follows."""
 
     steps: int = 100
     rate: float = 0.1
@@ -33,8 +33,11 @@ class Settings:
     rule: str = "standard"
     seed: int = 1
     release: tuple[int, ...] = ()
+    program: Program | None = None
 
     def __post_init__(self):
+        if self.rule == "evolved" and (self.program is None or len(self.program.genes) != GENES):
+            raise ValueError(f"the rule evolved needs a program of {GENES} genes")
         if self.rule not in RULES:
             raise ValueError(f"{self.rule} isn't a rule; there are {', '.join(RULES)}")
 
@@ -69,6 +72,22 @@ def _bin(dx: float, dy: float) -> int:
     return int(round(math.atan2(dy, dx) / (2 * math.pi) * 32)) % 32
 
 
+def evolved_sight(program: Program, fov: int, off: np.ndarray, dist: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Which of the cells in view an evolved agent may head for. Each of four rules watches a band of the view to both sides, the first next to what lies ahead.
+    They take turns in the order of the first four genes. A rule fires on a side whose longest sight exceeds a share of itself and the sight ahead (genes five to
+    eight), with a chance (the last four); of two such sides one is drawn. If none fires, the agent goes on ahead."""
+    order, share, chance = np.reshape(program.genes, (3, 4))
+    bands = np.linspace(2, fov // 2 + 1, 5)
+    longest = lambda mask: float(dist[mask].max()) if mask.any() else 0.0
+    ahead = np.abs(off) < 2
+    front = longest(ahead)
+    for k in np.argsort(order, kind="stable"):
+        sides = [m for m in ((sign * off >= bands[k]) & (sign * off < bands[k + 1]) for sign in (1, -1)) if longest(m) > share[k] * (longest(m) + front)]
+        if sides and rng.random() < chance[k]:
+            return sides[int(rng.integers(len(sides)))]
+    return ahead
+
+
 def decide(world: World, cell: int, heading: int, s: Settings, rng: np.random.Generator, memory: dict) -> int | None:
     """The cell an agent heads for; None if it sees none."""
     cells, off, dist = world.seen(cell, heading, s.fov)
@@ -95,6 +114,8 @@ def decide(world: World, cell: int, heading: int, s: Settings, rng: np.random.Ge
             side = max(score, key=lambda k: (score[k], k == 0))
         mine = off > 1 if side == 1 else off < -1 if side == -1 else np.abs(off) <= 1
         w = mine.astype(float) if mine.any() else np.ones(len(cells))
+    elif rule == "evolved":
+        w = evolved_sight(s.program, s.fov, off, dist, rng).astype(float)
     else:
         occ = world.occluded[cell][(heading + off) % 32]
         w = (occ > 1.5).astype(float)
@@ -200,9 +221,13 @@ def trails(moves: DataFrame, cells: DataFrame, limit: int | None = None) -> Data
     return walks.select("ref", F.transform("w", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("points")).filter(F.size("points") > 1)
 
 
+#: Genes of a program that drives agents.
+GENES = 12
+
+
 @dataclass
 class Program:
-    """Rules an evolved agent weighs: thresholds and chances, all between 0 and 1."""
+    """What the rule evolved follows (see evolved_sight): the order of four rules, their shares and their chances, all between 0 and 1."""
 
     genes: list[float]
     fitness: float = 0.0

@@ -598,7 +598,8 @@ def test_agents(spark, rule):
     sight = V.checkpointed(lattice.visibility(cells, no_walls(spark), 4.0))
     steps = lattice.neighbour_edges(cells).select("src", "dst")
     occ = lattice.bin_distances(sight).withColumnRenamed("distance", "occ_distance") if "occlusion" in rule else None
-    s = agents.Settings(steps=30, rate=0.4, life=20, rule=rule, seed=3)
+    program = agents.Program([0.1, 0.2, 0.3, 0.4] + [0.5] * 4 + [0.7] * 4) if rule == "evolved" else None
+    s = agents.Settings(steps=30, rate=0.4, life=20, rule=rule, seed=3, program=program)
     moves = agents.run(cells, sight, steps, s, occ)
     rows = sorted(map(tuple, moves.collect()))
     assert rows and rows == sorted(map(tuple, agents.run(cells, sight, steps, s, occ).collect()))
@@ -609,6 +610,27 @@ def test_agents(spark, rule):
     assert agents.trails(moves, cells, 2).count() <= 2
 
 
+def test_genes_drive_agents(spark):
+    """The order, the shares and the chances decide where an agent looks, and walks of different programs differ."""
+    off, dist = np.array([0, 2, -2, 7, -7]), np.array([4.0, 3.0, 9.0, 8.0, 1.0])
+    look = lambda *genes: np.flatnonzero(agents.evolved_sight(agents.Program(list(genes)), 15, off, dist, np.random.default_rng(1))).tolist()
+    near, far = (0.1, 0.2, 0.3, 0.4), (0.4, 0.3, 0.2, 0.1)
+    share, always, never = (0.6,) * 4, (1.0,) * 4, (0.0,) * 4
+    assert look(*near, *share, *always) == [2] and look(*far, *share, *always) == [3]
+    assert look(*near, *share, *never) == [0] and look(*near, *(0.9,) * 4, *always) == [0]
+    assert look(*near, 0.3, *share[1:], *always) in ([1], [2])
+    cells = grid(spark, 7, 7)
+    sight, steps = lattice.visibility(cells, no_walls(spark), 12.0), lattice.neighbour_edges(cells)
+    walks = []
+    for genes in ([*near, *share, *always], [*near, *share, *never]):
+        s = agents.Settings(steps=20, rate=0.5, life=15, rule="evolved", seed=3, program=agents.Program(genes))
+        walks.append(sorted(map(tuple, agents.run(cells, sight, steps, s).collect())))
+    assert walks[0] and walks[1] and walks[0] != walks[1]
+    for bad in (None, agents.Program([0.5])):
+        with pytest.raises(ValueError):
+            agents.Settings(rule="evolved", program=bad)
+
+
 def test_agent_programs():
     rng = np.random.default_rng(0)
     population = [agents.Program([k / 10] * 4, fitness=k) for k in range(10)]
