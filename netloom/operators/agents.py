@@ -188,8 +188,8 @@ def run(cells: DataFrame, sight: DataFrame, grid: DataFrame, settings: Settings,
     occlusions: ref, bin, occ_distance, which occlusion rules need."""
     if "occlusion" in settings.rule and (occlusions is None or occlusions.filter("occ_distance > 0").isEmpty()):
         raise ValueError("occlusion rules need isovists' occlusion distances")
-    if not V.is_small(sight):
-        raise ValueError("the lattice's visibility graph is too large to send to tasks")
+    if not all(V.is_small(t) for t in (cells, sight, grid, *([] if occlusions is None else [occlusions]))):
+        raise ValueError("the lattice and its visibility graph are too large to send to tasks")
     spark = cells.sparkSession
     world = World(cells.select("ref", "x", "y").toPandas(), sight.select("src", "dst", "bin", "dist").toPandas(), grid.select("src", "dst").toPandas(), occlusions.toPandas() if occlusions is not None else None)
     shared = spark.sparkContext.broadcast(world)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from netloom.functions import formula as FX
 from netloom.functions import geometry as G
+from netloom.operators import agents
 from netloom.operators import attributes as A
 from netloom.operators import axial as X
 from netloom.operators import lattice as L
@@ -351,6 +352,14 @@ def visual_step_depth(spark, d):
     return _r(vga.visual_step_depth(cells, edges, _least_filled(cells)))
 
 
+@query
+def agent_gate_counts(spark, d):
+    cells, edges = _sight(spark, d)
+    filled = cells.filter("filled")
+    moves = agents.run(filled, edges, L.neighbour_edges(cells), agents.Settings(steps=200, rate=0.5))
+    return agents.gate_counts(filled, moves)
+
+
 @query
 def through_vision(spark, d):
     cells, edges = _sight(spark, d)
