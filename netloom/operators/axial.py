@@ -157,16 +157,39 @@ def _choice_of(graph: V.Adjacency, root: int, limit: int | None) -> pd.DataFrame
     return pd.DataFrame({"ref": graph.refs[hit], "choice": below[hit], "choice_w": weighted[hit]})
 
 
-def choice(lines: DataFrame, edges: DataFrame, weight: str | None = None, radius: int | None = None) -> DataFrame:
+def _choice_by_joins(nodes: DataFrame, edges: DataFrame, limit: int | None) -> DataFrame:
+    """ref, choice, choice_w of nodes (ref, weight) in a graph of any size: a frontier from all roots, then what hangs below each node, level by level upwards."""
+    w = lambda name, column: nodes.select(F.col("ref").alias(name), F.col("weight").alias(column))
+    pairs = V.checkpointed(V.all_pairs_frontier(edges, nodes, limit))
+    above = pairs.select("root", F.col("ref").alias("parent"), (F.col("depth") + 1).alias("depth"))
+    steps = edges.select(F.col("src").alias("parent"), F.col("dst").alias("ref"))
+    tree = pairs.filter("depth > 0").join(steps, "ref").join(above, ["root", "parent", "depth"]).groupBy("root", "ref", "depth").agg(F.min("parent").alias("parent"))
+    tree = V.checkpointed(tree.join(w("ref", "w"), "ref"))
+    deepest = tree.agg(F.max("depth")).first()[0] or 0
+    through = hang = tree.limit(0).select("root", "ref", F.lit(0.0).alias("below"), F.lit(0.0).alias("below_w"))
+    for level in range(deepest, 1, -1):  # above the first level are the roots, which no path passes
+        here = tree.filter(F.col("depth") == level).join(hang, ["root", "ref"], "left")
+        below, below_w = F.coalesce("below", F.lit(0.0)) + 1, F.coalesce("below_w", F.lit(0.0)) + F.col("w")
+        hang = V.checkpointed(here.groupBy("root", F.col("parent").alias("ref")).agg(F.sum(below).alias("below"), F.sum(below_w).alias("below_w")))
+        through = through.union(hang)
+    passed = through.join(w("root", "wr"), "root").select("ref", F.col("below").alias("choice"), (F.col("below_w") * F.col("wr")).alias("choice_w"))
+    half = tree.join(w("root", "wr"), "root").select("root", "ref", F.lit(0.0).alias("choice"), (0.5 * F.col("w") * F.col("wr")).alias("choice_w"))
+    ends = half.select("ref", "choice", "choice_w").union(half.select("root", "choice", "choice_w"))
+    own = nodes.select("ref", F.lit(0.0).alias("choice"), F.lit(0.0).alias("choice_w"))
+    return passed.union(ends).union(own)
+
+
+def choice(lines: DataFrame, edges: DataFrame, weight: str | None = None, radius: int | None = None, small: bool | None = None) -> DataFrame:
     """ref, choice, choice_norm, choice_weighted, choice_weighted_norm: how many shortest paths pass a line, one path for each ordered pair.
 
-    Of equally short paths that by the smallest refs counts. Graphs must fit the kernel.
+    Of equally short paths that by the smallest refs counts. small: whether the graph goes to every task; by its size if not given.
     """
-    if not V.is_small(edges):
-        raise ValueError("choice needs a graph that fits the kernel")
     nodes = lines.select("ref", (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("weight"))
-    graph = V.collect_adjacency(nodes, edges, ("weight",))
-    got = V.per_root(lines.sparkSession, graph, lines, lambda g, r: _choice_of(g, r, radius), "ref long, choice double, choice_w double")
+    if V.is_small(edges) and V.is_small(lines) if small is None else small:
+        graph = V.collect_adjacency(nodes, edges, ("weight",))
+        got = V.per_root(lines.sparkSession, graph, lines, lambda g, r: _choice_of(g, r, radius), "ref long, choice double, choice_w double")
+    else:
+        got = _choice_by_joins(nodes, edges, radius)
     sums = got.groupBy("ref").agg(F.sum("choice").alias("choice"), F.sum("choice_w").alias("choice_w"))
     size = integration(levels(lines, edges, weight, radius), radius).select("ref", "node_count", "total_weight")
     n, w = F.col("node_count"), F.col("total_weight")
