@@ -112,12 +112,13 @@ def connect_added(lines: DataFrame, edges: DataFrame, added: DataFrame) -> DataF
 
 
 def nearest_shape(points: DataFrame, shapes: DataFrame, reach: float) -> DataFrame:
-    """ref, shape, distance: the open shape (a side of it) nearest to each point (ref, x, y) within a reach; the smaller ref of equally near ones."""
+    """ref, shape, distance: the open shape (a side of it) nearest to each point (ref, x, y) within a reach; the smaller ref of equally near ones,
+    by distances rounded to 6 digits, since equal ones differ in their last bits."""
     p = points.select(F.col("ref").alias("p_ref"), F.col("x").alias("p_x"), F.col("y").alias("p_y"))
     l = prefixed(lines_of(shapes.filter("not closed")).select("shape_ref", "x1", "y1", "x2", "y2"), "l_")
     around = {"lo_x": F.col("p_x") - reach, "hi_x": F.col("p_x") + reach, "lo_y": F.col("p_y") - reach, "hi_y": F.col("p_y") + reach}
     d = G.point_line_distance("p_x", "p_y", "l_x1", "l_y1", "l_x2", "l_y2")
-    near = spatial_join(p, l, around, box(l, "l_x1", "l_y1", "l_x2", "l_y2"), d <= reach, 2 * reach).withColumn("d", d)
+    near = spatial_join(p, l, around, box(l, "l_x1", "l_y1", "l_x2", "l_y2"), d <= reach, 2 * reach).withColumn("d", F.round(d, 6))
     return near.groupBy(F.col("p_ref").alias("ref")).agg(F.min(F.struct("d", "l_shape_ref")).alias("m")).select("ref", F.col("m.l_shape_ref").alias("shape"), F.col("m.d").alias("distance"))
 
 
