@@ -203,9 +203,9 @@ def point_list(spark, d):
 
 
 def _sight(spark, d) -> tuple[DataFrame, DataFrame]:
-    from netloom.plans.catalog import _sight
+    from netloom.plans.catalog import _seen_once
 
-    return _sight(spark, d)
+    return _seen_once(spark, d)
 
 
 @query(f"""WITH {SIGHT} SELECT CAST(f.x AS BIGINT) AS x, CAST(f.y AS BIGINT) AS y, {', '.join(f'count(src) FILTER (WHERE bin = {k}) AS bin{k}' for k in range(32))} FROM f LEFT JOIN sight ON src = ref GROUP BY f.x, f.y""")

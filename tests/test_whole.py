@@ -15,3 +15,27 @@ def test_nearest_shape_ties_by_rounded_distance(spark):
     d = spark.createDataFrame([(ref, "a", "line", [a, b], False) for ref, a, b in at], SHAPES)
     points = spark.createDataFrame([(7, 41.25, 31.5)], "ref long, x double, y double")
     assert [tuple(r) for r in drawing.nearest_shape(points, d, 2.0).collect()] == [(7, 0, 0.782624)]
+
+
+def _crosses(a, b, w):
+    side = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+    c, d = w[:2], w[2:]
+    return side(a, b, c) * side(a, b, d) < 0 and side(c, d, a) * side(c, d, b) < 0
+
+
+@pytest.mark.parametrize("reach", [0.5, 3.0, 20.0])
+def test_sight_within_a_reach_joins_no_pairs(spark, reach):
+    """Tiles of cells see what brute force sees, beyond one tile and below zero, and no pair of cells is joined or shuffled."""
+    rng = np.random.default_rng(3)
+    at = {(int(x), int(y)) for x, y in rng.integers(-60, 60, (300, 2))} | {(x, y) for x in range(-3, 4) for y in range(45, 52)}
+    cells = spark.createDataFrame([(k, x, y, True) for k, (x, y) in enumerate(sorted(at))], "ref long, x int, y int, filled boolean")
+    lines = [(*p, *(p + rng.integers(-6, 7, 2))) for p in rng.integers(-60, 60, (200, 2)).astype(float)] + [(-100.0, 48.5, 100.0, 48.5)]
+    walls = spark.createDataFrame([(k, *map(float, w)) for k, w in enumerate(lines)], LINES)
+    edges = lattice.visibility(cells, walls, reach)
+    assert "Join" not in edges._jdf.queryExecution().optimizedPlan().toString()
+    refs = {k: p for k, p in enumerate(sorted(at))}
+    want = {(i, j) for i, p in refs.items() for j, q in refs.items() if i != j and (p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2 <= reach**2 and not any(_crosses(p, q, w) for w in lines)}
+    assert {(r.src, r.dst) for r in edges.collect()} == want
+    bits = {r.ref: r.grid_connections for r in lattice.grid_connections(cells, edges).collect()}
+    plain = {r.ref: r.grid_connections for r in lattice.grid_connections(cells, edges.select("src", "dst")).collect()}
+    assert bits == plain
