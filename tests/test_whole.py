@@ -39,3 +39,24 @@ def test_sight_within_a_reach_joins_no_pairs(spark, reach):
     bits = {r.ref: r.grid_connections for r in lattice.grid_connections(cells, edges).collect()}
     plain = {r.ref: r.grid_connections for r in lattice.grid_connections(cells, edges.select("src", "dst")).collect()}
     assert bits == plain
+
+
+def test_searches_stream_edges_to_one_task(spark, monkeypatch):
+    """Graphs beyond the kernel's limit are searched from one origin, with the rows of the form for small graphs; long paths take no round of joins a level."""
+    cells = grid(spark, 40, 3, {(7, 1), (20, 0), (31, 2)})
+    edges = V.checkpointed(lattice.visibility(cells, no_walls(spark), 3.0))
+    corner = lattice.blocked_adjacent(cells)
+    g = vga.metric_graph(cells, edges, corner)
+    for kind in ("metric", "angular"):
+        cost, angle, _ = vga.metric_search(g, [0], angular=kind == "angular")
+        monkeypatch.setattr(V, "KERNEL_EDGES", 10)
+        monkeypatch.setattr(V.is_small, "__defaults__", (10,))
+        got = {r.ref: (r.depth, r.angle) for r in vga.depth_map(cells, edges, corner, [0], kind).collect()}
+        hit = np.isfinite(cost)
+        assert got == dict(zip(g.refs.tolist(), zip(np.where(hit, cost, 0.0).tolist(), np.where(hit, angle, 0.0).tolist())))
+        far = int(g.refs[np.argmax(np.where(hit, cost, -1.0))])
+        path = vga.shortest_path(cells, edges, corner, 0, [far], kind).collect()
+        assert {0, far} <= {r.ref for r in path}
+    # by hops: the default limit takes graphs of millions of edges in a task, without a checkpoint for each level
+    assert V.multi_source_depth.__defaults__[-1] >= 100_000_000
+    assert V.shortest_path.__defaults__[-1] >= 100_000_000
