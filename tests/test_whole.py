@@ -60,3 +60,22 @@ def test_searches_stream_edges_to_one_task(spark, monkeypatch):
     # by hops: the default limit takes graphs of millions of edges in a task, without a checkpoint for each level
     assert V.multi_source_depth.__defaults__[-1] >= 100_000_000
     assert V.shortest_path.__defaults__[-1] >= 100_000_000
+
+
+@pytest.fixture(scope="module")
+def strip(spark, tmp_path_factory):
+    """A lattice of 3 x 24 cells with a blocked one in each third row, and a wall."""
+    at = tmp_path_factory.mktemp("strip")
+    cells = [(50 * y + x, 5 if x == 1 and y % 3 == 0 else 20, 1.0) for y in range(24) for x in range(3)]
+    spark.createDataFrame(cells, "p_partkey long, p_size int, p_retailprice double").write.parquet(f"{at}/part.parquet")
+    spark.createDataFrame([(1, 3, 1.0), (2, 8, 1.0), (3, 20, 1.0)], "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(f"{at}/supplier.parquet")
+    return str(at), sum(size > 10 for _, size, _ in cells)
+
+
+@pytest.mark.parametrize("name", ["metric_global", "angular_global"])
+def test_global_measures_have_no_radius(spark, strip, name):
+    """Every cell reaches every other one, far beyond 5 steps or one turn."""
+    from netloom.plans.catalog import QUERIES
+
+    path, n = strip
+    assert {r.node_count for r in QUERIES[name](spark, path).collect()} == {n}
