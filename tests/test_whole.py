@@ -79,3 +79,23 @@ def test_global_measures_have_no_radius(spark, strip, name):
 
     path, n = strip
     assert {r.node_count for r in QUERIES[name](spark, path).collect()} == {n}
+
+
+def test_agents_see_at_any_distance(spark, strip):
+    """Agents of the query look across the lattice: the moves are those over the whole visibility graph."""
+    from netloom.operators import agents
+    from netloom.plans.catalog import QUERIES
+    from netloom.sources import fixtures as fx
+
+    cells, walls = fx.part_lattice(spark, strip[0]), fx.supplier_lines(spark, strip[0])
+    filled = cells.filter("filled")
+    moves = agents.run(filled, lattice.visibility(cells, walls), lattice.neighbour_edges(cells), agents.Settings(steps=200, rate=0.5))
+    want = {tuple(r) for r in agents.gate_counts(filled, moves).collect()}
+    assert {tuple(r) for r in QUERIES["agent_gate_counts"](spark, strip[0]).collect()} == want
+
+
+def test_visual_global_rn_sees_at_any_distance(spark, strip):
+    """Cells of one column see each other over 24 rows, so no depth needs more than a few steps."""
+    from netloom.plans.catalog import QUERIES
+
+    assert max(r.mean_depth for r in QUERIES["visual_global_rn"](spark, strip[0]).collect()) < 2.5
