@@ -99,3 +99,12 @@ def test_visual_global_rn_sees_at_any_distance(spark, strip):
     from netloom.plans.catalog import QUERIES
 
     assert max(r.mean_depth for r in QUERIES["visual_global_rn"](spark, strip[0]).collect()) < 2.5
+
+
+@pytest.mark.parametrize("kind", ["moments", "bin_counts", "bin_distances"])
+def test_sums_of_sight_take_no_pairs(spark, strip, kind):
+    from netloom.sources import fixtures as fx
+
+    cells, walls = fx.part_lattice(spark, strip[0]), fx.supplier_lines(spark, strip[0])
+    rows = lambda df: sorted(tuple(round(v, 6) for v in r) for r in df.collect())
+    assert rows(lattice.sight_sums(cells, walls, kind)) == rows(lattice.sight_sums(cells, walls, kind, kernel_cells=0))
